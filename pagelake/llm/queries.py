@@ -47,5 +47,3 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_ids, p7_found)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
