@@ -19,6 +19,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return section_pieces(_read(spark, folder, "sections"), _read(spark, folder, "source_artifacts"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .residue import residue_pages
+
+    return residue_pages(_read(spark, folder, "source_pages")).select("page_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .boilerplate import chrome_lines
+
+    return chrome_lines(_read(spark, folder, "source_pages"), _read(spark, folder, "source_artifacts"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     from .site_lines import repeated_lines
 
@@ -43,7 +55,13 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(_read(spark, folder, "documents"), _read(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .language import mislabelled
+
+    return mislabelled(_read(spark, folder, "documents")).select("doc_id", "seg_no", "lang")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
 
 
