@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import TAG, WORD, arrow_map, mix64, need, site_of
 
 DIGITS = re.compile("[0-9]+")
@@ -78,11 +79,9 @@ class _Bands:
 def _lines_of(batch: pa.RecordBatch, least: int):
     """(page, line number, form, site hash, site words) of all lines of at least ``least`` characters."""
     page, number, forms, sites, names = [], [], [], [], []
-    known: dict[str, tuple[int, frozenset[str]]] = {}
-    for p, site, kind, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
-        if site not in known:
-            known[site] = (xxhash.xxh64_intdigest(site), frozenset(WORD.findall(site)))
-        digest, words = known[site]
+    known: dict[str, frozenset[str]] = {}
+    for p, site, kind, content, digest in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        words = known.get(site) or known.setdefault(site, frozenset(WORD.findall(site)))
         for k, form in enumerate(line_forms(content, kind == "html"), 1):
             if len(form) >= least:
                 page.append(p)
@@ -90,7 +89,7 @@ def _lines_of(batch: pa.RecordBatch, least: int):
                 forms.append(form)
                 sites.append(digest)
                 names.append(words)
-    return page, number, forms, np.array(sites, np.uint64), names
+    return page, number, forms, np.array(sites, np.int64).view(np.uint64), names
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -108,32 +107,27 @@ def repeated_lines(pages: DataFrame, min_pages: int = 6, min_share: float = 0.2,
     """
     spark = pages.sparkSession
     base = need(pages, "page_id", "final_url", "url", "content_format", "content").where("content is not null")
-    base = base.select("page_id", site_of(F.col("final_url"), F.col("url")).alias("site"), "content_format", "content")
+    base = base.select("page_id", site_of(F.col("final_url"), F.col("url")).alias("site"), "content_format", "content").withColumn("site_key", F.xxhash64("site"))
+    totals = base.groupBy(F.col("site_key").alias("site")).agg(F.count_distinct("page_id").alias("pages"))
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         page, _, forms, sites, names = _lines_of(batch, min_chars)
-        own = np.array([xxhash.xxh64_intdigest(s) for s in batch.column(1).to_pylist()], np.uint64)
-        # a site's pages are counted under the key 0 of the site
-        total, n = np.unique(own, return_counts=True)
-        out = [(total, np.zeros(len(total), np.uint64), n)]
-        if forms:
-            rank = np.unique(np.array(page), return_inverse=True)[1].astype(np.uint64)
-            for key in _Bands()(forms, sites, names):
-                # once a page: distinct (cluster, page), then pages per cluster
-                order = np.lexsort((rank, key))
-                k, r, s = key[order], rank[order], sites[order]
-                new = np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])))
-                k, s = k[new], s[new]
-                first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-                out.append((s[first], k[first], np.diff(np.append(first, len(k)))))
+        if not forms:
+            return None
+        out = []
+        rank = np.unique(np.array(page), return_inverse=True)[1].astype(np.uint64)
+        for key in _Bands()(forms, sites, names):
+            # once a page: distinct (cluster, page), then pages per cluster
+            order = np.lexsort((rank, key))
+            k, r, s = key[order], rank[order], sites[order]
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])))
+            k, s = k[new], s[new]
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            out.append((s[first], k[first], np.diff(np.append(first, len(k)))))
         return pa.RecordBatch.from_arrays([_signed(np.concatenate([o[0] for o in out])), _signed(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]).astype(np.int64))], ["site", "key", "n"])
 
     counts = arrow_map(base, count, "site bigint, key bigint, n bigint", text="content").groupBy("site", "key").agg(F.sum("n").alias("n"))
-    hot_counts = counts.where((F.col("n") >= min_pages) | (F.col("key") == 0))
-    totals = hot_counts.where("key = 0").select("site", F.col("n").alias("pages"))
-    clusters = hot_counts.where("key <> 0")
-    from ..session import cut_lineage
-
+    clusters = counts.where(F.col("n") >= min_pages)
     hot = cut_lineage(clusters.join(totals, "site").where(F.col("n") >= F.col("pages") * min_share).select("site", "key", "pages"))
     small = hot.count() <= broadcast_keys
     held = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in hot.select("key").collect()), np.int64).view(np.uint64))) if small else None
@@ -162,6 +156,7 @@ def repeated_lines(pages: DataFrame, min_pages: int = 6, min_share: float = 0.2,
         found = keyed.join(hot.select("key"), "key", "left_semi").dropDuplicates(["page_id", "line_no"])
     found = found.select("page_id", "line_no", "site", "form")
     if exact:
+        found = cut_lineage(found)  # read twice: for the counts and for the places
         own = found.select("site", "form", "page_id").groupBy("site", "form").agg(F.count_distinct("page_id").alias("n")).where(F.col("n") >= min_pages)
         own = own.join(hot.groupBy("site").agg(F.first("pages").alias("pages")), "site").where(F.col("n") >= F.col("pages") * min_share)
         found = found.join(own.select("form"), "form", "left_semi")
