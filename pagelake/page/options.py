@@ -36,7 +36,6 @@ SPECS: dict[str, tuple[str, object]] = {
 ALIASES = {"ignore_anchors": "ignore_links", "excluded_selectors": "excluded_selector"}
 BROWSER_ONLY = frozenset("process_in_browser process_iframes flatten_shadow_dom scan_full_page wait_for_images".split())
 _FLAGS = {"true": True, "1": True, "yes": True, "on": True, "false": False, "0": False, "no": False, "off": False}
-_NAMESPACE = "aget."
 
 
 def _read(name: str, kind: str, text: object) -> object:
@@ -118,7 +117,7 @@ class Options:
         """From option names, with or without namespace, and the request's own fields."""
         values: dict[str, object] = {}
         for full, given in pairs.items() if isinstance(pairs, dict) else pairs:
-            name = full.removeprefix(_NAMESPACE)
+            name = full.rpartition(".")[2]
             name = ALIASES.get(name, name)
             if name not in SPECS:
                 raise OptionError(f"unknown option '{full}'")

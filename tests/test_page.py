@@ -121,5 +121,5 @@ def test_formats_selectors_and_errors():
             Options.of(bad)
     with pytest.raises(OptionError):
         Options.of({}, wait_for_selector="js:() => 1")
-    assert Options.of([("excluded_tags", "a"), ("aget.excluded_tags", "b")]).excluded_tags == ("a", "b")
+    assert Options.of([("excluded_tags", "a"), ("any.excluded_tags", "b")]).excluded_tags == ("a", "b")
     assert extract_page(BASE, page, Options.of({"wait_for_images": "true"})).warnings
