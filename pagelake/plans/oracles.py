@@ -1 +1,149 @@
-ORACLES: dict[str, str] = {}
+"""SQL over the same tables, written from the rules, for the queries that SQL can express."""
+
+from __future__ import annotations
+
+_URL = r"'^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)'"
+
+
+def _scheme(u: str) -> str:
+    return f"nullif(lower(regexp_extract({u}, {_URL}, 1)), '')"
+
+
+def _host(u: str) -> str:
+    return f"nullif(lower(regexp_extract({u}, {_URL}, 2)), '')"
+
+
+def _port(u: str) -> str:
+    return f"coalesce(CAST(nullif(regexp_extract({u}, {_URL}, 3), '') AS INTEGER), CASE {_scheme(u)} WHEN 'https' THEN 443 WHEN 'http' THEN 80 END)"
+
+
+def _path(u: str) -> str:
+    return f"CASE WHEN {_scheme(u)} IS NOT NULL THEN coalesce(nullif(regexp_extract({u}, {_URL}, 4), ''), '/') END"
+
+
+def _prefix(p: str) -> str:
+    return f"CASE WHEN {p} IS NOT NULL THEN coalesce(nullif(regexp_extract({p}, '^(.*/)', 1), ''), '/') END"
+
+
+def _type(p: str) -> str:
+    low = f"lower({p})"
+    return f"CASE WHEN {low} LIKE '%.pdf' THEN 'application/pdf' WHEN {low} LIKE '%.json' THEN 'application/json' WHEN {low} LIKE '%.txt' OR {low} LIKE '%.md' THEN 'text/plain' WHEN {low} LIKE '%.html' OR {low} LIKE '%.htm' OR {low} LIKE '%/' OR regexp_extract({low}, '([^/]*)$', 1) NOT LIKE '%.%' THEN 'text/html' END"
+
+
+def _same_origin(a: str, b: str) -> str:
+    return f"coalesce({_scheme(a)} = {_scheme(b)} AND {_host(a)} = {_host(b)} AND {_port(a)} IS NOT DISTINCT FROM {_port(b)}, false)"
+
+
+def _same_path(u: str, s: str) -> str:
+    return f"coalesce(starts_with({_path(u)}, {_prefix(_path(s))}), false)"
+
+
+_WS = r"[\s\x{00a0}\x{2000}-\x{200a}\x{3000}\x{202f}]"
+_BATCH = "SELECT batch_id, item_index, min(url) AS url, max(status) AS was FROM batch_items GROUP BY batch_id, item_index"
+_DEDUPED = f"SELECT batch_id, item_index, url, was, row_number() OVER (PARTITION BY batch_id, url ORDER BY item_index) > 1 AS again FROM ({_BATCH})"
+_RUNS = "SELECT 'run-' || artifact_id AS run_id, CAST(floor(epoch(fetched_at)) AS BIGINT) AS modified, CAST(coalesce(strlen(content), 0) AS BIGINT) AS size_bytes, sensitive, url, greatest(0, 1772323200 - CAST(floor(epoch(fetched_at)) AS BIGINT)) AS age_seconds FROM source_artifacts"
+_RANKED = f"SELECT *, row_number() OVER (ORDER BY modified DESC, run_id) AS newest FROM ({_RUNS})"
+_REQUESTS = "SELECT page_id, url, sensitive, CAST(floor(epoch(fetched_at)) AS BIGINT) AS taken, sha256(coalesce(url, '')) AS key, content FROM source_pages"
+_COOKIES = f"SELECT 's' || (crawl_id % 7) AS session, 'c' || depth AS name, coalesce(status, '') AS value, {_host('coalesce(final_url, url)')} AS domain FROM crawl_items WHERE url IS NOT NULL AND {_host('coalesce(final_url, url)')} IS NOT NULL"
+_MERGED = f"SELECT name, domain, '/' AS path, min(value) AS value, max(value) AS other, min(session) AS s1, max(session) AS s2 FROM ({_COOKIES}) GROUP BY name, domain"
+_LINKS = "SELECT source_url, regexp_replace(url, '#.*$', '') AS url, coalesce(text, '') AS text, row_number() OVER (PARTITION BY source_url ORDER BY url, text NULLS FIRST) - 1 AS pos FROM links WHERE url IS NOT NULL AND source_url IS NOT NULL"
+
+_SECTIONS = rf"""
+parts AS (SELECT artifact_id, string_split(content, chr(10)) AS ls FROM source_artifacts WHERE content IS NOT NULL AND content <> '' {{where}}),
+lines AS (SELECT artifact_id, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n FROM parts),
+marked AS (SELECT *, CASE WHEN regexp_matches(line, '^{_WS}*#{{{{1,6}}}} ') THEN 1 ELSE 0 END AS heads, length(line) + CASE WHEN i < n - 1 THEN 1 ELSE 0 END AS size FROM lines),
+placed AS (SELECT *, sum(heads) OVER w AS sec, sum(size) OVER w - size AS char_start, sum(size) OVER w AS char_end FROM marked WINDOW w AS (PARTITION BY artifact_id ORDER BY i)),
+secs AS (
+  SELECT artifact_id, sec, min(char_start) AS char_start, max(char_end) AS char_end, string_agg(line || CASE WHEN i < n - 1 THEN chr(10) ELSE '' END, '' ORDER BY i) AS text,
+    CASE WHEN max(heads) = 1 THEN trim(regexp_replace(min_by(line, i), '^#+', ''), ' ' || chr(9) || chr(13) || chr(160)) ELSE 'Document' END AS heading
+  FROM placed GROUP BY artifact_id, sec),
+numbered AS (SELECT artifact_id, 'section-' || row_number() OVER (PARTITION BY artifact_id ORDER BY char_start) AS section_id, heading, text, char_start, char_end FROM secs WHERE char_end > char_start)
+"""
+
+
+def _sections(where: str = "") -> str:
+    return _SECTIONS.replace("{where}", where).replace("{{", "{").replace("}}", "}")
+
+
+def _hits(term: str) -> str:
+    return f"least((length(low) - length(replace(low, '{term}', ''))) // {len(term)}, 8) * 6"
+
+
+def _lines(term: str) -> str:
+    bare = f"regexp_replace(l, '^{_WS}+', '')"
+    return f"least(len(list_filter(string_split(text, chr(10)), lambda l: (starts_with({bare}, '- ') OR starts_with({bare}, '* ') OR contains(l, '|') OR contains(l, '[')) AND contains(lower({bare}), '{term}'))), 4) * 4"
+
+
+_TOPK = rf"""
+WITH {_sections("AND NOT coalesce(sensitive, false)")},
+lowered AS (SELECT *, lower(text) AS low, lower(heading) AS head FROM numbered),
+scored AS (
+  SELECT *, CAST(CASE WHEN contains(head, 'library card') THEN 120 ELSE 0 END + CASE WHEN contains(low, 'library card') THEN 60 ELSE 0 END
+    + CASE WHEN contains(head, 'card') THEN 30 ELSE 0 END + CASE WHEN contains(head, 'library') THEN 30 ELSE 0 END + {_hits("card")} + {_hits("library")} + {_lines("card")} + {_lines("library")} AS BIGINT) AS score,
+    coalesce(least(nullif(instr(low, 'library card'), 0), nullif(instr(low, 'card'), 0), nullif(instr(low, 'library'), 0)) - 1, 0) AS place
+  FROM lowered),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY score DESC, char_start) AS rank, greatest(place - 120, 0) AS a, least(place + 120, length(text)) AS b FROM scored WHERE score > 0)
+SELECT artifact_id, CAST(rank AS BIGINT) AS rank, section_id, score,
+  trim(regexp_replace(CASE WHEN a > 0 THEN '...' ELSE '' END || substring(text, a + 1, b - a) || CASE WHEN b < length(text) THEN '...' ELSE '' END, '{_WS}+', ' ', 'g')) AS snippet,
+  CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end
+FROM ranked WHERE rank <= 3
+"""
+
+ORACLES: dict[str, str] = {
+    "page_usage": "SELECT page_id, CAST(strlen(content) AS BIGINT) AS content_bytes, CAST(ceil(length(content) / 4.0) AS BIGINT) AS estimated_tokens FROM source_pages WHERE content IS NOT NULL",
+    "needs_render": r"SELECT page_id, coalesce(list_bool_or(list_transform(regexp_extract_all(content, '(?i)<script([^>]*)>', 1), lambda a: regexp_extract(a, '(?i)type\s*=\s*[\x22\x27]?([^\x22\x27\s;>]*)', 1) IN ('', 'module', 'text/javascript', 'application/javascript', 'text/ecmascript', 'application/ecmascript', 'text/jscript'))), false) AS needs_render FROM source_pages WHERE content_format = 'html' AND content IS NOT NULL",
+    "max_chars_limits": "SELECT page_id, left(content, 1000) AS content, length(content) > 1000 AS truncated, CAST(length(content) AS BIGINT) AS chars_before, CAST(least(length(content), 1000) AS BIGINT) AS chars_after FROM source_pages WHERE content IS NOT NULL",
+    "input_classify": f"SELECT DISTINCT batch_id, item_index, url, CASE WHEN starts_with(url, 'file://') THEN 'file' WHEN starts_with(url, 'raw:') THEN 'inline' WHEN {_scheme('url')} IN ('http', 'https') AND {_host('url')} IS NOT NULL THEN 'http' END AS kind FROM batch_items",
+    "url_parts": f"SELECT page_id, {_scheme('url')} AS scheme, {_host('url')} AS host, {_port('url')} AS port, {_path('url')} AS path, {_prefix(_path('url'))} AS prefix, regexp_replace(url, '#.*$', '') AS normal FROM source_pages",
+    "content_types": f"SELECT {_type(_path('url'))} AS content_type, count(*) AS links FROM links GROUP BY 1",
+    "link_origins": f"SELECT {_same_origin('url', 'source_url')} AS same_origin, {_same_path('url', 'source_url')} AS same_path, count(*) AS links FROM links GROUP BY 1, 2",
+    "map_filtered": f"""
+WITH firsts AS (SELECT *, row_number() OVER (PARTITION BY source_url, url ORDER BY pos) AS n FROM ({_LINKS})),
+kept AS (SELECT * FROM firsts WHERE n = 1 AND {_same_origin('source_url', 'url')} AND NOT contains(url, '/login') AND {_type(_path('url'))} = 'text/html'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY pos) AS r FROM kept)
+SELECT source_url, url, text, pos FROM ranked WHERE r <= 3""",
+    "search_sections": f"WITH {_sections()} SELECT artifact_id, section_id, heading, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end FROM numbered",
+    "search_topk": _TOPK,
+    "extract_headings": rf"""
+WITH parts AS (SELECT page_id, string_split(content, chr(10)) AS ls FROM source_pages WHERE content_format = 'markdown' AND content IS NOT NULL AND NOT (contains(content, '<html') OR contains(content, '<table') OR contains(content, '<a ') OR contains(content, '<dl'))),
+lines AS (SELECT page_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM parts)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, CAST(length(regexp_extract(line, '^{_WS}*(#+)', 1)) AS BIGINT) AS level, trim(regexp_replace(line, '^{_WS}*#+', ''), ' ' || chr(9) || chr(13) || chr(160)) AS text
+FROM lines WHERE regexp_matches(line, '^{_WS}*#{{1,6}} ')""",
+    "extract_metadata": "SELECT page_id, json_extract_string(metadata, '$.site') AS site, json_extract_string(metadata, '$.lang') AS lang FROM source_pages WHERE content_format IN ('markdown', 'html', 'text') AND content IS NOT NULL",
+    "extract_json": """SELECT page_id, true AS ok, '{"code": ' || coalesce(CAST(json_extract(content, '$.error.code') AS VARCHAR), 'null') || ', "status": ' || coalesce(CAST(json_extract(content, '$.status') AS VARCHAR), 'null') || '}' AS values_json, CAST(NULL AS VARCHAR) AS error FROM source_pages WHERE content_format = 'json' AND content IS NOT NULL""",
+    "extract_summary": "SELECT count(*) AS sources, CAST(1 AS BIGINT) AS fields, count(*) FILTER (WHERE sensitive) AS sensitive_sources, count(*) FILTER (WHERE content IS NULL) AS failed FROM source_artifacts",
+    "batch_dedupe": f"SELECT batch_id, item_index, url, CASE WHEN again THEN 'skipped' ELSE 'pending' END AS status, CASE WHEN again THEN 'duplicate' END AS reason FROM ({_DEDUPED})",
+    "batch_fail_fast": f"""
+WITH f AS (SELECT *, CASE WHEN NOT again THEN (count(*) FILTER (WHERE NOT again) OVER (PARTITION BY batch_id ORDER BY item_index) - 1) // 2 END AS chunk FROM ({_DEDUPED})),
+g AS (SELECT *, min(chunk) FILTER (WHERE was = 'failed') OVER (PARTITION BY batch_id) AS stop FROM f)
+SELECT batch_id, item_index, url, CASE WHEN again OR chunk > stop THEN 'skipped' WHEN was = 'failed' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN again THEN 'duplicate' WHEN chunk > stop THEN 'fail_fast' END AS reason FROM g""",
+    "batch_summary": "SELECT batch_id, count(*) AS requested, count(*) FILTER (WHERE status = 'ok') AS succeeded, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'failed') = 0 AS ok FROM batch_items GROUP BY batch_id",
+    "crawl_summary": "SELECT crawl_id, count(*) AS fetched, count(*) FILTER (WHERE status = 'ok') AS succeeded, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'failed') = 0 AS ok FROM crawl_items GROUP BY crawl_id",
+    "cache_latest": f"SELECT key, taken AS created_at, CAST(length(content) AS BIGINT) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY taken DESC, content DESC) AS n FROM ({_REQUESTS}) WHERE content IS NOT NULL) WHERE n = 1",
+    "cache_status": f"""
+WITH req AS ({_REQUESTS}),
+entries AS (SELECT key, max(taken) AS created FROM req WHERE content IS NOT NULL AND taken < 1768435200 GROUP BY key),
+j AS (SELECT req.*, created, greatest(0, 1768435200 - created) AS age, CASE WHEN coalesce(sensitive, false) THEN 'session-backed requests are not reusable' WHEN coalesce({_scheme('url')} NOT IN ('http', 'https'), true) THEN 'only http(s) URLs are cacheable' END AS bad FROM req LEFT JOIN entries USING (key))
+SELECT page_id, CASE WHEN bad IS NOT NULL THEN 'ineligible' WHEN created IS NULL THEN 'miss' WHEN age >= 604800 THEN 'stale' ELSE 'hit' END AS cache_status, bad IS NULL AS cache_eligible,
+  CASE WHEN bad IS NULL AND created IS NOT NULL THEN age END AS age_seconds, CASE WHEN bad IS NOT NULL THEN bad WHEN created IS NULL THEN 'cache entry not found' WHEN age >= 604800 THEN 'cache entry is stale' END AS cache_reason FROM j""",
+    "artifacts_summary": f"SELECT count(*) AS count, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes, count(*) FILTER (WHERE sensitive) AS sensitive_count, CAST(0 AS BIGINT) AS malformed_count FROM ({_RUNS})",
+    "artifacts_list": f"SELECT run_id, modified, size_bytes, age_seconds, CASE WHEN age_seconds >= 86400 THEN (age_seconds // 86400) || 'd' WHEN age_seconds >= 3600 THEN (age_seconds // 3600) || 'h' WHEN age_seconds >= 60 THEN (age_seconds // 60) || 'm' ELSE age_seconds || 's' END AS age FROM ({_RUNS})",
+    "prune_keep_last": f"SELECT run_id FROM ({_RANKED}) WHERE newest > 25",
+    "prune_older_than": f"SELECT run_id FROM ({_RANKED}) WHERE newest > 5 AND age_seconds > 2592000",
+    "prune_max_bytes": f"""
+WITH c AS (SELECT *, newest <= 5 AS kept, newest > 5 AND age_seconds > 4752000 AS chosen FROM ({_RANKED})),
+w AS (SELECT *, sum(CASE WHEN chosen THEN 0 ELSE size_bytes END) OVER () - coalesce(sum(CASE WHEN kept OR chosen THEN 0 ELSE size_bytes END) OVER (ORDER BY modified, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM c)
+SELECT run_id FROM w WHERE chosen OR (NOT kept AND remaining > 150000)""",
+    "session_compose": f"SELECT name, domain, path, value, CASE WHEN s1 = s2 THEN s1 END AS source_session FROM ({_MERGED}) WHERE value = other",
+    "session_conflicts": f"SELECT name, domain, path, 'session_conflict' AS code FROM ({_MERGED}) WHERE value <> other",
+    "session_filter": f"SELECT domain, count(*) AS cookies FROM ({_COOKIES}) WHERE domain = 'example' OR domain = 'test' OR domain LIKE '%.example' OR domain LIKE '%.test' GROUP BY domain",
+    "session_inspect": f"SELECT session, '<redacted>' AS value, count(*) AS cookies FROM ({_COOKIES}) GROUP BY session",
+    "replay_scope": f"""
+WITH req AS (SELECT DISTINCT batch_id, item_index, url, 's' || (batch_id % 7) AS session FROM batch_items),
+state AS (SELECT DISTINCT session, domain FROM ({_COOKIES})),
+j AS (SELECT req.*, domain, domain IS NOT NULL AND {_host('url')} IS NOT NULL AND ({_host('url')} = domain OR {_host('url')} LIKE '%.' || domain) AS covers FROM req LEFT JOIN state USING (session))
+SELECT batch_id, item_index, url, session, CASE WHEN {_host('url')} IS NULL THEN 'usage_error' WHEN count(domain) = 0 OR count(*) FILTER (WHERE covers) < count(domain) THEN 'session_scope_mismatch' END AS scope_error FROM j GROUP BY batch_id, item_index, url, session""",
+    "redact_titles": "SELECT doc_id, replace(replace(replace(replace(replace(replace(text, 'token%20%26%20budget', '<redacted>'), 'token+%26+budget', '<redacted>'), 'library%20card', '<redacted>'), 'token & budget', '<redacted>'), 'library card', '<redacted>'), 'library+card', '<redacted>') AS text FROM documents WHERE text IS NOT NULL",
+    "authorize_predicates": "SELECT page_id, contains(coalesce(content, ''), 'the') AND NOT contains(coalesce(content, ''), 'Access denied') AS verified FROM source_pages",
+    "plan_validation": "SELECT text <> '' AS ok, count(*) AS plans FROM (SELECT DISTINCT url, coalesce(text, '') AS text FROM links WHERE url IS NOT NULL) GROUP BY 1",
+}
