@@ -14,7 +14,8 @@
 4. Lines that are never shared as they name other pages (breadcrumbs, tags, previous and
    next, link lists, containers such as ``nav``) follow from their structure.
 
-Code, headings, table rows and whole-line error messages belong to the body.
+Code, headings, table rows and whole-line error messages belong to the body; only lines
+that match a template are taken out of code.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .common import arrow_map, need, path_of, site_of
 from .residue import FILLER, MESSAGES
 
@@ -50,7 +51,7 @@ _CONTAINER = re.compile(r"<(/?)(nav|footer|aside|header|noscript|div)\b([^<>]*)>
 _BODY_TAG = re.compile(r"<(?:h[1-6]|pre|table|blockquote|article|main)\b", re.I)
 _HEADING = re.compile(r"<h[1-6]\b", re.I)
 
-CODE, HEADING, ROW, STRONG, MESSAGE, SHORT, VOTED, TOUCHED = 1, 2, 4, 8, 16, 32, 64, 128
+CODE, HEADING, ROW, STRONG, MESSAGE, SHORT, VOTED, TOUCHED, LONG = 1, 2, 4, 8, 16, 32, 64, 128, 256
 _BODY = CODE | HEADING | ROW | MESSAGE
 
 
@@ -160,6 +161,8 @@ def line_table(content: str, kind: str | None, label: str) -> tuple[list[int], l
                 b |= MESSAGE
             if n <= 5 and v[-1] not in ".!?":
                 b |= SHORT
+            if n >= 20:
+                b |= LONG
             first, last = v[0], v[-1]
             if not b & (HEADING | ROW) and n <= 30:
                 parts = _SPLIT.split(v)
@@ -173,7 +176,7 @@ def line_table(content: str, kind: str | None, label: str) -> tuple[list[int], l
                     b |= STRONG
         numbers.append(i + 1)
         keys.append(hashed(form))
-        m = _OPEN.match(bare) if not b & _BODY else None
+        m = _OPEN.match(bare) if not b & (_BODY & ~CODE) else None
         opens.append(hashed(f"open\0{m.group(1) or m.group(2)}") if m else 0)
         out.append(b)
     if wrap:
@@ -212,21 +215,24 @@ def _increasing(values: list[int]) -> list[int]:
 
 
 class _Page:
-    __slots__ = ("row", "place", "size", "votes", "peers")
+    __slots__ = ("heads", "long", "peers", "place", "row", "size", "votes")
 
-    def __init__(self, row: tuple, keys: np.ndarray, body: np.ndarray):
+    def __init__(self, row: tuple, keys: np.ndarray, bits: np.ndarray):
         self.row = row
         self.place = {}
         for i, k in enumerate(keys.tolist()):
-            if not body[i]:
+            if not bits[i] & _BODY:
                 self.place.setdefault(k, i)
+        self.long = set(keys[(bits & LONG) > 0].tolist())
+        self.heads = set(keys[(bits & HEADING) > 0].tolist())
         self.size, self.votes, self.peers = len(keys), np.zeros(len(keys), np.int32), 0
 
 
 def difference(a: _Page, b: _Page, version: float = 0.6) -> None:
     """A vote for each line in the longest common subsequence of both pages, unless they are versions of one text."""
     common = a.place.keys() & b.place.keys()
-    if len(common) > version * max(a.size, b.size, 5):
+    share = len(common) / max(a.size, b.size, 5)
+    if share > version or share > version / 2 and a.heads & b.heads or len(a.long & b.long) > 2:
         return
     a.peers += 1
     b.peers += 1
@@ -268,20 +274,20 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
             labels = s.split(".")
             label = labels[-2] if len(labels) > 1 else ""
             numbers, keys, opens, joined, bits = line_table(content, kind, label if len(label) > 3 else "")
-            for column, (values, kind_) in zip(cols, ((numbers, np.int32), (keys, np.uint64), (opens, np.uint64), ([j for j, _ in joined], np.uint64), ([j for _, j in joined], np.uint64), (bits, np.uint8))):
+            for column, (values, kind_) in zip(cols, ((numbers, np.int32), (keys, np.uint64), (opens, np.uint64), ([j for j, _ in joined], np.uint64), ([j for _, j in joined], np.uint64), (bits, np.uint16))):
                 column.append(np.array(values, kind_).tobytes())
             blocks.append(xxhash.xxh32_intdigest(p) % max(1, -(-sizes.get(s, 0) // limit)))
         return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blocks, pa.int32()), *(pa.array(c, pa.binary()) for c in cols[:6])], ["record", "record_id", "site", "path", "block", "numbers", "keys", "opens", "two", "three", "bits"])
 
     packed_schema = "record string, record_id bigint, site string, path string, block int, numbers binary, keys binary, opens binary, two binary, three binary, bits binary"
-    packed = arrow_map(rows, pack, packed_schema, text="content")
+    packed = arrow_map(spread(rows), pack, packed_schema, text="content")
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record", "record_id", "site", "numbers", "keys", "opens", "two", "three", "bits"]
         done: list[tuple] = []
 
         def finish(page: _Page) -> None:
-            row, bits = page.row, np.frombuffer(page.row[-1], np.uint8).copy()
+            row, bits = page.row, np.frombuffer(page.row[-1], np.uint16).copy()
             need_ = 2 if page.peers >= 8 else 1
             bits[page.votes >= 1] |= TOUCHED
             bits[page.votes >= need_] |= VOTED
@@ -306,7 +312,7 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
                 if last == (record, rid):  # a repeated row
                     continue
                 last = (record, rid)
-                page = _Page((record, rid, site_, numbers, keys, opens, two, three, bits), np.frombuffer(keys, np.uint64), np.frombuffer(bits, np.uint8) & _BODY)
+                page = _Page((record, rid, site_, numbers, keys, opens, two, three, bits), np.frombuffer(keys, np.uint64), np.frombuffer(bits, np.uint16))
                 for other in near:
                     difference(other, page)
                 near.append(page)
@@ -326,7 +332,7 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
     def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, touched, site_bits = [], [], []
         for s, k, o, b in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5, 8))):
-            bits = np.frombuffer(b, np.uint8)
+            bits = np.frombuffer(b, np.uint16)
             open_ = (bits & _BODY) == 0
             t = (bits & TOUCHED) > 0
             opens = np.frombuffer(o, np.uint64)
@@ -345,7 +351,10 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
         return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.add.reduceat(t.astype(np.int64), at)), pa.array(np.diff(np.append(at, len(key)))), pa.array(np.bitwise_or.reduceat(s, at))], ["key", "touched", "n", "sites"])
 
     stats = arrow_map(table, count, "key bigint, touched bigint, n bigint, sites bigint").groupBy("key").agg(F.sum("touched").alias("touched"), F.sum("n").alias("n"), F.expr("bit_count(bit_or(sites))").alias("sites"))
-    templates = stats.where((F.col("sites") >= min_sites) & (F.col("touched") >= 2) & (F.col("touched") >= F.col("n") * min_ratio)).select("key")
+    common = (F.col("sites") >= min_sites) & (F.col("touched") >= 2) & (F.col("touched") >= F.col("n") * min_ratio)
+    # A notice of one host that few of its pages carry: rarely within a page's window, but touched far above chance.
+    local = (F.col("sites") < min_sites) & (F.col("n") >= 8) & (F.col("touched") >= F.col("n") * 0.12)
+    templates = stats.where(common | local).select("key")
     templates = cut_lineage(templates)
     size = templates.count()
     kinds = dict(base.dtypes)["record_id"]
@@ -362,15 +371,15 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
     def decide(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, ids, numbers = [], [], []
         for record, rid, no, k, o, two, three, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7, 8))):
-            bits, no = np.frombuffer(b, np.uint8), np.frombuffer(no, np.int32)
-            chrome = (bits & (STRONG | VOTED)) > 0
-            chrome |= known(np.frombuffer(k, np.uint64))
+            bits, no = np.frombuffer(b, np.uint16), np.frombuffer(no, np.int32)
             o = np.frombuffer(o, np.uint64)
-            chrome |= (o > 0) & known(o)
+            named = known(np.frombuffer(k, np.uint64)) | (o > 0) & known(o)
+            chrome = named | ((bits & (STRONG | VOTED)) > 0)
             for j, size_ in ((np.frombuffer(two, np.uint64), 2), (np.frombuffer(three, np.uint64), 3)):
                 for at in np.flatnonzero((j > 0) & known(j)):
                     chrome[at : at + size_] = True
-            chrome &= (bits & _BODY) == 0
+            # a template line that was put into the middle of a code block is no code
+            chrome = chrome & ((bits & _BODY) == 0) | named & ((bits & _BODY) == CODE)
             got = no[chrome]
             names += [record] * len(got)
             ids += [rid] * len(got)
@@ -381,10 +390,10 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
         return arrow_map(table, decide, f"record string, record_id {kinds}, line_no bigint")
 
     # More templates than may be broadcast: the keys of each line are joined with them.
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def line_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, ids, starts, sizes_, keys = [], [], [], [], []
         for record, rid, no, k, o, two, three, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7, 8))):
-            bits, no = np.frombuffer(b, np.uint8), np.frombuffer(no, np.int32)
+            bits, no = np.frombuffer(b, np.uint16), np.frombuffer(no, np.int32)
             free = (bits & _BODY) == 0
             for part, width in ((k, 1), (o, 1), (two, 2), (three, 3)):
                 part = np.frombuffer(part, np.uint64)
@@ -396,7 +405,7 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
                 keys.append(part[at])
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(sizes_).astype(np.int64)), pa.array(np.concatenate(keys).view(np.int64))], ["record", "record_id", "line_no", "width", "key"])
 
-    lines = arrow_map(table, spread, "record string, record_id bigint, line_no bigint, width bigint, key bigint")
+    lines = arrow_map(table, line_keys, "record string, record_id bigint, line_no bigint, width bigint, key bigint")
     hit = lines.join(templates, "key", "left_semi").select("record", "record_id", F.explode(F.sequence("line_no", F.expr("line_no + width - 1"))).alias("line_no"))
     body = lines.where("width = 1").select("record", "record_id", "line_no").distinct()
     return arrow_map(table, decide, f"record string, record_id {kinds}, line_no bigint").unionByName(hit.join(body, ["record", "record_id", "line_no"], "left_semi")).distinct()

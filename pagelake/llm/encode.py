@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .common import arrow_map, list_array, need
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -152,4 +153,4 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
         return pa.RecordBatch.from_arrays([batch.column(0), list_array(offsets, pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     kind = dict(docs.dtypes)[id_col]
-    return arrow_map(need(docs, id_col, text_col), one, f"doc_id {kind}, ids array<int>", text=text_col)
+    return arrow_map(spread(need(docs, id_col, text_col)), one, f"doc_id {kind}, ids array<int>", text=text_col)

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import arrow_map, need
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "ru", "uk", "ja")
@@ -234,7 +235,7 @@ def _clean(texts: list[list[str]], labels: list[int], rounds: int = 4) -> tuple[
     return parts, lab
 
 
-def train(texts: list[str], labels: list[str], rounds: int = 25, rate: float = 0.4, decay: float = 1e-5, seed: int = 5) -> Tagger:
+def train(texts: list[str], labels: list[str], rounds: int = 15, rate: float = 0.4, decay: float = 1e-5, seed: int = 5) -> Tagger:
     """Fits the field by gradient ascent on the likelihood of cleaned chains."""
     k = len(LANGUAGES)
     rng = np.random.default_rng(seed)
@@ -284,10 +285,9 @@ def train(texts: list[str], labels: list[str], rounds: int = 25, rate: float = 0
     return Tagger(weights, trans.astype(np.float32), start.astype(np.float32))
 
 
-def training_sample(docs: DataFrame, per_label: int = 250, most_chars: int = 6000) -> tuple[list[str], list[str]]:
-    """At most ``per_label`` labelled rows a language, spread over the table by a hash of the text."""
-    labelled = docs.select(label_of(F.col("lang")).alias("label"), "text").where(F.col("label").isNotNull() & (F.length("text") >= 80))
-    labelled = labelled.withColumn("text", F.substring("text", 1, most_chars)).withColumn("h", F.xxhash64("text"))
+def training_sample(docs: DataFrame, per_label: int = 150, most_chars: int = 6000) -> tuple[list[str], list[str]]:
+    """At most ``per_label`` labelled rows a language, of 80 to ``most_chars`` characters, spread over the table by a hash of the text."""
+    labelled = docs.select(label_of(F.col("lang")).alias("label"), "text").where(F.col("label").isNotNull() & F.length("text").between(80, most_chars)).withColumn("h", F.xxhash64("text"))
     # a coarse hash filter first, so that the window sees a bounded number of rows of each language
     sizes = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
     keep = None
@@ -302,20 +302,20 @@ def training_sample(docs: DataFrame, per_label: int = 250, most_chars: int = 600
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def language_segments(docs: DataFrame, tagger: Tagger | None = None, per_label: int = 250, least_letters: int = 40, least_share: float = 0.5) -> DataFrame:
+def language_segments(docs: DataFrame, tagger: Tagger | None = None, per_label: int = 150, least_letters: int = 40, least_share: float = 0.5) -> DataFrame:
     """``(doc_id, seg_no, lang, confidence, letters, label)``.
 
     ``seg_no`` 0 is the document, 1 and up are its paragraphs with letters outside code.
     Documents with fewer than ``least_letters`` letters outside code, null and empty
     texts have no rows. ``label`` is the row's own label, null if missing. A paragraph in
-    which no other language has more than ``least_share`` of the letters takes the
-    document's. Further columns are ignored; a repeated row gives its rows again.
+    which no language has more than ``least_share`` of the letters (0.9 under 25 letters)
+    takes the document's. Further columns are ignored; a repeated row gives its rows again.
     """
     base = need(docs, "doc_id", "text", "lang")
     if tagger is None:
         tagger = train(*training_sample(base, per_label))
     held = docs.sparkSession.sparkContext.broadcast(tagger)  # a fixed number of weights
-    rows = base.where("length(text) > 0").select("doc_id", "text", label_of(F.col("lang")).alias("label"))
+    rows = spread(base.where("length(text) > 0").select("doc_id", "text", label_of(F.col("lang")).alias("label")))
     kind = dict(base.dtypes)["doc_id"]
     names = np.array(LANGUAGES)
 
@@ -340,7 +340,8 @@ def language_segments(docs: DataFrame, tagger: Tagger | None = None, per_label:
         soft = np.zeros_like(by_lang)
         np.add.at(soft, owner, score)
         doc_best = (by_lang + 1e-6 * soft).argmax(axis=1)
-        weak = (share[np.arange(len(best)), best] <= least_share) | (score.sum(axis=1) <= 0)
+        # a few words can belong to several languages; they need more than a small majority
+        weak = (share[np.arange(len(best)), best] <= np.where(letters < 25, 0.9, least_share)) | (score.sum(axis=1) <= 0)
         best = np.where(weak, doc_best[owner], best)
         enough = total >= least_letters
         seg = np.flatnonzero(enough[owner] & (letters > 0))

@@ -20,6 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .common import WORD, arrow_map, need
 
 #: Markup between words: tags, comments, character references, link targets.
@@ -118,7 +119,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n: int = 13, max_item_cha
     """
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_words int, char_start bigint, char_end bigint"
-    narrow = need(docs, doc_id, doc_text)
+    narrow = spread(need(docs, doc_id, doc_text))
     spark = docs.sparkSession
     result = None
     for part in _passes(items, item_id, item_text, max_item_chars):

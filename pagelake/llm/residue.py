@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .common import WORD, arrow_map, mix64, need, site_of
 
 CODE = ""  # stands for code that was taken out
@@ -68,14 +68,21 @@ WEAK = re.compile(
     r"(?<![\w{$#])\{[A-Za-z_][\w.]*\}(?![\w}])|\[\[\s*[A-Za-z_][\w.]*\s*\]\]|\(\(\s*[A-Za-z_][\w.]*\s*\)\)|(?<![\w%])%[A-Za-z_]+%(?![\w%])|(?<![\w_])__[A-Za-z][A-Za-z]*(?:_[A-Za-z]+)*__(?![\w_])|(?<![\w$])\$[A-Za-z_]+\$(?![\w$])"
     r"|\bundefined\b|\bNaN\b|\bnull(?: null)?\b|\bNULL\b|\bInvalid Date\b|#(?:REF|N/A|VALUE|NAME\?)!?|\bTODO:? (?:title|text|name|content)\b"
 )
-#: Messages that stand in place of a page, in several languages; matched against whole short lines.
-MESSAGES = re.compile(
-    r"^(?:error )?(?:4\d\d|5\d\d)?[ \-:–]*(?:(?:page|file|site|document) not found|not found|forbidden|access denied|unauthorized|bad request|bad gateway|gateway time-?out|request time-?out|service unavailable|internal server error|too many requests|proxy error)[.!]?$"
-    r"|you do not have permission to (?:view|access)|request was blocked by|page you (?:asked|are looking|requested)\b.{0,20}(?:moved|never existed|not exist|for)|seem to find what you are looking for|may have been removed or renamed|nothing lives at this address|session (?:has )?expired|please sign in again|domain is not configured|finish the setup|connection was interrupted|network change was detected|err_[a-z0]+"
-    r"|(?:down|closed) for (?:planned |scheduled )?maintenance|^please slow down and try again|upstream closed the connection|error establishing a database connection|did not respond within|went wrong on our side|isn'?t working right now|if the problem continues, contact|could not load this content|^stack trace:$|^#?\d* ?\{main\}$|uncaught exception|fatal error:"
-    r"|^seite nicht gefunden|gewünschte seite existiert|ein fehler ist aufgetreten|versuchen sie es später|wartungsarbeiten|^zugriff verweigert|^page introuvable|page demandée n'existe|erreur du serveur|merci de réessayer|^accès (?:refusé|interdit)|^página no encontrada|dirección pedida ya no existe|servicio no disponible|trabajando para volver|^acceso denegado|^pagina non trovata|^página não encontrada|^strona nie została znaleziona|^страница не найдена|^сторінку не знайдено|^ページが見つかりません|^sidan hittades inte|^pagina niet gevonden"
-    r"|(?:javascript|js|scripting|scripts?) (?:is|are|has to be|have to be|must be|muss|müssen)\b.{0,30}(?:disabled|enabled|required|switched|turned|eingeschaltet|aktiviert)|(?:works? only|cannot be shown|work properly) with(?:out)?\b|scripts and cookies have to be|requires javascript|while we check your browser|to run this app|allow scripts for this site|bitte aktivieren sie javascript|veuillez activer javascript|besoin de scripts pour s'afficher|active javascript en su navegador|does not support scripting"
+#: Messages that stand in place of a page, in several languages: titles, which fill a line, and sentences.
+_TITLES = (
+    r"(?:page|file|site|document) not found|not found|forbidden|access denied|unauthorized|bad request|bad gateway|gateway time-?out|request time-?out|service unavailable|internal server error|too many requests|proxy error|session (?:has )?expired|javascript is disabled|loading\.\.\."
+    r"|seite nicht gefunden|ein fehler ist aufgetreten|zugriff verweigert|page introuvable|erreur du serveur|accès (?:refusé|interdit)|página no encontrada|servicio no disponible|acceso denegado|pagina non trovata|página não encontrada|strona nie została znaleziona|страница не найдена|сторінку не знайдено|ページが見つかりません|sidan hittades inte|pagina niet gevonden"
 )
+_SENTENCES = (
+    r"you do not have permission to (?:view|access)|request was blocked by|page you (?:asked|are looking|requested)\b.{0,20}(?:moved|never existed|not exist|for)|requested (?:url|page|address)\b.{0,80}(?:not found|not exist)|seem to find what you are looking for|may have been removed or renamed|nothing lives at this address|please sign in again|domain is not configured|connection was interrupted|network change was detected"
+    r"|(?:down|closed) for (?:planned |scheduled )?maintenance|please slow down and try again|upstream closed the connection|error establishing a database connection|did not respond within|went wrong on our side|isn'?t working right now|if the problem continues, contact|could not load this content|uncaught exception|fatal error:"
+    r"|gewünschte seite existiert|versuchen sie es später|wartungsarbeiten|page demandée n'existe|merci de réessayer|dirección pedida ya no existe|trabajando para volver"
+    r"|(?:javascript|js|scripting|scripts?)\b.{0,12} (?:is|are|has to be|have to be|must be)\b.{0,30}(?:disabled|required|switched|turned)|muss javascript|without js enabled|some parts of this site cannot be shown without|works? only with\b.{0,20}scripts|scripts and cookies have to be|requires javascript|while we check your browser|javascript to run this app|allow scripts for this site|enable (?:java)?scripts? in your browser"
+    r"|aktivieren sie javascript|activer javascript|besoin de scripts pour s'afficher|active javascript en su navegador|does not support scripting"
+)
+MESSAGES = re.compile(rf"^(?:error )?(?:4\d\d|5\d\d)?[ \-:–]*(?:{_TITLES})[.!]?$|^stack trace:$|^#?\d* ?\{{main\}}$|{_SENTENCES}")
+#: The same in the values of a JSON record, where title and sentence follow each other.
+_JSON_MESSAGES = re.compile(rf"^(?:error )?(?:4\d\d|5\d\d)?[ \-:–]*(?:{_TITLES})(?:$|[.!,;: ])|{_SENTENCES}")
 #: Filler that designers put where text will be, matched against whole short lines.
 FILLER = re.compile(
     r"^(?:your (?:headline|title|text|name) here|coming soon|tbd|sample (?:heading|subheading|title|text)|sample body text\b.*|asdf[ asdfjklm]*|x{3,}(?: x{2,})+|test test \d+|dummy (?:paragraph|text)\b.*|placeholder (?:copy|text)\b.*|content to be supplied\b.*|text goes here\b.*|add a short description of your service\b.*|this is an example page created by\b.*|hier steht später ihr text\b.*|votre texte ici\b.*|texto de ejemplo\b.*|su texto aquí\b.*)$"
@@ -118,7 +125,8 @@ def _strings(value: object) -> list[str]:
     return []
 
 
-_HEX = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
+#: Slots of a message: numbers, hexadecimal codes, paths, and names of several parts.
+_SLOT = re.compile(r"[0-9a-f]*\d[0-9a-f]*|\S*[/_]\S+|\w+(?:-\w+){2,}")
 
 
 _STEMS = frozenset(w[:3] for w in LOREM)
@@ -149,10 +157,10 @@ def inspect(content: str, kind: str | None) -> tuple[str | None, list[int], list
         low = x.lower().lstrip("#*->•·| ").rstrip()
         n = low.count(" ") + 1
         if n <= 20:
-            forms.append(_HEX.sub("0", low) if not low.isalpha() else low)
+            forms.append(_SLOT.sub("0", low))
             if short and (MESSAGES.search(low) or FILLER.match(low)) and CODE not in low:
                 sign = "message"
-        if kind == "json" and (MESSAGES.search(low) or any(MESSAGES.search(p) for p in re.split(r"(?<=[.!?]) ", low))):
+        if kind == "json" and _JSON_MESSAGES.search(low):
             sign = "message"
         if _is_lorem(low):
             filler_words += n
@@ -197,7 +205,7 @@ def residue_pages(pages: DataFrame, min_pages: int = 8, min_sites: int = 3, broa
     """
     spark = pages.sparkSession
     base = need(pages, "page_id", "content_format", "content", "final_url", "url").where("length(content) > 0")
-    base = base.select("page_id", "content_format", "content", site_of(F.col("final_url"), F.col("url")).alias("site"))
+    base = spread(base.select("page_id", "content_format", "content", site_of(F.col("final_url"), F.col("url")).alias("site")))
     kind = dict(base.dtypes)["page_id"]
     schema = f"page_id {kind}, reason string, key bigint, short bigint, total bigint, sites bigint, bodies bigint"
 

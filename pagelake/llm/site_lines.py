@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .common import TAG, WORD, arrow_map, mix64, need, site_of
 
 DIGITS = re.compile("[0-9]+")
@@ -108,6 +108,7 @@ def repeated_lines(pages: DataFrame, min_pages: int = 6, min_share: float = 0.2,
     spark = pages.sparkSession
     base = need(pages, "page_id", "final_url", "url", "content_format", "content").where("content is not null")
     base = base.select("page_id", site_of(F.col("final_url"), F.col("url")).alias("site"), "content_format", "content").withColumn("site_key", F.xxhash64("site"))
+    lines_of = spread(base)
     totals = base.groupBy(F.col("site_key").alias("site")).agg(F.count_distinct("page_id").alias("pages"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -126,7 +127,7 @@ def repeated_lines(pages: DataFrame, min_pages: int = 6, min_share: float = 0.2,
             out.append((s[first], k[first], np.diff(np.append(first, len(k)))))
         return pa.RecordBatch.from_arrays([_signed(np.concatenate([o[0] for o in out])), _signed(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]).astype(np.int64))], ["site", "key", "n"])
 
-    counts = arrow_map(base, count, "site bigint, key bigint, n bigint", text="content").groupBy("site", "key").agg(F.sum("n").alias("n"))
+    counts = arrow_map(lines_of, count, "site bigint, key bigint, n bigint", text="content").groupBy("site", "key").agg(F.sum("n").alias("n"))
     clusters = counts.where(F.col("n") >= min_pages)
     hot = cut_lineage(clusters.join(totals, "site").where(F.col("n") >= F.col("pages") * min_share).select("site", "key", "pages"))
     small = hot.count() <= broadcast_keys
@@ -150,7 +151,7 @@ def repeated_lines(pages: DataFrame, min_pages: int = 6, min_share: float = 0.2,
         return pa.RecordBatch.from_arrays([pa.array([page[i] for i in at], batch.schema.field(0).type), pa.array([number[i] for i in at], pa.int64()), _signed(sites[at]), _signed(form), *(_signed(k[at]) for k in keys)], ["page_id", "line_no", "site", "form", "b0", "b1"])
 
     kind = dict(base.dtypes)["page_id"]
-    found = arrow_map(base, lines, f"page_id {kind}, line_no bigint, site bigint, form bigint, b0 bigint, b1 bigint", text="content")
+    found = arrow_map(lines_of, lines, f"page_id {kind}, line_no bigint, site bigint, form bigint, b0 bigint, b1 bigint", text="content")
     if not small:
         keyed = found.select("page_id", "line_no", "site", "form", F.explode(F.array("b0", "b1")).alias("key"))
         found = keyed.join(hot.select("key"), "key", "left_semi").dropDuplicates(["page_id", "line_no"])
