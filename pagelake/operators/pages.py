@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..page import Options, Page, extract_page
+from ..session import spread
 
 EXTRACTED = "ok boolean, error struct<code:string,message:string>, final_url string, content string, page_metadata map<string,string>, warnings array<string>, source_bytes bigint, needs_render boolean"
 _FIELDS = pa.struct(
@@ -43,7 +44,7 @@ def get(df: DataFrame, options: Options = Options(), url_col: str = "url", html_
                 out = pa.array(rows, _FIELDS)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *out.flatten()], [*kept, *(f.name for f in _FIELDS)])
 
-    out = inner.mapInArrow(run, f"{fields}, {EXTRACTED}" if kept else EXTRACTED)
+    out = spread(inner).mapInArrow(run, f"{fields}, {EXTRACTED}" if kept else EXTRACTED)
     return with_limits(out, options.max_chars) if options.max_chars is not None else out
 
 

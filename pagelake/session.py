@@ -52,3 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed once and read again from the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over the cluster's cores if it has fewer partitions than half of them.
+
+    Small tables come as one file with one row group, which would leave a Python stage
+    to a single task. Tables of many splits pass unchanged and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
