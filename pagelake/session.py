@@ -60,5 +60,7 @@ def spread(df: DataFrame) -> DataFrame:
     Small tables come as one file with one row group, which would leave a Python stage
     to a single task. Tables of many splits pass unchanged and aren't shuffled.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
