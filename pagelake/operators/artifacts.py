@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from .running import running_before
 
 
 def parse_duration(text: str) -> int:
@@ -68,19 +69,19 @@ def prune(df: DataFrame, older_than: int | None = None, keep_last: int | None =
 
     The newest ``keep_last`` are protected, and alone it deletes all others. ``older_than``
     selects what is strictly older. ``max_bytes`` then selects the oldest unprotected runs
-    until what stays fits. Runs of equal age go by id.
-
-    The store's order is one running sum. It is computed per store (``store`` names the
-    column); within a store only ids, sizes and times are sorted, never run contents.
+    until what stays fits. Runs of equal age go by id. ``store`` names the column that
+    tells stores apart; a null time or size isn't supported.
     """
     if older_than is None and keep_last is None and max_bytes is None:
         raise ValueError("pruning needs at least one of older_than, keep_last and max_bytes")
     part = [store] if store else []
-    columns = [*part, run_id, modified, size, age]
-    out = df.select(*dict.fromkeys(columns))
-    newest = Window.partitionBy(*part).orderBy(F.desc(modified), run_id)
-    protected = F.row_number().over(newest) <= keep_last if keep_last is not None else F.lit(False)
-    out = out.withColumn("__kept", protected)
+    columns = [*dict.fromkeys([*part, run_id, modified, size, age])]
+    out = df.select(*columns)
+    kept = F.lit(False)
+    if keep_last is not None:
+        out = running_before(out, part, F.lit(1), modified, 86_400, [run_id], descending=True)
+        kept = F.col("__before") < keep_last
+    out = out.withColumn("__kept", kept).drop("__before")
     chosen = F.lit(False)
     if older_than is not None:
         chosen = ~F.col("__kept") & (F.col(age) > older_than)
@@ -88,10 +89,9 @@ def prune(df: DataFrame, older_than: int | None = None, keep_last: int | None =
         chosen = ~F.col("__kept")
     out = out.withColumn("__chosen", chosen)
     if max_bytes is not None:
-        left = F.sum(F.when(F.col("__chosen"), 0).otherwise(F.col(size))).over(Window.partitionBy(*part))
-        oldest = Window.partitionBy(*part).orderBy(modified, run_id).rowsBetween(Window.unboundedPreceding, -1)
-        free = F.when(F.col("__kept") | F.col("__chosen"), 0).otherwise(F.col(size))
-        gone = F.coalesce(F.sum(free).over(oldest), F.lit(0))
-        out = out.withColumn("__evicted", ~F.col("__kept") & ~F.col("__chosen") & (left - gone > max_bytes))
-        out = out.withColumn("__chosen", F.col("__chosen") | F.col("__evicted"))
-    return out.where("__chosen").select(*dict.fromkeys(columns))
+        out = running_before(out, part, F.when(F.col("__kept") | F.col("__chosen"), 0).otherwise(F.col(size)), modified, 86_400, [run_id])
+        stays = F.sum(F.when(F.col("__chosen"), 0).otherwise(F.col(size))).alias("__stays")
+        total = out.groupBy(*part).agg(stays) if part else out.agg(stays)
+        out = out.join(total, part) if part else out.crossJoin(F.broadcast(total))  # one row
+        out = out.withColumn("__chosen", F.col("__chosen") | ~F.col("__kept") & (F.col("__stays") - F.col("__before") > max_bytes))
+    return out.where("__chosen").select(*columns)

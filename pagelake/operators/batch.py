@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from .running import running_before
 
 
 def url_lines(lines: DataFrame, value: str = "value", order: str | None = None) -> DataFrame:
@@ -26,28 +27,42 @@ def _partition(run: str | None) -> list[str]:
 
 
 def dedupe(inputs: DataFrame, url: str = "url", index: str = "index", run: str | None = None) -> DataFrame:
-    """``status`` and ``reason``: the first place of a URL is pending, later ones are skipped as duplicates; places stay."""
-    order = Window.partitionBy(*_partition(run), url).orderBy(index)
-    again = F.row_number().over(order) > 1
-    return inputs.withColumn("status", F.when(again, "skipped").otherwise("pending")).withColumn("reason", F.when(again, "duplicate"))
+    """``status`` and ``reason``: the first place of a URL is pending, later ones are skipped as duplicates; places stay.
+
+    The first place comes from an aggregate, so a URL with a third of all rows is
+    combined before it is shuffled. Null URLs count as one.
+    """
+    keys = [*_partition(run), url]
+    first = inputs.groupBy(*keys).agg(F.min(index).alias("__first"))
+    first = first.select(*(F.col(k).alias(f"__{k}") for k in keys), "__first")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    test = same[0]
+    for t in same[1:]:
+        test = test & t
+    again = F.col(index) > F.col("__first")
+    out = inputs.join(first, test).withColumn("status", F.when(again, "skipped").otherwise("pending")).withColumn("reason", F.when(again, "duplicate"))
+    return out.drop("__first", *(f"__{k}" for k in keys))
 
 
 def fail_fast(items: DataFrame, failed: Column, concurrency: int = 2, index: str = "index", run: str | None = None) -> DataFrame:
     """``status`` and ``reason`` after fail-fast: once a chunk of ``concurrency`` fetched items holds a failure, all later chunks are skipped.
 
     ``items`` has ``status`` as ``dedupe`` gives it; ``failed`` says how the fetch would end.
-    Failures are first counted per chunk, so the running sum goes over chunks.
     """
     if not 1 <= concurrency <= 8:
         raise ValueError("concurrency must be from 1 to 8")
-    order = Window.partitionBy(*_partition(run)).orderBy(index)
+    part = _partition(run)
     fetched = F.col("status") == "pending"
-    rank = F.sum(F.when(fetched, 1).otherwise(0)).over(order) - 1
-    out = items.withColumn("__chunk", F.when(fetched, F.floor(rank / concurrency))).withColumn("__failed", fetched & F.coalesce(failed, F.lit(False)))
-    first = F.min(F.when(F.col("__failed"), F.col("__chunk"))).over(Window.partitionBy(*_partition(run)))
-    skip = fetched & (F.col("__chunk") > first)
+    out = items.withColumn("__failed", fetched & F.coalesce(failed, F.lit(False)))
+    out = running_before(out, part, F.when(fetched, 1).otherwise(0), index, 10_000, name="__rank")
+    out = out.withColumn("__chunk", F.when(fetched, F.floor(F.col("__rank") / concurrency)))
+    stop = F.min(F.when(F.col("__failed"), F.col("__chunk"))).alias("__stop")
+    # one row for each run
+    out = out.join(out.groupBy(*part).agg(stop), part) if part else out.crossJoin(F.broadcast(out.agg(stop)))
+    skip = fetched & (F.col("__chunk") > F.col("__stop"))
     status = F.when(skip, "skipped").when(F.col("__failed"), "failed").when(fetched, "ok").otherwise(F.col("status"))
-    return out.withColumns({"status": F.coalesce(status, F.col("status")), "reason": F.when(skip, "fail_fast").otherwise(F.col("reason"))}).drop("__chunk", "__failed")
+    reason = F.when(skip, "fail_fast").otherwise(F.col("reason"))
+    return out.withColumns({"status": status, "reason": reason}).select(*items.columns)
 
 
 def summary(items: DataFrame, status: str = "status", by: list[str] | None = None) -> DataFrame:

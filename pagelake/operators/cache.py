@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -32,10 +32,14 @@ def key_column(url: Column, options: Options = Options()) -> Column:
 
 
 def latest_entries(entries: DataFrame, key: str = "key", version: int = 1) -> DataFrame:
-    """One entry a key: the newest of the current version; other versions and entries without content count as absent."""
+    """One entry a key: the newest of the current version; other versions and entries without content count as absent.
+
+    A maximum over records, so that a hot key is combined before it is shuffled.
+    """
     good = entries.where((F.col("schema_version") == version) & F.col("content").isNotNull())
-    newest = Window.partitionBy(key).orderBy(F.desc("created_at"), F.desc("content"))
-    return good.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    rest = [c for c in entries.columns if c not in (key, "created_at", "content")]
+    best = good.groupBy(key).agg(F.max(F.struct("created_at", "content", *rest)).alias("__e"))
+    return best.select(*(F.col(key) if c == key else F.col(f"__e.{c}").alias(c) for c in entries.columns))
 
 
 def lookup(requests: DataFrame, entries: DataFrame, now: Column, ttl_seconds: int = 86_400, policy: str = "auto", url: str = "url", key: str = "key") -> DataFrame:

@@ -34,8 +34,10 @@ def cookie_json(cookies: DataFrame) -> DataFrame:
 
 def dedupe_cookies(cookies: DataFrame, order: str) -> DataFrame:
     """The first cookie of each (name, domain, path); later ones are dropped without complaint."""
-    first = Window.partitionBy("name", "domain", "path").orderBy(order)
-    return _key_columns(cookies).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    keys = ["name", "domain", "path"]
+    rest = [c for c in cookies.columns if c not in (*keys, order)]
+    first = _key_columns(cookies).groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("__c"))
+    return first.select(*(F.col(c) if c in keys else F.col(f"__c.{c}").alias(c) for c in cookies.columns))
 
 
 def filter_cookies(cookies: DataFrame, allowed: list[str]) -> DataFrame:
