@@ -36,7 +36,7 @@ from ..session import cut_lineage, spread
 from .common import arrow_map, need, path_of, site_of
 from .residue import FILLER, MESSAGES
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--(?:(?!<!--).)*?-->")
 _DIGITS = re.compile(r"\d+")
 _LEAD = re.compile(r"^[\s#>*•·\-+]+")
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)")
@@ -175,7 +175,7 @@ def line_table(content: str, kind: str | None, label: str) -> tuple[list[int], l
                 ):
                     b |= STRONG
         numbers.append(i + 1)
-        keys.append(hashed(form))
+        keys.append(hashed(bare if b & HEADING else form))  # numbers tell headings apart
         m = _OPEN.match(bare) if not b & (_BODY & ~CODE) else None
         opens.append(hashed(f"open\0{m.group(1) or m.group(2)}") if m else 0)
         out.append(b)
@@ -397,7 +397,7 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
             free = (bits & _BODY) == 0
             for part, width in ((k, 1), (o, 1), (two, 2), (three, 3)):
                 part = np.frombuffer(part, np.uint64)
-                at = np.flatnonzero(free & (part > 0))
+                at = np.flatnonzero((free | ((bits & _BODY) == CODE) & (width == 1)) & (part > 0))
                 names += [record] * len(at)
                 ids += [rid] * len(at)
                 starts.append(no[at])

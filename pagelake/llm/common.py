@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 #: A word is a longest run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"<[^>\n]*>")
+
+
+def drop_tags(content: str) -> str:
+    """``content`` without ``<...>`` within a line; the part of a line behind its last ``>`` holds none and isn't searched."""
+    if "<" not in content:
+        return content
+    out = []
+    for line in content.split("\n"):
+        end = line.rfind(">") + 1
+        out.append(TAG.sub("", line[:end]) + line[end:] if "<" in line and end else line)
+    return "\n".join(out)
+
+
 _SITE = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]*)"
 
 

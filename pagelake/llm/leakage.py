@@ -24,7 +24,7 @@ from ..session import spread
 from .common import WORD, arrow_map, need
 
 #: Markup between words: tags, comments, character references, link targets.
-MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z]+|#\d+|#x[0-9A-Fa-f]+);|\]\([^()\s]*\)", re.S)
+MARKUP = re.compile(r"<!--(?:(?!<!--).)*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z]+|#\d+|#x[0-9A-Fa-f]+);|\]\([^()\s]*\)", re.S)
 
 
 def blanked(text: str) -> str:

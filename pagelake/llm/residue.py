@@ -32,11 +32,11 @@ from .common import WORD, arrow_map, mix64, need, site_of
 
 CODE = ""  # stands for code that was taken out
 _FENCE = re.compile(r"^(```|~~~).*?(?:^\1[^\n]*$|\Z)", re.M | re.S)
-_CODE_ELEMENT = re.compile(r"<(pre|code|script|style|textarea|kbd|samp)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_CODE_ELEMENT = re.compile(r"<(pre|code|script|style|textarea|kbd|samp)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
 _INDENTED = re.compile(r"^(?: {4}|\t)[^\n]*$", re.M)
 _TARGET = re.compile(r"\]\([^()\s]*\)")
-_ELEMENT = re.compile(r"<!--.*?-->|</?(?:html|head|body|title|meta|link|div|span|p|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|a|b|i|u|em|strong|small|table|thead|tbody|tfoot|tr|td|th|caption|nav|header|footer|aside|main|section|article|figure|figcaption|img|blockquote|form|input|button|label|select|option|noscript|iframe|svg|sup|sub|q|cite|del|ins|details|summary)\b[^<>]*>", re.I)
+_ELEMENT = re.compile(r"<!--(?:(?!<!--).)*?-->|</?(?:html|head|body|title|meta|link|div|span|p|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|a|b|i|u|em|strong|small|table|thead|tbody|tfoot|tr|td|th|caption|nav|header|footer|aside|main|section|article|figure|figcaption|img|blockquote|form|input|button|label|select|option|noscript|iframe|svg|sup|sub|q|cite|del|ins|details|summary)\b[^<>]*>", re.I)
 _BREAK = re.compile(r"</?(?:div|p|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|nav|header|footer|aside|main|section|article|blockquote|form|noscript|title)\b", re.I)
 _WRAP = re.compile(r"(?<=[^\n])\n(?=[^\n])")
 #: How template languages write a variable.
@@ -125,8 +125,16 @@ def _strings(value: object) -> list[str]:
     return []
 
 
-#: Slots of a message: numbers, hexadecimal codes, paths, and names of several parts.
-_SLOT = re.compile(r"[0-9a-f]*\d[0-9a-f]*|\S*[/_]\S+|\w+(?:-\w+){2,}")
+_CODE_WORD = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
+
+
+def _slots(line: str) -> str:
+    """``line`` with its slots masked: numbers, hexadecimal codes, paths, names of several parts, very long words."""
+    if not any(c in line for c in "0123456789/_-") and len(line) < 400:
+        return line
+    return " ".join("0" if "/" in w or "_" in w or w.count("-") > 1 or len(w) > 40 else _CODE_WORD.sub("0", w) for w in line.split(" "))
+
+
 
 
 _STEMS = frozenset(w[:3] for w in LOREM)
@@ -157,7 +165,7 @@ def inspect(content: str, kind: str | None) -> tuple[str | None, list[int], list
         low = x.lower().lstrip("#*->•·| ").rstrip()
         n = low.count(" ") + 1
         if n <= 20:
-            forms.append(_SLOT.sub("0", low))
+            forms.append(_slots(low))
             if short and (MESSAGES.search(low) or FILLER.match(low)) and CODE not in low:
                 sign = "message"
         if kind == "json" and _JSON_MESSAGES.search(low):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, spread
-from .common import TAG, WORD, arrow_map, mix64, need, site_of
+from .common import WORD, arrow_map, drop_tags, mix64, need, site_of
 
 DIGITS = re.compile("[0-9]+")
 #: Month names, masked as parts of dates.
@@ -37,7 +37,7 @@ _MULTS = (_RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint64) | np.uint64(1))
 def line_forms(content: str, html: bool) -> list[str]:
     """The form of each line: no markup tags (html only), no digits, single spaces, trimmed, lower case."""
     if html:
-        content = TAG.sub("", content)
+        content = drop_tags(content)
     return [" ".join(line.split()) for line in DIGITS.sub("", content).lower().split("\n")]
 
 
