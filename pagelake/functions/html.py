@@ -58,3 +58,15 @@ html_text = _column(lambda h: element_text(parse_document(h)), pa.string(), T.St
 page_metadata = _column(lambda h: sorted(_metadata(parse_document(h)).items()), pa.map_(pa.string(), pa.string()), T.MapType(T.StringType(), T.StringType()))
 needs_render = _column(lambda h: _needs_render(parse_document(h)), pa.bool_(), T.BooleanType())
 page_links = _column(lambda u, h: links_of(u, parse_document(h)), pa.list_(LINK), LINKS)
+
+
+def _candidates(h: str) -> list[dict]:
+    from ..page.content import candidates, score
+
+    found = candidates(parse_document(h))
+    return [{"pos": i, "tag": e.name, "score": score(e, 1)} for i, e in enumerate(found)]
+
+
+_CANDIDATE = pa.struct([("pos", pa.int64()), ("tag", pa.string()), ("score", pa.int64())])
+#: Containers in the order in which ties are decided, with their scores before any clean-up.
+content_candidates = _column(_candidates, pa.list_(_CANDIDATE), T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("tag", T.StringType()), T.StructField("score", T.LongType())])))

@@ -132,16 +132,3 @@ def session_names(df: DataFrame, name: str = "name") -> DataFrame:
 def candidate_origins(domains: Column, explicit: Column) -> Column:
     """Origins whose storage may be exported: both schemes of each domain and the explicit ones, lower case, sorted."""
     return F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(domains, lambda d: F.array(F.concat(F.lit("https://"), d), F.concat(F.lit("http://"), d)))), F.transform(explicit, F.lower))))
-
-
-#: Browser events that stop an action plan, and the code each gives.
-HAZARDS = {"Browser.downloadWillBegin": "requires_confirmation", "Page.fileChooserOpened": "requires_confirmation", "Page.javascriptDialogOpening": "requires_confirmation", "Page.windowOpen": "requires_confirmation"}
-
-
-def first_hazard(events: DataFrame, by: str = "run", order: str = "pos", method: str = "method", most: int = 64) -> DataFrame:
-    """The code of the first hazardous event of each run, among its first ``most`` tracked ones."""
-    tracked = events.where(F.col(method).isin(*HAZARDS, "Page.frameScheduledNavigation", "Target.targetCreated"))
-    ranked = tracked.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("__n") <= most)
-    code = F.create_map(*[F.lit(x) for pair in HAZARDS.items() for x in pair])[F.col(method)]
-    hit = ranked.withColumn("code", code).where("code is not null")
-    return hit.groupBy(by).agg(F.min_by("code", order).alias("code"), F.min(order).alias(order))

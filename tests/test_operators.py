@@ -190,8 +190,29 @@ def test_sessions(spark):
     assert [r.name for r in sessions.session_names(names).collect()] == ["a", "b"]
     origins = spark.range(1).select(sessions.candidate_origins(F.array(F.lit("d.test")), F.array(F.lit("HTTPS://E.test"))).alias("o")).first().o
     assert origins == ["http://d.test", "https://d.test", "https://e.test"]
-    events = spark.createDataFrame([(1, 0, "Page.loadEventFired"), (1, 1, "Page.javascriptDialogOpening"), (1, 2, "Browser.downloadWillBegin"), (2, 0, "Page.loadEventFired")], "run int, pos int, method string")
-    assert rows(sessions.first_hazard(events)) == [(1, "requires_confirmation", 1)]
+
+
+def test_browser_rules(spark):
+    from pagelake.functions.html import content_candidates
+    from pagelake.operators import browser
+
+    new_page = '{"targetInfo": {"type": "page", "targetId": "t2"}}'
+    events = [(1, 0, "Page.loadEventFired", "{}"), (1, 1, "Page.frameScheduledNavigation", '{"url": "https://b.test/"}'), (1, 2, "Page.javascriptDialogOpening", "{}"), (2, 0, "Page.frameScheduledNavigation", '{"url": "https://a.test/x"}'), (2, 1, "Page.frameScheduledNavigation", '{"url": "::"}'), (2, 2, "Target.targetCreated", new_page.replace("t2", "t1")), (3, 5, "Target.attachedToTarget", new_page), (4, 0, "Page.windowOpen", None)]
+    df = spark.createDataFrame([(*e, "https://a.test/", "t1") for e in events], "run int, pos int, method string, params string, start_url string, target_id string")
+    assert rows(browser.hazards(df), "run", "pos", "code") == [(1, 1, "navigation_blocked"), (3, 5, "requires_confirmation"), (4, 0, "requires_confirmation")]
+    assert browser.tracked_events(df, most=1).count() == 4
+    targets = spark.createDataFrame([(1, 0, "page", "about:blank", "a"), (1, 1, "page", "chrome://x", "b"), (1, 2, "webview", "https://x", "c"), (2, 0, "worker", "https://x", "d"), (2, 1, "page", None, "e"), (3, 0, "worker", "u", "f")], "run int, pos int, type string, url string, target_id string")
+    assert rows(browser.preferred_target(targets)) == [(1, "c"), (2, "e")]
+    tree = json.dumps({"frameTree": {"frame": {"url": "https://W.a.test:8443/x"}, "childFrames": [{"frame": {"url": "data:x"}}, {"frame": {"url": "http://a.test/"}, "childFrames": [{"frame": {"url": "https://o.test"}}]}]}})
+    assert browser.frame_origins(tree, ["a.test"]) == ["http://a.test", "https://w.a.test:8443"] and browser.frame_origins("x", ["a"]) == []
+    assert spark.createDataFrame([(tree,)], "t string").select(browser.frame_origin_column("t", ["o.test"])).first()[0] == ["https://o.test"]
+    cookies = spark.createDataFrame([("n", "v", "a.test", "/", 9, True, True), ("n", "v", "x.a.test", "/", 9, False, True), ("n", "v", ".x.a.test", "/", 9, False, True), ("d", "1", "a.test", "/", None, False, True), ("d", "2", ".a.test", "/", None, False, True)], "name string, value string, domain string, path string, expires bigint, session_only boolean, secure boolean")
+    good, bad = browser.imported_cookies(cookies, ["a.test"])
+    assert rows(good, "name", "domain", "expires", "http_only") == [("n", "a.test", None, True), ("n", "x.a.test", 9, True)] and rows(bad, "name") == [("d",)]
+    warned = browser.screenshot_warnings(spark.createDataFrame([(True, None), (False, ["w"])], "s boolean, warnings array<string>"), F.col("s"))
+    assert [len(r.warnings) for r in warned.collect()] == [1, 1]
+    page = spark.createDataFrame([("<article>one two three</article><div class=nav>x</div><main>one two</main>",), (None,)], "h string").select(content_candidates("h").alias("c")).collect()
+    assert [(c.tag, c.score > 0) for c in page[0].c] == [("main", True), ("article", True)] and page[1].c is None
 
 
 def test_privacy_and_plans(spark):
