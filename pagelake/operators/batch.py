@@ -71,10 +71,21 @@ def summary(items: DataFrame, status: str = "status", by: list[str] | None = Non
     return items.groupBy(*(by or [])).agg(*counts).withColumn("ok", F.col("failed") == 0)
 
 
-def manifest(items: DataFrame, by: str, index: str = "index") -> DataFrame:
-    """``(by, manifest_json, manifest_md)``: summary and ordered items of each run, which must fit a document."""
+def manifest_lines(items: DataFrame, by: str, index: str = "index") -> DataFrame:
+    """``(by, index, item_json, item_md)``: the lines of each run's manifest, for runs of any size."""
+    one = F.to_json(F.struct(F.col(index).alias("index"), F.col("url"), F.col("status"), F.col("reason")))
+    return items.select(by, F.col(index).alias("index"), one.alias("item_json"), F.concat(F.lit("- "), "status", F.lit(" `"), "url", F.lit("`")).alias("item_md"))
+
+
+def manifest(items: DataFrame, by: str, index: str = "index", max_items: int = 10_000) -> DataFrame:
+    """``(by, items, manifest_json, manifest_md)``: summary and ordered items of each run as documents.
+
+    A run of more than ``max_items`` items has null documents; ``manifest_lines`` has its lines.
+    """
+    counts = items.groupBy(by).agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "succeeded"), ("failed", "failed"), ("skipped", "skipped"))))
+    small = items.join(counts.where(F.col("n") <= max_items).select(by), by, "left_semi")
     listed = F.sort_array(F.collect_list(F.struct(F.col(index).alias("index"), F.col("url"), F.col("status"), F.col("reason"))))
-    grouped = items.groupBy(by).agg(listed.alias("items"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "succeeded"), ("failed", "failed"), ("skipped", "skipped"))))
-    line = F.transform("items", lambda i: F.concat(F.lit("- "), i["status"], F.lit(" `"), i["url"], F.lit("`")))
-    body = F.to_json(F.struct(F.struct(F.size("items").alias("requested"), "succeeded", "failed", "skipped").alias("summary"), F.col("items")), {"pretty": "true"})
-    return grouped.select(by, body.alias("manifest_json"), F.array_join(line, "\n").alias("manifest_md"))
+    grouped = counts.join(small.groupBy(by).agg(listed.alias("all")), by, "left")
+    line = F.transform("all", lambda i: F.concat(F.lit("- "), i["status"], F.lit(" `"), i["url"], F.lit("`")))
+    body = F.to_json(F.struct(F.struct(F.col("n").alias("requested"), "succeeded", "failed", "skipped").alias("summary"), F.col("all").alias("items")), {"pretty": "true"})
+    return grouped.select(by, F.col("n").alias("items"), F.when(F.col("all").isNotNull(), body).alias("manifest_json"), F.array_join(line, "\n").alias("manifest_md"))

@@ -6,7 +6,7 @@ Storage: ``(session, origin, kind, name, value)``. Conflicts are rows, not excep
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -88,34 +88,49 @@ def login_merge(old: DataFrame, fresh: DataFrame, fresh_domains: list[str]) -> D
     return old.where(~test).unionByName(fresh)
 
 
+def _suffixes(host: Column) -> Column:
+    """The host and the domains above it: all domains that cover it."""
+    parts = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+
+
+def _clean_domain(domain: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(domain), r"^\.+|\.+$", ""))
+
+
 def replay_scope(requests: DataFrame, cookies: DataFrame, url: str = "url", session: str = "session") -> DataFrame:
     """Requests with ``scope_error``: a target that is no URL, state outside the target's scope, or none that matches.
 
-    One row per request and session name; requests without a session pass. Sessions are
-    joined on their name, so nothing is compared across sessions.
+    A request without a session passes. Cookies are counted per session and domain, and
+    each distinct pair of session and host looks its few covering domains up, so the
+    requests of a session never meet all of its cookies.
     """
     host = U.host(F.col(url))
-    state = cookies.select(F.col(session).alias("__s"), F.col("domain").alias("__d"))
-    joined = requests.withColumn("__id", F.monotonically_increasing_id()).join(state, F.col(session) == F.col("__s"), "left")
-    covers = U.domain_covers(F.col("__d"), host)
-    kept = [c for c in requests.columns if c not in (url, session)]
-    grouped = joined.groupBy("__id", url, session, *kept).agg(F.count("__d").alias("__n"), F.count_if(covers & F.col("__d").isNotNull()).alias("__ok"))
-    error = (
-        F.when(F.col(session).isNull(), None).when(U.host(F.col(url)).isNull(), "usage_error").when(F.col("__n") == 0, "session_scope_mismatch").when(F.col("__ok") < F.col("__n"), "session_scope_mismatch")
-    )
-    return grouped.select(*requests.columns, error.alias("scope_error"))
+    state = cookies.groupBy(F.col(session).alias("__s"), _clean_domain(F.col("domain")).alias("__d")).agg(F.count("*").alias("__n"))
+    totals = state.groupBy("__s").agg(F.sum("__n").alias("__total"))
+    pairs = requests.select(F.col(session).alias("__s"), host.alias("__h")).where("__s is not null and __h is not null").distinct()
+    covered = pairs.withColumn("__d", F.explode(_suffixes(F.col("__h")))).join(state, ["__s", "__d"]).groupBy("__s", "__h").agg(F.sum("__n").alias("__ok"))
+    found = pairs.join(totals, "__s", "left").join(covered, ["__s", "__h"], "left").select(F.col("__s").alias(session), F.col("__h"), "__total", "__ok")
+    out = requests.withColumn("__h", host).join(found, [session, "__h"], "left")
+    total, ok = F.coalesce("__total", F.lit(0)), F.coalesce("__ok", F.lit(0))
+    error = F.when(F.col(session).isNull(), None).when(F.col("__h").isNull(), "usage_error").when((total == 0) | (ok < total), "session_scope_mismatch")
+    return out.withColumn("scope_error", error).select(*requests.columns, "scope_error")
 
 
 def cookie_header(requests: DataFrame, cookies: DataFrame, url: str = "url", session: str = "session") -> DataFrame:
-    """``cookie_header`` of each request: cookies that scheme, domain and path admit, in the order of domain, path and name."""
-    c = cookies.select(F.col(session).alias("__s"), *(F.col(x).alias(f"__{x}") for x in ("name", "value", "domain", "path", "secure")))
-    path = U.path(F.col(url))
-    ok = U.domain_covers(F.col("__domain"), U.host(F.col(url))) & (~F.coalesce(F.col("__secure"), F.lit(False)) | (U.scheme(F.col(url)) == "https"))
+    """``cookie_header`` of each request: cookies that scheme, domain and path admit, in the order of domain, path and name.
+
+    Requests look up the domains that cover their host; a header holds the cookies of these only.
+    """
+    c = cookies.select(F.col(session).alias("__s"), _clean_domain(F.col("domain")).alias("__d"), *(F.col(x).alias(f"__{x}") for x in ("name", "value", "path", "secure")))
+    asked = requests.select(F.col(session).alias("__s"), F.col(url).alias("__u")).where("__s is not null and __u is not null").distinct()
+    path = U.path(F.col("__u"))
+    ok = ~F.coalesce(F.col("__secure"), F.lit(False)) | (U.scheme(F.col("__u")) == "https")
     ok = ok & ((path == F.col("__path")) | (path.startswith(F.col("__path")) & (F.col("__path").endswith("/") | path.startswith(F.concat(F.col("__path"), F.lit("/"))))))
-    joined = requests.withColumn("__id", F.monotonically_increasing_id()).join(c, F.col(session) == F.col("__s"), "left")
-    one = F.when(ok, F.struct("__domain", "__path", "__name", F.concat("__name", F.lit("="), "__value").alias("text")))
-    grouped = joined.groupBy("__id", *requests.columns).agg(F.array_sort(F.collect_list(one)).alias("__all"))
-    return grouped.select(*requests.columns, F.array_join(F.transform("__all", lambda x: x["text"]), "; ").alias("cookie_header"))
+    joined = asked.withColumn("__d", F.explode(_suffixes(U.host(F.col("__u"))))).join(c, ["__s", "__d"]).where(ok)
+    one = F.struct("__d", "__path", "__name", F.concat("__name", F.lit("="), "__value").alias("text"))
+    headers = joined.groupBy("__s", "__u").agg(F.array_sort(F.collect_list(one)).alias("__all")).select(F.col("__s").alias(session), F.col("__u").alias(url), F.array_join(F.transform("__all", lambda x: x["text"]), "; ").alias("cookie_header"))
+    return requests.join(headers, [session, url], "left").select(*requests.columns, F.coalesce("cookie_header", F.lit("")).alias("cookie_header"))
 
 
 def inspect(cookies: DataFrame, show_secrets: bool = False) -> DataFrame:

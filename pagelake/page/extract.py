@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from dataclasses import dataclass, field
 
 from .. import url as urls
@@ -15,6 +16,10 @@ from .options import Options
 from .text import element_text
 
 
+#: Rendering follows the tree; frames of Python functions don't use the C stack.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+
+
 @dataclass
 class Page:
     """What comes out of a page; ``error`` is None if it went well."""

@@ -108,6 +108,10 @@ def test_batch(spark, tmp_path):
     assert rows(batch.summary(done)) == [(6, 1, 1, 4, False)]
     report = batch.manifest(done.withColumn("run", F.lit(1)), "run").first()
     assert json.loads(report.manifest_json)["summary"]["requested"] == 6 and report.manifest_md.startswith("- ok `https://a.example`\n- failed `https://b.example`")
+    large = batch.manifest(done.withColumn("run", F.lit(1)), "run", max_items=5).first()
+    assert large["items"] == 6 and large.manifest_json is None and large.manifest_md is None
+    lines = batch.manifest_lines(done.withColumn("run", F.lit(1)), "run").orderBy("index").collect()
+    assert "\n".join(r.item_md for r in lines) == report.manifest_md
     with pytest.raises(ValueError):
         batch.fail_fast(items, F.lit(False), 9)
 

@@ -123,3 +123,8 @@ def test_formats_selectors_and_errors():
         Options.of({}, wait_for_selector="js:() => 1")
     assert Options.of([("excluded_tags", "a"), ("any.excluded_tags", "b")]).excluded_tags == ("a", "b")
     assert extract_page(BASE, page, Options.of({"wait_for_images": "true"})).warnings
+
+
+def test_deep_nesting_is_rendered():
+    page = extract_page(BASE, "<main>" + "<div>" * 3000 + "<p>deep</p>")
+    assert page.error is None and page.content == "deep"
