@@ -6,7 +6,8 @@ Three signs, found in one pass over the pages and joined afterwards:
   variables speak for themselves; for fillers that also occur in ordinary text (bare
   words such as ``undefined``, a name in single braces) the record is aligned with the
   others: the words around the filler are a frame, and the frame is a slot if other
-  records fill it with different words.
+  records fill it with different words; or its name is one that certain slots of other
+  records use.
 * Whole-page templates.  A short line that stands almost only in pages without a real
   body, in several different pages of several sites, is an error template.
 * Known messages.  A fixed list of phrases carries the same decision where a
@@ -59,6 +60,8 @@ STRONG = re.compile(
             r"\bXX/XX/XXXX\b",
             r"\bTK TK\b",
             r"%s %d|%\(\w+\)s",
+            r"\{\d{1,2}\}",
+            r"\bnull null\b",
         )
     ),
     re.I,
@@ -138,7 +141,7 @@ def _slots(line: str) -> str:
 
 
 _STEMS = frozenset(w[:3] for w in LOREM)
-_MARKS = ("{", "%", "$", "@@", "*|", "_GOES_HERE", "_goes_here", "XX/XX/", "xx/xx/", "TK TK", "tk tk", "[object")
+_MARKS = ("{", "%", "$", "@@", "*|", "_GOES_HERE", "_goes_here", "XX/XX/", "xx/xx/", "TK TK", "tk tk", "[object", "null null", "NULL NULL")
 _ASKS = re.compile(r"[\[<](?:your|insert|enter|add)\s", re.I)
 _WEAK_MARKS = ("{", "%", "$", "[[", "((", "__", "undefined", "NaN", "null", "NULL", "Invalid Date", "#REF", "#N/A", "#VALUE", "#NAME", "TODO")
 
@@ -151,12 +154,22 @@ def _is_lorem(line: str) -> bool:
     return sum(any(w[:k] in LOREM for k in (3, 4, 5)) for w in words) >= 0.7 * len(words)
 
 
-def inspect(content: str, kind: str | None) -> tuple[str | None, list[int], list[str], bool]:
-    """(certain sign, frames of weak fillers, short line forms, is the page short) of one page."""
+_WORDS_ABOUT = frozenset("your insert enter add here goes page block object null".split())
+
+
+def _variable(filler: str) -> str:
+    """The variable's own name in a filler: the last part of its last word; '' if there is none."""
+    words = [w for w in re.findall(r"[a-z][a-z0-9]*(?:_[a-z0-9]+)*", filler.lower().replace("_goes_here", "")) if w not in _WORDS_ABOUT]
+    return words[-1] if words else ""
+
+
+def inspect(content: str, kind: str | None) -> tuple[str | None, list[int], list[str], bool, set[str]]:
+    """(certain sign, frames of weak fillers, short line forms, is the page short, names of variables) of one page."""
     text = running_text(content, kind)
     if any(m in text for m in _MARKS) or _ASKS.search(text):
-        if STRONG.search(text) or STRONG.search(_WRAP.sub(" ", text)):
-            return "slot", [], [], False
+        found = STRONG.findall(text) or STRONG.findall(_WRAP.sub(" ", text))
+        if found:
+            return "slot", [], [], False, set(map(_variable, found)) - {""}
     split = [x.split() for x in text.split("\n")]
     short = sum(map(len, split)) < SHORT_WORDS
     lines = [" ".join(x) for x in split if x]
@@ -174,14 +187,16 @@ def inspect(content: str, kind: str | None) -> tuple[str | None, list[int], list
             filler_words += n
     if filler_words >= 12 and filler_words * 2 >= sum(x.count(" ") + 1 for x in lines if x.count(" ") >= 5):
         sign = "filler"
-    weak = []
+    weak, names = [], set()
     if not sign and kind != "json" and any(m in text for m in _WEAK_MARKS):
         joined = _WRAP.sub(" ", text)
         for m in WEAK.finditer(joined):
             left = WORD.findall(joined[max(0, m.start() - 80) : m.start()].rpartition("\n")[2].lower())
             right = WORD.findall(joined[m.end() : m.end() + 80].partition("\n")[0].lower())
             weak.extend(_frames(left, right))
-    return sign, weak, forms, short
+            if not m.group()[0].isalnum():
+                names.add(_variable(m.group()))
+    return sign, weak, forms, short, names - {""}
 
 
 #: Which of three words is the filler: the middle one, the first, the last.
@@ -221,7 +236,11 @@ def residue_pages(pages: DataFrame, min_pages: int = 8, min_sites: int = 3, broa
         ids, reasons, keys = [], [], []
         totals: dict[int, list[int]] = {}
         for page, fmt, content, site in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            sign, weak, forms, short = inspect(content, fmt)
+            sign, weak, forms, short, names = inspect(content, fmt)
+            for name in names:
+                ids.append(page)
+                reasons.append("name" if sign == "slot" else "perhaps")
+                keys.append(xxhash.xxh64_intdigest(name))
             if sign:
                 ids.append(page)
                 reasons.append(sign)
@@ -298,4 +317,7 @@ def residue_pages(pages: DataFrame, min_pages: int = 8, min_sites: int = 3, broa
     slots = seen_in.groupBy("key").agg(F.count_distinct("word").alias("n")).where("n >= 2").select("key")
     edge = seen.where("reason = 'weak'").select("page_id", "key")
     open_slots = edge.join(slots, "key", "left_semi").select("page_id", F.lit("slot").alias("reason"))
-    return certain.unionByName(repeated).unionByName(open_slots).groupBy("page_id").agg(F.min("reason").alias("reason"))
+    # A doubtful filler whose name certain slots of other pages use.
+    names = seen.where("reason = 'name'").groupBy("key").agg(F.count("*").alias("n")).where("n >= 2").select("key")
+    named = seen.where("reason = 'perhaps'").select("page_id", "key").join(names, "key", "left_semi").select("page_id", F.lit("slot").alias("reason"))
+    return certain.unionByName(repeated).unionByName(open_slots).unionByName(named).groupBy("page_id").agg(F.min("reason").alias("reason"))

@@ -9,7 +9,7 @@ BODY = "The harbour opens early and the ferry leaves at nine with many people on
 
 @pytest.mark.parametrize(
     "text",
-    ["Dear {{ user.name }}, welcome", "Hello ${author}", "by <%= author %> today", "# About %%TITLE%%", "call *|FNAME|* now", "Price: [object Object]", "from [your city] with love", "<INSERT DATE> it began", "TITLE_GOES_HERE", "{% block title %}", "#{name} said", "@@X_Y@@", "on XX/XX/XXXX at noon", "of %s %d items", "wrapped {{\nname }} here"],
+    ["Dear {{ user.name }}, welcome", "Hello ${author}", "by <%= author %> today", "# About %%TITLE%%", "call *|FNAME|* now", "Price: [object Object]", "from [your city] with love", "<INSERT DATE> it began", "TITLE_GOES_HERE", "{% block title %}", "#{name} said", "@@X_Y@@", "on XX/XX/XXXX at noon", "of %s %d items", "wrapped {{\nname }} here", "step {0} of {1}"],
 )
 def test_certain_slots(text):
     assert inspect(BODY + "\n\n" + text, "markdown")[0] == "slot"
@@ -46,8 +46,9 @@ def test_pages(pages):
     rows = [{"page_id": i, "url": site.format(i % 5, i), "content_format": "text", "content": f"Menu {i}\n\nGeneric glitch number {i} occurred here\n\nUnit {chr(97 + i)}"} for i in range(12)]
     rows += [{"page_id": 100 + i, "url": site.format(i % 5, i), "content_format": "text", "content": f"{BODY}\n\nShare this page with friends"} for i in range(12)]
     rows += [{"page_id": 200, "content": "We count the parser today and undefined boat leaves " + BODY, "content_format": "text"}, {"page_id": 201, "content": "and the boat " + BODY, "content_format": "text"}, {"page_id": 202, "content": "and a boat " + BODY, "content_format": None}]
+    rows += [{"page_id": 210 + i, "content": f"Dear {{{{ city_name }}}} {i} {BODY}", "content_format": "text"} for i in range(2)] + [{"page_id": 215, "content": "Zyx __CITY_NAME__ wvu " + BODY, "content_format": "text"}, {"page_id": 216, "content": "Zyx __OTHER_NAME__ wvu " + BODY, "content_format": "text"}]
     rows += [{"page_id": 203, "content": "The zygote undefined quasar " + BODY, "content_format": "text"}, {"page_id": 300, "content": None}, {"page_id": 301, "content": ""}, {"page_id": 302, "content": "y" * 200_000, "content_format": "text"}]
     for limit in (1_000_000, 0):
         got = {r.page_id: r.reason for r in residue_pages(pages(rows + rows[:2]), broadcast_keys=limit).collect()}
-        assert got == {**{i: "template" for i in range(12)}, 200: "slot"}
+        assert got == {**{i: "template" for i in range(12)}, 200: "slot", 210: "slot", 211: "slot", 215: "slot"}
     assert residue_pages(pages(rows).limit(0)).count() == 0
