@@ -98,17 +98,22 @@ class Vocabulary:
         except KeyError:
             for w in words:
                 if w not in rows:
-                    rows[w] = len(self.starts)
+                    rows[w] = len(rows)
                     self.starts.append(len(self.flat))
                     self.flat += features(w)
             return [rows[w] for w in words]
 
-    def emissions(self, weights: np.ndarray, first: int = 0) -> np.ndarray:
-        if first >= len(self.starts):
+    def emissions(self, weights: np.ndarray) -> np.ndarray:
+        """Summed weights of the words whose features are held."""
+        if not self.starts:
             return np.zeros((0, weights.shape[1]), weights.dtype)
-        low = self.starts[first]
-        flat = np.array(self.flat[low:], np.int64)
-        return np.add.reduceat(weights[flat], np.array(self.starts[first:], np.int64) - low, axis=0)
+        return np.add.reduceat(weights[np.array(self.flat, np.int64)], np.array(self.starts, np.int64), axis=0)
+
+    def drain(self, weights: np.ndarray) -> np.ndarray:
+        """``emissions`` of the words that are new since the last call, whose features are then let go."""
+        out = self.emissions(weights)
+        self.flat, self.starts = [], []
+        return out
 
 
 def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -198,8 +203,8 @@ class Tagger:
                 owner.append(i)
                 skip.append((before, high - low))
                 weight.append(size[low:high])
-        if len(self._table) < len(vocabulary.starts):
-            self._table = np.concatenate((self._table, vocabulary.emissions(self.weights, len(self._table))))
+        if vocabulary.starts:
+            self._table = np.concatenate((self._table, vocabulary.drain(self.weights)))
         out = np.zeros((len(texts), len(LANGUAGES)))
         for part, ids, mask in _padded(chains):
             gamma = forward_backward(self._table[ids], mask, self.trans, self.start)[0]
