@@ -6,8 +6,10 @@
    nearest neighbours in that order; the longest common subsequence of their lines gives
    a vote to every line in it. A neighbour that shares most of the page is another
    version of the same text and casts no vote. Hosts with more than a thousandth of all
-   pages are cut into blocks by a hash of the path, so a host with a third of all rows is
-   spread over hundreds of tasks; a task holds one window of pages, not a host.
+   pages are cut into blocks of consecutive pages, so a host with a third of all rows is
+   spread over hundreds of tasks; a task holds one window of pages, not a host. A block
+   also gets the pages within the window on both sides, for their votes only, so that
+   the votes are those of the uncut host.
 3. Differencing says little on hosts with a handful of pages. Forms that win votes on
    several hosts in a good part of their occurrences are collected as templates and hold
    for all pages; so are the openings of lines (``Notice:``).
@@ -22,13 +24,14 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -215,10 +218,10 @@ def _increasing(values: list[int]) -> list[int]:
 
 
 class _Page:
-    __slots__ = ("heads", "long", "peers", "place", "row", "size", "votes")
+    __slots__ = ("heads", "long", "own", "peers", "place", "row", "size", "votes")
 
-    def __init__(self, row: tuple, keys: np.ndarray, bits: np.ndarray):
-        self.row = row
+    def __init__(self, row: tuple, keys: np.ndarray, bits: np.ndarray, own: bool = True):
+        self.row, self.own = row, own
         self.place = {}
         for i, k in enumerate(keys.tolist()):
             if not bits[i] & _BODY:
@@ -247,12 +250,76 @@ def difference(a: _Page, b: _Page, version: float = 0.6) -> None:
         a.votes[i] += 1
 
 
-def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: int = 16, min_sites: int = 3, min_ratio: float = 0.3, broadcast_keys: int = 1_000_000) -> DataFrame:
+def _order(path: str, record: str, rid: int | None) -> tuple:
+    """The order of pages within a host as Spark sorts them: strings by code point, nulls first."""
+    return path, record, rid is not None, rid or 0
+
+
+def host_cuts(rows: DataFrame, sizes: dict[str, int], limit: int, window: int) -> dict[str, tuple[list[tuple], list[tuple], list[tuple]]]:
+    """Where the hosts of ``sizes`` are cut into blocks of about ``limit`` consecutive pages.
+
+    For each host three lists with an entry for each cut: the first page behind it, the
+    first page within ``window`` pages before it, and the first page beyond ``window`` pages
+    behind it (none if the host ends earlier). ``limit`` is at least ``window``. The pages
+    are ranked exactly by a distributed sort of their keys; only the places around the
+    cuts come to the driver, about three for each block.
+    """
+    columns = ("site", "path", "record", "record_id")
+    ranked = cut_lineage(rows.where(F.col("site").isin(*sizes)).select(*columns).distinct().orderBy(*columns))
+    parts = ranked.groupBy(F.spark_partition_id().alias("part"), "site").count().orderBy("part").collect()
+    pages: dict[str, int] = {}
+    before: dict[tuple[int, str], int] = {}
+    for part, site, n in parts:
+        before[part, site] = pages.get(site, 0)
+        pages[site] = before[part, site] + n
+    wanted: dict[str, dict[int, list[tuple[int, int]]]] = {}
+    for site, n in pages.items():
+        blocks = -(-n // limit)
+        for cut in range(1, blocks):
+            at = cut * n // blocks
+            for kind, rank in enumerate((at, at - window, at + window)):
+                wanted.setdefault(site, {}).setdefault(max(0, rank), []).append((cut - 1, kind))
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, rank = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            got, ranks = [], []
+            for i, site in enumerate(batch.column(0).to_pylist()):
+                if site != last:
+                    last, rank = site, before[part, site]
+                if rank in wanted.get(site, ()):
+                    got.append(i)
+                    ranks.append(rank)
+                rank += 1
+            if got:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(got)).columns, pa.array(ranks, pa.int64())], [*columns, "rank"])
+
+    cuts = {site: tuple([None] * len({cut for places in ranks.values() for cut, _ in places}) for _ in range(3)) for site, ranks in wanted.items()}
+    for site, path, record, rid, rank in ranked.mapInArrow(pick, "site string, path string, record string, record_id bigint, rank bigint").collect():
+        for cut, kind in wanted[site][rank]:
+            cuts[site][kind][cut] = _order(path, record, rid)
+    return cuts
+
+
+def blocks_of(page: tuple, cuts: tuple[list[tuple], list[tuple], list[tuple]]) -> list[tuple[int, bool]]:
+    """The blocks that hold a page, and whether it is one of the block's own or lent for its votes."""
+    starts, lows, highs = cuts
+    k = bisect_right(starts, page)
+    out = [(k, True)]
+    if k < len(starts) and page >= lows[k]:
+        out.append((k + 1, False))
+    if k and (highs[k - 1] is None or page < highs[k - 1]):
+        out.append((k - 1, False))
+    return out
+
+
+def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: int = 16, min_sites: int = 3, min_ratio: float = 0.3, broadcast_keys: int = 1_000_000, block_pages: int = 2000) -> DataFrame:
     """``(record, record_id, line_no)`` of the lines that aren't part of the main body.
 
     ``record`` is ``page`` or ``artifact``. Null contents and json pages have no such
     lines. Lines are numbered from 1, blank lines counted. Rows repeated under one id
-    are taken once; further columns are ignored; empty tables give no rows.
+    are taken once; further columns are ignored; empty tables give no rows. Hosts of more
+    than ``block_pages`` pages and a thousandth of all are cut; it doesn't change the result.
     """
     spark = pages.sparkSession
     base = need(pages, "page_id", "final_url", "url", "content_format", "content").select(F.lit("page").alias("record"), F.col("page_id").alias("record_id"), "final_url", "url", "content_format", "content")
@@ -262,24 +329,31 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
     site, path = site_of(F.col("final_url"), F.col("url")), path_of(F.col("final_url"), F.col("url"))
 
     # At most a thousand hosts hold more than a thousandth of all pages each.
-    total = base.count()
-    limit = max(2000, total // 1000)
-    sizes = {r[0]: r[1] for r in base.groupBy(site.alias("site")).count().where(F.col("count") > limit).collect()}
+    hosts = cut_lineage(base.groupBy(site.alias("site")).count())
+    total = hosts.agg(F.sum("count")).first()[0] or 0
+    limit = max(block_pages, total // 1000, 2 * window)
+    sizes = {r[0]: r[1] for r in hosts.where(F.col("count") > limit).collect()}
     rows = base.select("record", "record_id", site.alias("site"), path.alias("path"), "content_format", "content")
+    cuts = host_cuts(rows, sizes, limit, window) if sizes else {}
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(7)]
-        blocks = []
-        for s, p, kind, content in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+        at, blocks, owns = [], [], []
+        for i, (record, rid, s, p, kind, content) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(6)))):
             labels = s.split(".")
             label = labels[-2] if len(labels) > 1 else ""
             numbers, keys, opens, joined, bits = line_table(content, kind, label if len(label) > 3 else "")
             for column, (values, kind_) in zip(cols, ((numbers, np.int32), (keys, np.uint64), (opens, np.uint64), ([j for j, _ in joined], np.uint64), ([j for _, j in joined], np.uint64), (bits, np.uint16))):
                 column.append(np.array(values, kind_).tobytes())
-            blocks.append(xxhash.xxh32_intdigest(p) % max(1, -(-sizes.get(s, 0) // limit)))
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blocks, pa.int32()), *(pa.array(c, pa.binary()) for c in cols[:6])], ["record", "record_id", "site", "path", "block", "numbers", "keys", "opens", "two", "three", "bits"])
-
-    packed_schema = "record string, record_id bigint, site string, path string, block int, numbers binary, keys binary, opens binary, two binary, three binary, bits binary"
+            for block, own in blocks_of(_order(p, record, rid), cuts[s]) if s in cuts else ((0, True),):
+                at.append(i)
+                blocks.append(block)
+                owns.append(own)
+        held = pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, pa.binary()) for c in cols[:6])], names).take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*held.columns[:4], pa.array(blocks, pa.int32()), pa.array(owns, pa.bool_()), *held.columns[4:]], [*names[:4], "block", "own", *names[4:]])
+
+    names = ["record", "record_id", "site", "path", "numbers", "keys", "opens", "two", "three", "bits"]
+    packed_schema = "record string, record_id bigint, site string, path string, block int, own boolean, numbers binary, keys binary, opens binary, two binary, three binary, bits binary"
     packed = arrow_map(spread(rows), pack, packed_schema, text="content")
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +361,8 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
         done: list[tuple] = []
 
         def finish(page: _Page) -> None:
+            if not page.own:
+                return
             row, bits = page.row, np.frombuffer(page.row[-1], np.uint16).copy()
             need_ = 2 if page.peers >= 8 else 1
             bits[page.votes >= 1] |= TOUCHED
@@ -302,8 +378,8 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
         near: deque[_Page] = deque()
         group, last = None, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(11))):
-                record, rid, site_, _, block, numbers, keys, opens, two, three, bits = row
+            for row in zip(*(batch.column(i).to_pylist() for i in range(12))):
+                record, rid, site_, _, block, own, numbers, keys, opens, two, three, bits = row
                 if (site_, block) != group:
                     for page in near:
                         finish(page)
@@ -312,9 +388,10 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
                 if last == (record, rid):  # a repeated row
                     continue
                 last = (record, rid)
-                page = _Page((record, rid, site_, numbers, keys, opens, two, three, bits), np.frombuffer(keys, np.uint64), np.frombuffer(bits, np.uint16))
+                page = _Page((record, rid, site_, numbers, keys, opens, two, three, bits), np.frombuffer(keys, np.uint64), np.frombuffer(bits, np.uint16), own)
                 for other in near:
-                    difference(other, page)
+                    if own or other.own:
+                        difference(other, page)
                 near.append(page)
                 if len(near) > window:
                     finish(near.popleft())

@@ -2,7 +2,7 @@
 
 import random
 
-from pagelake.llm.boilerplate import _increasing, chrome_lines, line_table
+from pagelake.llm.boilerplate import _increasing, blocks_of, chrome_lines, host_cuts, line_table
 
 
 def page(rng, i, host, extra=()):
@@ -47,3 +47,30 @@ def test_increasing_and_table():
     assert _increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5] and _increasing([]) == []
     numbers, keys, _, _, bits = line_table("a\r\n\n<b></b>\n  \n***", "html", "")
     assert numbers == [1]
+
+
+def test_large_hosts_are_cut_between_neighbours(spark, pages):
+    # Each directory of three pages has a line of its own, which only neighbours by path can tell.
+    rng = random.Random(11)
+    words = "amber basil cedar dune ember fjord grove heath islet juniper kelp".split()
+    rows, want = [], set()
+    for i in range(2600):
+        own = "".join(rng.choice("abcdefghij") for _ in range(12))
+        notice = "".join(chr(97 + int(d)) for d in f"{i // 3:04d}")
+        text = f"# {own}\n\n{own} {' '.join(rng.choice(words) for _ in range(9))} {own}.\n\nPlease mind the {notice} counter here."
+        rows.append({"page_id": i, "url": f"https://big.example/d{i // 3:04d}/{i % 3}", "content_format": "markdown", "content": text})
+        if i < 2598:
+            want.add(("page", i, 5))
+    rng.shuffle(rows)
+    table = pages(rows + rows[:40])
+    assert {tuple(r) for r in chrome_lines(table).collect()} == want
+    assert {tuple(r) for r in chrome_lines(table, block_pages=40).collect()} == want
+
+    keys = spark.createDataFrame([("h", f"/{i:03d}", "page", i) for i in range(100)] + [("h", "/007", "page", 7)], "site string, path string, record string, record_id bigint")
+    cuts = host_cuts(keys, {"h": 101}, 34, 16)["h"]
+    held = [[], [], []]
+    for i in range(100):
+        for block, own in blocks_of((f"/{i:03d}", "page", True, i), cuts):
+            held[block].append((i, own))
+    assert [[i for i, _ in b] for b in held] == [[*range(49)], [*range(17, 82)], [*range(50, 100)]]
+    assert [[i for i, own in b if own] for b in held] == [[*range(33)], [*range(33, 66)], [*range(66, 100)]]
