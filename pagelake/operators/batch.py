@@ -80,7 +80,8 @@ def manifest_lines(items: DataFrame, by: str, index: str = "index") -> DataFrame
 def manifest(items: DataFrame, by: str, index: str = "index", max_items: int = 10_000) -> DataFrame:
     """``(by, items, manifest_json, manifest_md)``: summary and ordered items of each run as documents.
 
-    A run of more than ``max_items`` items has null documents; ``manifest_lines`` has its lines.
+    A run of more than ``max_items`` items has null documents; ``manifest_parts`` has them in
+    parts and ``manifest_lines`` its lines.
     """
     counts = items.groupBy(by).agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "succeeded"), ("failed", "failed"), ("skipped", "skipped"))))
     small = items.join(counts.where(F.col("n") <= max_items).select(by), by, "left_semi")
@@ -89,3 +90,32 @@ def manifest(items: DataFrame, by: str, index: str = "index", max_items: int = 1
     line = F.transform("all", lambda i: F.concat(F.lit("- "), i["status"], F.lit(" `"), i["url"], F.lit("`")))
     body = F.to_json(F.struct(F.struct(F.col("n").alias("requested"), "succeeded", "failed", "skipped").alias("summary"), F.col("all").alias("items")), {"pretty": "true"})
     return grouped.select(by, F.col("n").alias("items"), F.when(F.col("all").isNotNull(), body).alias("manifest_json"), F.array_join(line, "\n").alias("manifest_md"))
+
+
+def manifest_parts(items: DataFrame, by: str, index: str = "index", max_items: int = 10_000) -> DataFrame:
+    """``(by, part, parts, items, manifest_json, manifest_md)``: the documents of each run, whatever its size.
+
+    A part, numbered from 1, holds up to ``max_items`` items; the texts of a run's parts,
+    joined in order with nothing between them, are the documents that ``manifest`` gives
+    for a smaller run. ``items`` counts those of the whole run.
+    """
+    run = F.struct(F.col(by).alias("by"))  # compares null runs as equal
+    item = F.struct(F.col(index).alias("index"), F.col("url"), F.col("status"), F.col("reason"))
+    # places are from 0; items without one come first, as nulls do
+    rows = items.select(run.alias("__run"), F.coalesce(F.col(index), F.lit(-1)).alias("__place"), item.alias("__item"))
+    ranked = running_before(rows, ["__run"], F.lit(1), "__place", max_items, ["__item"], name="__rank")
+    part = F.floor(F.col("__rank") / max_items)
+    listed = ranked.groupBy("__run", part.alias("part")).agg(F.sort_array(F.collect_list("__item")).alias("all"))
+    counts = items.groupBy(run.alias("__run")).agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "succeeded"), ("failed", "failed"), ("skipped", "skipped"))))
+    # a row for each part, so that the lists of a large run are joined where they are
+    counts = counts.withColumn("parts", F.floor((F.col("n") - 1) / max_items) + 1).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    out = listed.join(counts, ["__run", "part"])
+    first, last = F.col("part") == 0, F.col("part") == F.col("parts") - 1
+    summary_ = F.to_json(F.struct(F.struct(F.col("n").alias("requested"), "succeeded", "failed", "skipped").alias("summary")), {"pretty": "true"})
+    doc = F.to_json(F.struct(F.col("all").alias("items")), {"pretty": "true"})
+    opening, closing = '{\n  "items" : [ ', " ]\n}"
+    body = doc.substr(F.lit(len(opening) + 1), F.length(doc) - len(opening) - len(closing))
+    head = F.when(first, F.concat(summary_.substr(F.lit(1), F.length(summary_) - 2), F.lit(',\n  "items" : [ '))).otherwise(", ")
+    line = F.transform("all", lambda i: F.concat(F.lit("- "), i["status"], F.lit(" `"), F.coalesce(i["url"], F.lit("")), F.lit("`")))
+    md = F.concat(F.when(first, "").otherwise("\n"), F.array_join(line, "\n"))
+    return out.select(F.col("__run")["by"].alias(by), (F.col("part") + 1).alias("part"), "parts", F.col("n").alias("items"), F.concat(head, body, F.when(last, closing).otherwise("")).alias("manifest_json"), md.alias("manifest_md"))

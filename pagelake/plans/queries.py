@@ -166,7 +166,8 @@ def batch_summary(spark, folder):
 
 
 def batch_manifest(spark, folder):
-    return batch.manifest(batch.dedupe(_batch(spark, folder), index="item_index", run="batch_id"), "batch_id", "item_index")
+    """Runs of more than 10,000 items come in numbered parts, others as one."""
+    return batch.manifest_parts(batch.dedupe(_batch(spark, folder), index="item_index", run="batch_id"), "batch_id", "item_index")
 
 
 def crawl_summary(spark, folder):

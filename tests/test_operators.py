@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import actions, artifacts, batch, cache, crawl, doctor, fields, links, pages, privacy, search, sessions
 from pagelake.page import Options, Page
+from pagelake.plans import queries
 from pagelake.sources import readers, sinks
 
 
@@ -116,6 +117,24 @@ def test_batch(spark, tmp_path):
         batch.fail_fast(items, F.lit(False), 9)
 
 
+def test_manifest_of_long_runs(spark, tmp_path):
+    mixed = spark.createDataFrame([(r, i, f"https://a.example/\"é\"/{i}", "skipped" if i % 3 else "ok", "duplicate" if i % 3 else None) for r, n in ((1, 7), (2, 3), (3, 1), (None, 6)) for i in range(0, 9 * n, 9)], "run bigint, index bigint, url string, status string, reason string")
+    whole = {r.run: r for r in batch.manifest(mixed.fillna({"run": 9}), "run").collect()}
+    parts = batch.manifest_parts(mixed, "run", max_items=3).orderBy("run", "part").collect()
+    assert [(r.run, r.part, r.parts, r["items"]) for r in parts] == [(None, 1, 2, 6), (None, 2, 2, 6), (1, 1, 3, 7), (1, 2, 3, 7), (1, 3, 3, 7), (2, 1, 1, 3), (3, 1, 1, 1)]
+    for run in (None, 1, 2, 3):
+        for c in ("manifest_json", "manifest_md"):
+            assert "".join(r[c] for r in parts if r.run == run) == whole[run or 9][c]
+
+    items = spark.range(25_000).select(F.lit(4).cast("bigint").alias("batch_id"), F.col("id").alias("item_index"), F.concat(F.lit("https://a.example/"), "id").alias("url"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("error"))
+    items.write.parquet(str(tmp_path / "batch_items.parquet"))
+    got = queries.batch_manifest(spark, str(tmp_path)).collect()
+    assert got and all(r.manifest_json is not None and r.manifest_md is not None for r in got)
+    got.sort(key=lambda r: r.part)
+    assert [i["index"] for i in json.loads("".join(r.manifest_json for r in got))["items"]] == [*range(25_000)]
+    assert "".join(r.manifest_md for r in got).count("\n") == 24_999
+
+
 def test_crawl(spark):
     home = "https://a.example/docs/"
     graph = {"": ["x", "y", "x#f", "https://o.example/"], "x": ["", "z"], "y": ["z", "gone"], "z": ["deep"]}
