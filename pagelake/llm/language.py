@@ -248,14 +248,17 @@ def train(texts: list[str], labels: list[str], rounds: int = 15, rate: float = 0
     if not texts:
         return Tagger(weights, trans.astype(np.float32), start.astype(np.float32))
     parts, lab = _clean([[p for _, p in paragraphs(t)] for t in texts], [LANGUAGES.index(x) for x in labels])
-    parts = [p[:_CHAIN] for p in parts]
+    lab = np.repeat(lab, [-(-len(p) // _CHAIN) for p in parts])
+    parts = [p[i : i + _CHAIN] for p in parts for i in range(0, len(p), _CHAIN)]
     vocabulary = Vocabulary()
     chains = [np.array(vocabulary.ids(p), np.int64) for p in parts]
     gold = [np.full(len(c), y) for c, y in zip(chains, lab)]
     for i, j in rng.integers(0, len(parts), (len(parts) // 5, 2)):
         if lab[i] != lab[j]:
-            chains.append(np.concatenate((chains[i], chains[j]))[:_CHAIN])
-            gold.append(np.concatenate((gold[i], gold[j]))[:_CHAIN])
+            # of two long paragraphs the end and the beginning, so that the language changes within the chain
+            a, b = chains[i][-max(_CHAIN // 2, _CHAIN - len(chains[j])) :], chains[j]
+            chains.append(np.concatenate((a, b))[:_CHAIN])
+            gold.append(np.concatenate((gold[i][-len(a) :], gold[j]))[:_CHAIN])
     batches = _padded(chains)
     truths = []
     for part, ids, mask in batches:
@@ -291,10 +294,10 @@ def train(texts: list[str], labels: list[str], rounds: int = 15, rate: float = 0
 
 
 def training_sample(docs: DataFrame, per_label: int = 150, most_chars: int = 6000) -> tuple[list[str], list[str]]:
-    """At most ``per_label`` labelled rows a language, of 80 to ``most_chars`` characters, spread over the table by a hash of the text."""
+    """At most ``per_label`` labelled rows a language, of 80 to ``most_chars`` characters, spread over the table by a hash of the text; copies count once."""
     labelled = docs.select(label_of(F.col("lang")).alias("label"), "text").where(F.col("label").isNotNull() & F.length("text").between(80, most_chars)).withColumn("h", F.xxhash64("text"))
     # a coarse hash filter first, so that the window sees a bounded number of rows of each language
-    sizes = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("label").agg(F.approx_count_distinct("h", 0.02)).collect()}
     keep = None
     for name, n in sizes.items():
         step = max(1, n // (3 * per_label))
@@ -302,7 +305,9 @@ def training_sample(docs: DataFrame, per_label: int = 150, most_chars: int = 600
         keep = test if keep is None else keep | test
     if keep is None:
         return [], []
-    ranked = labelled.where(keep).withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("rank") <= per_label)
+    # copies are dropped within the tasks before they are shuffled, so a text in a third of the rows never meets in one task
+    once = labelled.where(keep).dropDuplicates(["label", "h"])
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("rank") <= per_label)
     rows = ranked.orderBy("label", "h").select("text", "label").collect()
     return [r[0] for r in rows], [r[1] for r in rows]
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from pagelake.llm.language import LANGUAGES, Tagger, forward_backward, label_of, language_segments, mislabelled, paragraphs, tokens, train
+from pagelake.llm.language import LANGUAGES, Tagger, forward_backward, label_of, language_segments, mislabelled, paragraphs, tokens, train, training_sample
 
 WORDS = {
     "en": "the harbour opens early and this ferry leaves with many people who never wait for their tickets".split(),
@@ -94,3 +94,19 @@ def test_paragraphs_and_tokens():
 def test_labels(spark):
     df = spark.createDataFrame([(" EN_us",), ("de ",), ("??",), (None,), ("",), ("unknown",), ("\tfr-CA",)], "lang string")
     assert [r[0] for r in df.select(label_of(df.lang)).collect()] == ["en", "de", None, None, None, None, "fr"]
+
+
+def test_training_takes_copies_once_and_long_paragraphs_whole(spark):
+    rng = random.Random(3)
+    one = sentence(rng, "en")
+    texts = [one] * 100 + [sentence(rng, "en") for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    got, labels = training_sample(docs, per_label=41)
+    assert set(got) == set(texts) and len(got) == 41 and set(labels) == {"en"}
+
+    late = {"en": ["zuvok", "zuvim", "uzuvo"], "de": ["wexal", "exwor", "wexum"]}
+    rows = [(sentence(rng, lang, 300) + " " + " ".join(rng.choice(late[lang]) for _ in range(60)), lang) for _ in range(30) for lang in late]
+    tagger = train([t for t, _ in rows], [lang for _, lang in rows])
+    score, letters = tagger.label([" ".join(late[lang]) for lang in late])
+    share = [score[i][LANGUAGES.index(lang)] / letters[i] for i, lang in enumerate(late)]
+    assert min(share) > 0.9
