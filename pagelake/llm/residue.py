@@ -1,17 +1,27 @@
 """Template residue and error-page text (problem 2).
 
-Three signs, found in one pass over the pages and joined afterwards:
-
-* Slots.  Running text is scanned for fillers that a template left behind.  Bracketed
-  variables speak for themselves; for fillers that also occur in ordinary text (bare
-  words such as ``undefined``, a name in single braces) the record is aligned with the
-  others: the words around the filler are a frame, and the frame is a slot if other
-  records fill it with different words; or its name is one that certain slots of other
-  records use.
-* Whole-page templates.  A short line that stands almost only in pages without a real
-  body, in several different pages of several sites, is an error template.
-* Known messages.  A fixed list of phrases carries the same decision where a
-  collection is too small for repetition to show.
+Records of one template are aligned by what they share, and the places where they differ
+are its slots.  Two units are aligned:
+
+* Lines.  The form of a line is the line with its numbers, codes and paths masked; a form
+  in many pages of several sites, with different texts around it, is a line of a template.
+  The words of a page outside such lines are its own.  A page with hardly any own words is
+  bare, and a template line that stands mostly in bare pages is the line of a whole-page
+  template: an error, a demand for scripts, filler.  Menus and notices stand beside bodies
+  nearly always, so they never qualify.  The masked path of ``final_url`` counts as one
+  more line of the page, so that addresses such as ``/error?code=0`` are found alike.
+* Words.  The words around a filler are a frame; the frame is a slot if other records fill
+  it with other words.  A filler is also a slot's if its name is one that slots of other
+  records use.  Fillers are written as variables (``{{name}}``), as defaults that a
+  template puts in (``undefined``, ``NaN``) or left blank (empty brackets and quotes).
+
+A third alignment is for the default text of text slots: the words of lines that open with
+"lorem ipsum" are collected over all pages, those common to such lines are the vocabulary
+of default text, and a page is filler if most of its running text consists of such words.
+
+Fixed lists of messages and of the usual filler, and the syntax of template languages, give
+the same answer where a collection is too small for repetition.  They hold at every size;
+``reason`` tells which rows have no other ground than a list.
 
 Code (fenced, indented, in backticks or code elements) is left out before all of this.
 """
@@ -21,6 +31,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +81,7 @@ STRONG = re.compile(
 WEAK = re.compile(
     r"(?<![\w{$#])\{[A-Za-z_][\w.]*\}(?![\w}])|\[\[\s*[A-Za-z_][\w.]*\s*\]\]|\(\(\s*[A-Za-z_][\w.]*\s*\)\)|(?<![\w%])%[A-Za-z_]+%(?![\w%])|(?<![\w_])__[A-Za-z][A-Za-z]*(?:_[A-Za-z]+)*__(?![\w_])|(?<![\w$])\$[A-Za-z_]+\$(?![\w$])"
     r"|\bundefined\b|\bNaN\b|\bnull(?: null)?\b|\bNULL\b|\bInvalid Date\b|#(?:REF|N/A|VALUE|NAME\?)!?|\bTODO:? (?:title|text|name|content)\b"
+    r"|(?<=\s)(?:\(\s?\)|\"\"|“”|«»)(?=[\s.,;:!?])"
 )
 #: Messages that stand in place of a page, in several languages: titles, which fill a line, and sentences.
 _TITLES = (
@@ -92,7 +104,10 @@ FILLER = re.compile(
 )
 #: The stems of the usual pseudo-Latin filler.
 LOREM = frozenset("lorem ipsum dolor sit amet conse adipi elit sed eius eiusm tempo incid labor magna aliqu enim minim veniam venia veni quis nostr exerc ullam ullamc nisi commo conseq duis dui aute irure repre repreh volup velit esse cillu fugia fugi nulla paria excep sint occae cupid non proid sunt culpa qui offic deser mollit molli anim est sinta suntia ipsu".split())
-SHORT_WORDS = 170
+#: A page with that many own words has a body of its own; one under ``BARE_WORDS`` is bare.
+BODY_WORDS, BARE_WORDS = 150, 12
+#: Lines of more words are running text.
+LINE_WORDS = 40
 
 
 def running_text(content: str, kind: str | None) -> str:
@@ -128,6 +143,7 @@ def _strings(value: object) -> list[str]:
     return []
 
 
+_DIGITS = re.compile(r"\d+")
 _CODE_WORD = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
 
 
@@ -138,12 +154,10 @@ def _slots(line: str) -> str:
     return " ".join("0" if "/" in w or "_" in w or w.count("-") > 1 or len(w) > 40 else _CODE_WORD.sub("0", w) for w in line.split(" "))
 
 
-
-
 _STEMS = frozenset(w[:3] for w in LOREM)
 _MARKS = ("{", "%", "$", "@@", "*|", "_GOES_HERE", "_goes_here", "XX/XX/", "xx/xx/", "TK TK", "tk tk", "[object", "null null", "NULL NULL")
 _ASKS = re.compile(r"[\[<](?:your|insert|enter|add)\s", re.I)
-_WEAK_MARKS = ("{", "%", "$", "[[", "((", "__", "undefined", "NaN", "null", "NULL", "Invalid Date", "#REF", "#N/A", "#VALUE", "#NAME", "TODO")
+_WEAK_MARKS = ("{", "%", "$", "[[", "((", "__", "undefined", "NaN", "null", "NULL", "Invalid Date", "#REF", "#N/A", "#VALUE", "#NAME", "TODO", "()", "( )", '""', "“”", "«»")
 
 
 def _is_lorem(line: str) -> bool:
@@ -163,40 +177,76 @@ def _variable(filler: str) -> str:
     return words[-1] if words else ""
 
 
-def inspect(content: str, kind: str | None) -> tuple[str | None, list[int], list[str], bool, set[str]]:
-    """(certain sign, frames of weak fillers, short line forms, is the page short, names of variables) of one page."""
+class Found(NamedTuple):
+    """What one page shows by itself."""
+
+    sign: str | None  #: what a list or the syntax of a template language says: ``slot``, ``message`` or ``filler``
+    frames: list[int]  #: the frames of its fillers
+    names: set[str]  #: the names of variables in them
+    forms: list[tuple[str, int]]  #: (form, words) of each line
+    stems: set[str]  #: stems of the words on lines that open with "lorem ipsum"
+
+
+def _around(text: str, start: int, end: int) -> list[int]:
+    left = WORD.findall(text[max(0, start - 80) : start].rpartition("\n")[2].lower())
+    right = WORD.findall(text[end : end + 80].partition("\n")[0].lower())
+    return _frames(left, right)
+
+
+def inspect(content: str, kind: str | None) -> Found:
     text = running_text(content, kind)
+    sign, frames, names, stems = None, [], set(), set()
     if any(m in text for m in _MARKS) or _ASKS.search(text):
-        found = STRONG.findall(text) or STRONG.findall(_WRAP.sub(" ", text))
-        if found:
-            return "slot", [], [], False, set(map(_variable, found)) - {""}
-    split = [x.split() for x in text.split("\n")]
-    short = sum(map(len, split)) < SHORT_WORDS
-    lines = [" ".join(x) for x in split if x]
-    sign, filler_words, forms = None, 0, []
-    for x in lines:
-        low = x.lower().lstrip("#*->•·| ").rstrip()
-        n = low.count(" ") + 1
-        if n <= 20:
-            forms.append(_slots(low))
-            if short and (MESSAGES.search(low) or FILLER.match(low)) and CODE not in low:
-                sign = "message"
-        if kind == "json" and _JSON_MESSAGES.search(low):
-            sign = "message"
-        if _is_lorem(low):
-            filler_words += n
-    if filler_words >= 12 and filler_words * 2 >= sum(x.count(" ") + 1 for x in lines if x.count(" ") >= 5):
-        sign = "filler"
-    weak, names = [], set()
+        joined = _WRAP.sub(" ", text)
+        for m in [*STRONG.finditer(joined)] or [*STRONG.finditer(text)]:
+            sign = "slot"
+            frames.extend(_around(m.string, m.start(), m.end()))
+            names.add(_variable(m.group()))
     if not sign and kind != "json" and any(m in text for m in _WEAK_MARKS):
         joined = _WRAP.sub(" ", text)
         for m in WEAK.finditer(joined):
-            left = WORD.findall(joined[max(0, m.start() - 80) : m.start()].rpartition("\n")[2].lower())
-            right = WORD.findall(joined[m.end() : m.end() + 80].partition("\n")[0].lower())
-            weak.extend(_frames(left, right))
+            frames.extend(_around(joined, m.start(), m.end()))
             if not m.group()[0].isalnum():
                 names.add(_variable(m.group()))
-    return sign, weak, forms, short, names - {""}
+    forms, messages, filler_words, running = [], False, 0, 0
+    for line in text.split("\n"):
+        words = line.split()
+        if not words:
+            continue
+        n = len(words)
+        low = " ".join(words).lower().lstrip("#*->•·| ").rstrip()
+        forms.append((_slots(low), n))
+        if n <= 20 and CODE not in low and (MESSAGES.search(low) or FILLER.match(low)):
+            messages = True
+        if kind == "json" and _JSON_MESSAGES.search(low):
+            messages = True
+        if n > 5:
+            running += n
+            if _is_lorem(low):
+                filler_words += n
+        if low.startswith("lorem ipsum"):
+            stems.update(w[:STEM] for w in WORD.findall(low))
+    if not sign and messages:
+        sign = "message"
+    if sign != "slot" and filler_words >= 12 and filler_words * 2 >= running:
+        sign = "filler"
+    return Found(sign, frames, names - {""}, forms, stems)
+
+
+#: So many letters of a word make its stem.
+STEM = 4
+
+
+def _is_default_text(content: str, kind: str | None, stems: frozenset[str]) -> bool:
+    """Whether most of the running text stands on lines whose words nearly all begin like filler."""
+    filler = running = 0
+    for line in running_text(content, kind).split("\n"):
+        words = WORD.findall(line.lower())
+        if len(words) > 5:
+            running += len(words)
+            if sum(w[:STEM] in stems for w in words) >= 0.7 * len(words):
+                filler += len(words)
+    return filler >= 12 and filler * 2 >= running
 
 
 #: Which of three words is the filler: the middle one, the first, the last.
@@ -210,86 +260,217 @@ def _frame_keys(h: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarray,
     return mix64(mix64(part[a] + np.uint64(filler)) + part[b]), part[filler]
 
 
+def _word_hash(word: str) -> int:
+    """64 bits, the lowest of them 0."""
+    return xxhash.xxh64_intdigest(word) & ~1
+
+
 def _frames(left: list[str], right: list[str]) -> list[int]:
     """The frames of a filler between these words of its line."""
     out = []
     for shape, words in zip(_SHAPES, (left[-1:] + [""] + right[:1], [""] + right[:2], left[-2:] + [""])):
         if len(words) == 3:
-            out.append(int(_frame_keys(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), shape)[0][0]))
+            out.append(int(_frame_keys(np.array([_word_hash(w) for w in words], np.uint64), shape)[0][0]))
     return out
 
 
-def residue_pages(pages: DataFrame, min_pages: int = 8, min_sites: int = 3, broadcast_keys: int = 1_000_000) -> DataFrame:
+_ADDRESS = re.compile(r"^\s*[a-z][a-z0-9+.\-]*://[^/?#]*/?([^#]+)", re.I)
+
+
+def _address_form(final_url: str | None) -> str | None:
+    """The masked path and query of an address; None for a site's root and a missing address."""
+    m = _ADDRESS.match(final_url or "")
+    return "\0" + _DIGITS.sub("0", m.group(1).lower()) if m else None
+
+
+def _row_forms(forms: list[tuple[str, int]], kind: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, words, keys of two lines together) of the lines; 0 for a line too long to be a template's.
+
+    Two lines together matter in plain text only, where a sentence may be wrapped.
+    """
+    hashed = xxhash.xxh64_intdigest
+    keys = [hashed(x) if n <= LINE_WORDS else 0 for x, n in forms]
+    pairs = [0] * len(keys)
+    if kind in ("text", None):
+        for i in range(len(keys) - 1):
+            if keys[i] and keys[i + 1] and len(forms[i][0]) >= 30:
+                pairs[i] = hashed(f"{forms[i][0]} {forms[i + 1][0]}")
+    return np.array(keys, np.uint64), np.array([min(n, 65535) for _, n in forms], np.uint16), np.array(pairs, np.uint64)
+
+
+def _covered(known: np.ndarray, known_pairs: np.ndarray) -> np.ndarray:
+    """The lines that are known by themselves or as one of two."""
+    covered = known | known_pairs
+    covered[1:] |= known_pairs[:-1]
+    return covered
+
+
+def _own_words(known: np.ndarray, known_pairs: np.ndarray, words: np.ndarray) -> int:
+    return int(words[~_covered(known, known_pairs)].sum(dtype=np.int64))
+
+
+def _held(spark, keys: DataFrame, limit: int):
+    """The keys of a one-column table as a broadcast sorted array, or None if there are more than ``limit``."""
+    size = keys.count()
+    if size > limit:
+        return None
+    return spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in keys.collect()), np.int64, size).view(np.uint64)))
+
+
+def _among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    if not len(held):
+        return np.zeros(len(keys), bool)
+    return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
+
+
+def page_templates(table: DataFrame, min_pages: int, min_sites: int, min_bare: float, broadcast_keys: int) -> DataFrame:
+    """``page_id`` of the pages that carry a line of a whole-page template and have no body of their own.
+
+    ``table`` has page_id, site, body, address, lines, words and pairs: packed keys.
+    """
+    spark = table.sparkSession
+    kind = dict(table.dtypes)["page_id"]
+    packed = ["page_id", "body", "site", "address", "lines", "words", "pairs"]
+    table = table.select(*packed)
+
+    def read(batch: pa.RecordBatch):
+        for page, body, site, address, lines, words, pairs in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            yield page, body, site, np.uint64(address & 0xFFFFFFFFFFFFFFFF), np.frombuffer(lines, np.uint64), np.frombuffer(words, np.uint16), np.frombuffer(pairs, np.uint64)
+
+    def once(address: np.uint64, lines: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        got = np.unique(np.concatenate((lines, pairs, [address])))
+        return got[1:] if len(got) and not got[0] else got
+
+    def sums(keys: list[np.ndarray], *values: list) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Keys of a batch in order, the values beside them, the starts of their runs and the runs' lengths."""
+        key = np.concatenate(keys)
+        sizes = [len(k) for k in keys]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return key[at], [np.repeat(np.array(v, np.int64), sizes)[order] for v in values], at, np.diff(np.append(at, len(key)))
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys, sites, bodies = [], [], []
+        for _, body, site, address, lines, _, pairs in read(batch):
+            keys.append(once(address, lines, pairs))
+            sites.append(1 << (site % 63))
+            bodies.append(1 << (body % 63))
+        if not any(map(len, keys)):
+            return None
+        key, (s, b), at, n = sums(keys, sites, bodies)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(np.bitwise_or.reduceat(s, at)), pa.array(np.bitwise_or.reduceat(b, at))], ["key", "n", "sites", "bodies"])
+
+    counts = arrow_map(table, count, "key bigint, n bigint, sites bigint, bodies bigint").groupBy("key").agg(F.sum("n").alias("n"), F.expr("bit_count(bit_or(sites))").alias("sites"), F.expr("bit_count(bit_or(bodies))").alias("bodies"))
+    repeated = cut_lineage(counts.where((F.col("n") >= min_pages) & (F.col("bodies") >= min_sites)).select("key", "n", "sites"))
+    whole = (F.col("sites") >= min_sites) & (F.col("bare") >= F.col("n") * min_bare)
+    held = _held(spark, repeated.select("key"), broadcast_keys)
+
+    if held is not None:
+
+        def bare(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            keys = []
+            for _, _, _, address, lines, words, pairs in read(batch):
+                if _own_words(_among(lines, held.value), _among(pairs, held.value), words) < BARE_WORDS:
+                    got = once(address, lines, pairs)
+                    keys.append(got[_among(got, held.value)])
+            if not any(map(len, keys)):
+                return None
+            key, _, _, n = sums(keys)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "bare"])
+
+        found = arrow_map(table, bare, "key bigint, bare bigint").groupBy("key").agg(F.sum("bare").alias("bare"))
+        templates = found.join(repeated, "key").where(whole).select("key")
+        final = _held(spark, templates, broadcast_keys)
+
+        def decide(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for i, (_, _, _, address, lines, words, pairs) in enumerate(read(batch)):
+                own = _own_words(_among(lines, held.value), _among(pairs, held.value), words)
+                if own >= BODY_WORDS:
+                    continue
+                # versions of one text repeat each other's lines, but these make a body
+                hit = _covered(_among(lines, final.value), _among(pairs, final.value))
+                if hit.any() and own + int(words[hit].sum(dtype=np.int64)) < BODY_WORDS or own < BARE_WORDS and not hit.any() and _among(np.array([address]), final.value)[0]:
+                    out.append(i)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out, pa.int64()))], ["page_id"])
+
+        return arrow_map(table, decide, f"page_id {kind}")
+
+    # More repeated forms than may be broadcast: every line's keys are joined with them.
+    def unpack(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at, no, count_, key = [], [], [], []
+        for i, (_, _, _, address, lines, words, pairs) in enumerate(read(batch)):
+            n = len(lines)
+            at.append(np.full(3 * n + 1 - (n > 0), i))
+            no.append(np.concatenate((np.arange(n), np.arange(n), np.arange(1, n), [-1])))
+            count_.append(np.concatenate((words, words, words[1:], [0])))
+            key.append(np.concatenate((lines, pairs, pairs[:-1], np.array([address], np.uint64))))
+        if not at:
+            return None
+        at = pa.array(np.concatenate(at))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(no).astype(np.int64)), pa.array(np.concatenate(count_).astype(np.int64)), pa.array(np.concatenate(key).view(np.int64))], ["page_id", "body", "line", "words", "key"])
+
+    lines = arrow_map(table, unpack, f"page_id {kind}, body bigint, line bigint, words bigint, key bigint")
+    marked = lines.join(repeated.select("key", F.lit(True).alias("known")), "key", "left")
+    by_line = marked.groupBy("page_id", "body", "line").agg(F.max("words").alias("words"), F.max("known").alias("known"))
+    own = cut_lineage(by_line.groupBy("page_id", "body").agg(F.sum(F.when(F.col("known"), 0).otherwise(F.col("words"))).alias("own")))
+    edges = lines.where("key <> 0").join(own, ["page_id", "body"]).where(F.col("own") < BODY_WORDS)
+    bares = edges.where(F.col("own") < BARE_WORDS).select("page_id", "body", "key").distinct().groupBy("key").agg(F.count("*").alias("bare"))
+    templates = bares.join(repeated, "key").where(whole).select("key")
+    hits = edges.join(templates, "key", "left_semi").groupBy("page_id", "body", "own", "line").agg(F.max("words").alias("words"))
+    per_page = hits.groupBy("page_id", "body", "own").agg(F.sum("words").alias("words"), F.max("line").alias("line"))
+    return per_page.where((F.col("own") + F.col("words") < BODY_WORDS) & ((F.col("line") >= 0) | (F.col("own") < BARE_WORDS))).select("page_id")
+
+
+def residue_pages(pages: DataFrame, min_pages: int = 6, min_sites: int = 3, min_bare: float = 0.4, broadcast_keys: int = 1_000_000) -> DataFrame:
     """``(page_id, reason)``: pages that hold an error message, filler, or an unfilled template.
 
-    ``reason`` is ``slot``, ``message``, ``filler`` or ``template``.  Null and empty
-    contents are no cases; broken JSON is read as text; a page repeated under one id
-    comes out once; further columns are ignored; an empty table gives no rows.
+    ``reason``: ``slot`` (a filler in a slot that other records prove), ``template`` (a
+    line of a whole-page template), ``default`` (default text in place of the body); for
+    pages with no other ground than a list ``syntax`` (a variable of a template language),
+    ``message`` and ``filler``.  Null and empty contents are no cases; broken JSON is read
+    as text; a page repeated under one id comes out once; further columns are ignored; an
+    empty table gives no rows.
     """
     spark = pages.sparkSession
     base = need(pages, "page_id", "content_format", "content", "final_url", "url").where("length(content) > 0")
-    base = spread(base.select("page_id", "content_format", "content", site_of(F.col("final_url"), F.col("url")).alias("site")))
+    base = spread(base.select("page_id", "content_format", "content", site_of(F.col("final_url"), F.col("url")).alias("site"), "final_url"))
     kind = dict(base.dtypes)["page_id"]
-    schema = f"page_id {kind}, reason string, key bigint, short bigint, total bigint, sites bigint, bodies bigint"
+    schema = f"page_id {kind}, sign string, body bigint, site bigint, address bigint, lines binary, words binary, pairs binary, frames array<bigint>, names array<string>, stems array<string>"
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, reasons, keys = [], [], []
-        totals: dict[int, list[int]] = {}
-        for page, fmt, content, site in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            sign, weak, forms, short, names = inspect(content, fmt)
-            for name in names:
-                ids.append(page)
-                reasons.append("name" if sign == "slot" else "perhaps")
-                keys.append(xxhash.xxh64_intdigest(name))
-            if sign:
-                ids.append(page)
-                reasons.append(sign)
-                keys.append(0)
-            for frame in set(weak):
-                ids.append(page)
-                reasons.append("weak")
-                keys.append(frame)
-            site_bit = 1 << (xxhash.xxh32_intdigest(site) % 63)
-            body_bit = 1 << (xxhash.xxh32_intdigest(content) % 63)
-            for form in set(forms):
-                key = xxhash.xxh64_intdigest(form)
-                got = totals.setdefault(key, [0, 0, 0, 0])
-                got[1] += 1
-                if short:
-                    got[0] += 1
-                    got[2] |= site_bit
-                    got[3] |= body_bit
-                    if not sign:
-                        ids.append(page)
-                        reasons.append("form")
-                        keys.append(key)
-        n, m = len(ids), len(totals)
-        cols = np.array(list(totals.values()), np.int64).reshape(-1, 4)
-        all_keys = np.array(keys + list(totals), np.uint64).view(np.int64)
-        zero = np.zeros(n, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids + [None] * m, batch.schema.field(0).type), pa.array(reasons + ["count"] * m), pa.array(all_keys), *(pa.array(np.concatenate((zero, cols[:, i]))) for i in range(4))], ["page_id", "reason", "key", "short", "total", "sites", "bodies"])
+        rows = []
+        for fmt, content, site, final_url in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+            got = inspect(content, fmt)
+            lines, words, pairs = _row_forms(got.forms, fmt)
+            address = _address_form(final_url)
+            frames = np.unique(np.array(got.frames, np.uint64)).view(np.int64).tolist()
+            rows.append((got.sign, xxhash.xxh32_intdigest(content), xxhash.xxh32_intdigest(site), np.uint64(xxhash.xxh64_intdigest(address) if address else 0).view(np.int64), lines.tobytes(), words.tobytes(), pairs.tobytes(), frames, sorted(got.names), sorted(got.stems)))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string())]
+        names = ["sign", "body", "site", "address", "lines", "words", "pairs", "frames", "names", "stems"]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["page_id", *names])
 
     seen = cut_lineage(arrow_map(base, one, schema, text="content"))
-    certain = seen.where("reason in ('slot', 'message', 'filler')").select("page_id", "reason")
-    forms = seen.where("reason = 'count'").groupBy("key").agg(F.sum("short").alias("short"), F.sum("total").alias("total"), F.expr("bit_count(bit_or(sites))").alias("sites"), F.expr("bit_count(bit_or(bodies))").alias("bodies"))
-    templates = forms.where((F.col("short") >= min_pages) & (F.col("short") >= 0.9 * F.col("total")) & (F.col("sites") >= min_sites) & (F.col("bodies") >= min_sites)).select("key")
-    repeated = seen.where("reason = 'form'").join(templates, "key", "left_semi").select("page_id", F.lit("template").alias("reason"))
-
-    # Frames of the weak fillers, looked up in all pages.
-    frames = seen.where("reason = 'weak'").select("key").distinct()
-    wanted = frames.count()
-    held = None
-    if wanted <= broadcast_keys:
-        held = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in frames.collect()), np.int64, wanted).view(np.uint64)))
+    repeated = page_templates(seen, min_pages, min_sites, min_bare, broadcast_keys).select("page_id", F.lit("template").alias("reason"))
+
+    # Stems of default text: in at least a twentieth of the pages that open with it, so at most 20 times as many as a page has.
+    anchors = seen.where("size(stems) > 0")
+    least = max(1, anchors.count() // 20)
+    stems = frozenset(r[0] for r in anchors.select(F.explode("stems").alias("stem")).groupBy("stem").count().where(F.col("count") >= least).collect())
+
+    # Frames of the fillers, looked up in all pages.
+    edge = seen.where("size(frames) > 0").select("page_id", F.explode("frames").alias("key"))
+    held = _held(spark, edge.select("key").distinct(), broadcast_keys)
     cache: dict[str, int] = {}
 
     def fillers(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        if held is not None and not len(held.value):
+        if held is not None and not len(held.value) and not stems:
             return None
         if len(cache) > 500_000:
             cache.clear()
-        keys, words = [], []
-        for fmt, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        keys, words, whole = [], [], []
+        for page, fmt, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
             got = WORD.findall(content.lower())
             if len(got) < 3 or fmt == "json":
                 continue
@@ -298,26 +479,37 @@ def residue_pages(pages: DataFrame, min_pages: int = 8, min_sites: int = 3, broa
             except KeyError:
                 for w in got:
                     if w not in cache:
-                        cache[w] = xxhash.xxh64_intdigest(w)
+                        cache[w] = _word_hash(w) | (w[:STEM] in stems)
                 h = np.array([cache[w] for w in got], np.uint64)
+            bit = h & np.uint64(1)
+            share = int(bit.sum())
+            if share >= 12 and share * 4 >= len(h) and _is_default_text(content, fmt, stems):
+                whole.append(page)
+            h ^= bit
             for shape in _SHAPES:
                 key, filler = _frame_keys(h, shape)
                 if held is not None:
-                    at = np.minimum(np.searchsorted(held.value, key), len(held.value) - 1)
-                    at = np.flatnonzero(held.value[at] == key)
+                    at = np.flatnonzero(_among(key, held.value))
                     key, filler = key[at], filler[at]
                 keys.append(key)
                 words.append(filler)
         if not keys:
             return None
         pairs = np.unique(np.stack((np.concatenate(keys), np.concatenate(words)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["key", "word"])
+        ids = pa.array([None] * len(pairs) + whole, batch.schema.field(0).type)
+        none = pa.nulls(len(whole), pa.int64())
+        return pa.RecordBatch.from_arrays([ids, *(pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)), none]) for i in (0, 1))], ["page_id", "key", "word"])
 
-    seen_in = arrow_map(base, fillers, "key bigint, word bigint", text="content")
-    slots = seen_in.groupBy("key").agg(F.count_distinct("word").alias("n")).where("n >= 2").select("key")
-    edge = seen.where("reason = 'weak'").select("page_id", "key")
+    scan = cut_lineage(arrow_map(base.drop("site", "final_url"), fillers, f"page_id {kind}, key bigint, word bigint", text="content"))
+    default = scan.where("page_id is not null").select("page_id", F.lit("default").alias("reason"))
+    slots = scan.where("page_id is null").groupBy("key").agg(F.count_distinct("word").alias("n")).where("n >= 2").select("key")
     open_slots = edge.join(slots, "key", "left_semi").select("page_id", F.lit("slot").alias("reason"))
-    # A doubtful filler whose name certain slots of other pages use.
-    names = seen.where("reason = 'name'").groupBy("key").agg(F.count("*").alias("n")).where("n >= 2").select("key")
-    named = seen.where("reason = 'perhaps'").select("page_id", "key").join(names, "key", "left_semi").select("page_id", F.lit("slot").alias("reason"))
-    return certain.unionByName(repeated).unionByName(open_slots).unionByName(named).groupBy("page_id").agg(F.min("reason").alias("reason"))
+    # A filler whose name variables of other pages have.
+    named = seen.where("size(names) > 0").select("page_id", F.explode("names").alias("name"), F.expr("coalesce(sign = 'slot', false)").alias("certain"))
+    shared = named.where("certain").groupBy("name").agg(F.count("*").alias("n")).where("n >= 2").select("name")
+    by_name = named.join(shared, "name", "left_semi").select("page_id", F.lit("slot").alias("reason"))
+    listed = seen.where("sign is not null").select("page_id", F.expr("if(sign = 'slot', 'syntax', sign)").alias("reason"))
+    every = repeated.unionByName(default).unionByName(open_slots).unionByName(by_name).unionByName(listed)
+    grounds = F.array_sort(F.collect_set("reason"))
+    rank = "element_at(filter(array('slot', 'template', 'default', 'syntax', 'message', 'filler'), x -> array_contains(grounds, x)), 1)"
+    return every.groupBy("page_id").agg(grounds.alias("grounds")).select("page_id", F.expr(rank).alias("reason"))

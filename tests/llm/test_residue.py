@@ -52,3 +52,25 @@ def test_pages(pages):
         got = {r.page_id: r.reason for r in residue_pages(pages(rows + rows[:2]), broadcast_keys=limit).collect()}
         assert got == {**{i: "template" for i in range(12)}, 200: "slot", 210: "slot", 211: "slot", 215: "slot"}
     assert residue_pages(pages(rows).limit(0)).count() == 0
+
+
+def test_grounds(pages):
+    """Templates, blanks and default text are proven by other records, at any length of the menus around them."""
+    site = "https://s{}.example/{}"
+    menu = "\n\n".join(f"{w} corner of the site with all its many entries" for w in ("north", "south", "east", "west", "upper", "lower", "inner", "outer") * 4)
+    rows = [{"page_id": i, "url": site.format(i % 4, i), "content_format": "text", "content": f"{menu}\n\nNothing grows under this number {i}\n\nunit {chr(97 + i)}"} for i in range(8)]
+    rows += [{"page_id": 50 + i, "url": site.format(i % 4, i), "content_format": "text", "content": f"{menu}\n\n{BODY} {chr(97 + i)}"} for i in range(25)]
+    # versions of one text, of other sites, repeat all their lines
+    version = "\n\n".join(f"Line {chr(97 + k)} of a long text that was copied and edited here and there" for k in range(20))
+    rows += [{"page_id": 100 + i, "url": site.format(i % 4, i), "content_format": "text", "content": f"{version}\n\nedit {chr(97 + i)}"} for i in range(8)]
+    # a blank between the same words
+    rows += [{"page_id": 120, "content": "Zyx built in () by wvu " + BODY, "content_format": "text"}, {"page_id": 121, "content": "Zyx built in Oslo by wvu " + BODY}, {"page_id": 122, "content": "Zyx built in Rome by wvu " + BODY}, {"page_id": 123, "content": "Qua zeta rho () tau " + BODY, "content_format": "text"}]
+    # addresses betray bare pages
+    rows += [{"page_id": 130 + i, "url": "https://a.example/", "final_url": f"https://s{i % 4}.example/error?code={400 + i}", "content_format": "text", "content": f"gone {chr(97 + i)}"} for i in range(8)]
+    rows += [{"page_id": 140, "final_url": "https://q.example/error?code=9", "content_format": "text", "content": BODY}]
+    # words of default text, learnt from pages that open with it; one that only mentions it
+    invented = "sedo quima vestu plora " * 6
+    rows += [{"page_id": 150 + i, "content": f"Lorem ipsum {invented}", "content_format": "text"} for i in range(3)] + [{"page_id": 160, "content": f"# T\n\n{invented}", "content_format": "markdown"}, {"page_id": 161, "content": f"{BODY} Some call it lorem ipsum.", "content_format": "text"}]
+    want = {**{i: "template" for i in range(8)}, 120: "slot", **{130 + i: "template" for i in range(8)}, **{150 + i: "default" for i in range(3)}, 160: "default"}
+    for limit in (1_000_000, 0):
+        assert {r.page_id: r.reason for r in residue_pages(pages(rows), broadcast_keys=limit).collect()} == want
