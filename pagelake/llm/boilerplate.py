@@ -13,8 +13,16 @@
 3. Differencing says little on hosts with a handful of pages. Forms that win votes on
    several hosts in a good part of their occurrences are collected as templates and hold
    for all pages; so are the openings of lines (``Notice:``).
-4. Lines that are never shared as they name other pages (breadcrumbs, tags, previous and
-   next, link lists, containers such as ``nav``) follow from their structure.
+4. Lines that name other pages (breadcrumbs, previous and next, link lists, tags) are
+   never equal. For these the names are masked: a line that consists of links, or of short
+   parts between separators and arrows, is kept as its shape (``_ › _ › _``, ``← _``, ``tags: _, _``), and
+   the shapes of two pages are aligned as the lines are. Shapes win or lose by the same
+   counts of votes as lines do.
+5. A line that is shared is still body if it stands mostly on pages that would be left with
+   nothing but headings: the message or filler of a whole-page template.
+6. Where there is nothing to align with, a host with one page in a small collection, the
+   same kinds of lines are known by fixed rules of structure, and messages by a list
+   (``structure=False`` leaves both out, to measure what the alignment does by itself).
 
 Code, headings, table rows and whole-line error messages belong to the body; only lines
 that match a template are taken out of code.
@@ -54,7 +62,7 @@ _CONTAINER = re.compile(r"<(/?)(nav|footer|aside|header|noscript|div)\b([^<>]*)>
 _BODY_TAG = re.compile(r"<(?:h[1-6]|pre|table|blockquote|article|main)\b", re.I)
 _HEADING = re.compile(r"<h[1-6]\b", re.I)
 
-CODE, HEADING, ROW, STRONG, MESSAGE, SHORT, VOTED, TOUCHED, LONG = 1, 2, 4, 8, 16, 32, 64, 128, 256
+CODE, HEADING, ROW, STRONG, MESSAGE, SHORT, VOTED, TOUCHED, LONG, SHAPED = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512
 _BODY = CODE | HEADING | ROW | MESSAGE
 
 
@@ -130,13 +138,55 @@ def _text_bits(lines: list[str], kind: str | None) -> list[int]:
     return bits
 
 
-def line_table(content: str, kind: str | None, label: str) -> tuple[list[int], list[int], list[int], list[tuple[int, int]], list[int]]:
-    """(numbers, keys, opening keys, keys joined with the next lines, bits) of the lines with visible text."""
+_LINKED = re.compile(r"!?\[[^\[\]]+\]\([^()\s]*\)|<a\b[^<>]*>[^<>]*</a\s*>", re.I)
+_MARKS = re.compile(r"(?:^|(?<=\s))[|·•›»«‹→←](?=\s|$)")
+_LISTED = re.compile(r"^(\S+(?:\s\S+){0,2})[:：]\s(\S.*)$")
+
+
+def shape(line: str, label: str, is_html: bool) -> str:
+    """``line`` with the names in it masked; '' if it isn't made of links or of short parts between marks."""
+    linked = "](" in line or is_html and "<a" in line
+    if not linked and (m := _LISTED.match(line if not is_html else " ".join(_TAG.sub(" ", line).split()))):
+        parts = re.split("[,、，]", m.group(2))
+        if len(parts) > 1 and line.rstrip()[-1:] not in ".!?" and all(len(p.split()) <= 4 for p in parts):
+            return f"{m.group(1).lower()}: _, _"
+    if not linked and not any(c in line for c in "|·•›»«‹→←"):
+        return ""
+    v = _LINKED.sub("\1", line)
+    if is_html and "<" in v:
+        v = html.unescape(_TAG.sub(" ", v))
+    v = " ".join(v.split())
+    out, at = [], 0
+    for m in [*_MARKS.finditer(v), None]:
+        part = v[at : m.start() if m else len(v)].strip()
+        bullet, _, rest = part.partition(" ")
+        if not out and bullet in ("*", "-", "+") and rest:
+            out.append(bullet)
+            part = rest
+        if part and not part.replace("\1", "").strip():
+            out.append("[_]")  # one link or several
+        elif "\1" in part or part.count(" ") >= 15 or part[-1:] in (".", "!", "?"):
+            return ""
+        elif part:
+            out.append("@" if label and part.lower() == label else "_")
+        if m:
+            out.append(m.group().strip())
+            at = m.end()
+    if len(out) == 1 and out != ["[_]"]:
+        return ""
+    form = " ".join(out)
+    while "_ | _ | _ | _" in form or "_ · _ · _ · _" in form:  # menus of any length
+        form = form.replace("_ | _ | _ | _", "_ | _ | _").replace("_ · _ · _ · _", "_ · _ · _")
+    return form
+
+
+def line_table(content: str, kind: str | None, label: str, lists: bool = True) -> tuple[list[int], list[int], list[int], list[tuple[int, int]], list[int], list[int]]:
+    """(numbers, keys, opening keys, keys joined with the next lines, bits, keys of shapes) of the lines with visible text."""
     lines = content.replace("\r\n", "\n").split("\n")
     is_html = kind == "html"
     bits = _html_bits(lines) if is_html else _text_bits(lines, kind)
     wrap = kind in ("text", None)
-    numbers, keys, opens, joined, out, forms = [], [], [], [], [], []
+    numbers, keys, opens, joined, out, forms, shapes = [], [], [], [], [], [], []
     hashed = xxhash.xxh64_intdigest
     for i, line in enumerate(lines):
         v = line
@@ -159,7 +209,7 @@ def line_table(content: str, kind: str | None, label: str) -> tuple[list[int], l
         forms.append(form)
         if not b & CODE:
             n = low.count(" ") + 1
-            if n <= 20 and (MESSAGES.search(bare) or FILLER.match(bare)):
+            if lists and n <= 20 and (MESSAGES.search(bare) or FILLER.match(bare)):
                 # a notice about scripts is a message only without a real body; others are messages anywhere
                 b |= MESSAGE
             if n <= 5 and v[-1] not in ".!?":
@@ -182,6 +232,8 @@ def line_table(content: str, kind: str | None, label: str) -> tuple[list[int], l
         m = _OPEN.match(bare) if not b & (_BODY & ~CODE) else None
         opens.append(hashed(f"open\0{m.group(1) or m.group(2)}") if m else 0)
         out.append(b)
+        masked = "" if b & _BODY else shape(line, label, is_html)
+        shapes.append(hashed(f"shape\0{masked}") if masked else 0)
     if wrap:
         at = {n: k for k, n in enumerate(numbers)}
         for k, n in enumerate(numbers):
@@ -194,7 +246,7 @@ def line_table(content: str, kind: str | None, label: str) -> tuple[list[int], l
             joined.append((two, three))
     else:
         joined = [(0, 0)] * len(numbers)
-    return numbers, keys, opens, joined, out
+    return numbers, keys, opens, joined, out, shapes
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -218,10 +270,13 @@ def _increasing(values: list[int]) -> list[int]:
 
 
 class _Page:
-    __slots__ = ("heads", "long", "own", "peers", "place", "row", "size", "votes")
+    __slots__ = ("heads", "long", "own", "peers", "place", "row", "shaped", "shapes", "size", "votes")
 
-    def __init__(self, row: tuple, keys: np.ndarray, bits: np.ndarray, own: bool = True):
+    def __init__(self, row: tuple, keys: np.ndarray, bits: np.ndarray, shapes: np.ndarray, own: bool = True):
         self.row, self.own = row, own
+        self.shapes, self.shaped = {}, set()
+        for i in np.flatnonzero(shapes).tolist():
+            self.shapes.setdefault(int(shapes[i]), i)
         self.place = {}
         for i, k in enumerate(keys.tolist()):
             if not bits[i] & _BODY:
@@ -239,15 +294,24 @@ def difference(a: _Page, b: _Page, version: float = 0.6) -> None:
         return
     a.peers += 1
     b.peers += 1
-    if not common:
-        return
-    pairs = sorted((b.place[k], a.place[k]) for k in common)
+    for j, i in _aligned(a.place, b.place, common):
+        b.votes[j] += 1
+        a.votes[i] += 1
+    masked = a.shapes.keys() & b.shapes.keys()
+    if masked - a.shaped or masked - b.shaped:
+        kept = {j for j, _ in _aligned(a.shapes, b.shapes, masked)}
+        masked = {k for k in masked if b.shapes[k] in kept}
+        a.shaped |= masked
+        b.shaped |= masked
+
+
+def _aligned(a: dict[int, int], b: dict[int, int], common: set[int]) -> list[tuple[int, int]]:
+    """Places in both of a longest common subsequence, from the places of the keys that both hold."""
+    pairs = sorted((b[k], a[k]) for k in common)
     left = [x for _, x in pairs]
     if any(x > y for x, y in zip(left, left[1:])):
         pairs = [pairs[i] for i in _increasing(left)]
-    for j, i in pairs:
-        b.votes[j] += 1
-        a.votes[i] += 1
+    return pairs
 
 
 def _order(path: str, record: str, rid: int | None) -> tuple:
@@ -313,7 +377,7 @@ def blocks_of(page: tuple, cuts: tuple[list[tuple], list[tuple], list[tuple]]) -
     return out
 
 
-def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: int = 16, min_sites: int = 3, min_ratio: float = 0.3, broadcast_keys: int = 1_000_000, block_pages: int = 2000) -> DataFrame:
+def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: int = 16, min_sites: int = 3, min_ratio: float = 0.3, broadcast_keys: int = 1_000_000, block_pages: int = 2000, structure: bool = True) -> DataFrame:
     """``(record, record_id, line_no)`` of the lines that aren't part of the main body.
 
     ``record`` is ``page`` or ``artifact``. Null contents and json pages have no such
@@ -342,22 +406,22 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
         for i, (record, rid, s, p, kind, content) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(6)))):
             labels = s.split(".")
             label = labels[-2] if len(labels) > 1 else ""
-            numbers, keys, opens, joined, bits = line_table(content, kind, label if len(label) > 3 else "")
-            for column, (values, kind_) in zip(cols, ((numbers, np.int32), (keys, np.uint64), (opens, np.uint64), ([j for j, _ in joined], np.uint64), ([j for _, j in joined], np.uint64), (bits, np.uint16))):
+            numbers, keys, opens, joined, bits, shapes = line_table(content, kind, label if len(label) > 3 else "", structure)
+            for column, (values, kind_) in zip(cols, ((numbers, np.int32), (keys, np.uint64), (opens, np.uint64), (shapes, np.uint64), ([j for j, _ in joined], np.uint64), ([j for _, j in joined], np.uint64), (bits, np.uint16))):
                 column.append(np.array(values, kind_).tobytes())
             for block, own in blocks_of(_order(p, record, rid), cuts[s]) if s in cuts else ((0, True),):
                 at.append(i)
                 blocks.append(block)
                 owns.append(own)
-        held = pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, pa.binary()) for c in cols[:6])], names).take(pa.array(at, pa.int64()))
+        held = pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, pa.binary()) for c in cols)], names).take(pa.array(at, pa.int64()))
         return pa.RecordBatch.from_arrays([*held.columns[:4], pa.array(blocks, pa.int32()), pa.array(owns, pa.bool_()), *held.columns[4:]], [*names[:4], "block", "own", *names[4:]])
 
-    names = ["record", "record_id", "site", "path", "numbers", "keys", "opens", "two", "three", "bits"]
-    packed_schema = "record string, record_id bigint, site string, path string, block int, own boolean, numbers binary, keys binary, opens binary, two binary, three binary, bits binary"
+    names = ["record", "record_id", "site", "path", "numbers", "keys", "opens", "shapes", "two", "three", "bits"]
+    packed_schema = "record string, record_id bigint, site string, path string, block int, own boolean, numbers binary, keys binary, opens binary, shapes binary, two binary, three binary, bits binary"
     packed = arrow_map(spread(rows), pack, packed_schema, text="content")
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record", "record_id", "site", "numbers", "keys", "opens", "two", "three", "bits"]
+        names = ["record", "record_id", "site", "numbers", "keys", "opens", "shapes", "two", "three", "bits"]
         done: list[tuple] = []
 
         def finish(page: _Page) -> None:
@@ -367,10 +431,12 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
             need_ = 2 if page.peers >= 8 else 1
             bits[page.votes >= 1] |= TOUCHED
             bits[page.votes >= need_] |= VOTED
+            if page.shaped:
+                bits[np.isin(np.frombuffer(row[6], np.uint64), np.fromiter(page.shaped, np.uint64, len(page.shaped)))] |= SHAPED
             done.append((*row[:-1], bits.tobytes()))
 
         def out() -> pa.RecordBatch:
-            kinds = [pa.string(), pa.int64(), pa.string()] + [pa.binary()] * 6
+            kinds = [pa.string(), pa.int64(), pa.string()] + [pa.binary()] * 7
             batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names)
             done.clear()
             return batch
@@ -378,8 +444,8 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
         near: deque[_Page] = deque()
         group, last = None, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(12))):
-                record, rid, site_, _, block, own, numbers, keys, opens, two, three, bits = row
+            for row in zip(*(batch.column(i).to_pylist() for i in range(13))):
+                record, rid, site_, _, block, own, numbers, keys, opens, shapes, two, three, bits = row
                 if (site_, block) != group:
                     for page in near:
                         finish(page)
@@ -388,7 +454,7 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
                 if last == (record, rid):  # a repeated row
                     continue
                 last = (record, rid)
-                page = _Page((record, rid, site_, numbers, keys, opens, two, three, bits), np.frombuffer(keys, np.uint64), np.frombuffer(bits, np.uint16), own)
+                page = _Page((record, rid, site_, numbers, keys, opens, shapes, two, three, bits), np.frombuffer(keys, np.uint64), np.frombuffer(bits, np.uint16), np.frombuffer(shapes, np.uint64), own)
                 for other in near:
                     if own or other.own:
                         difference(other, page)
@@ -402,22 +468,22 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
         if done:
             yield out()
 
-    aligned_schema = "record string, record_id bigint, site string, numbers binary, keys binary, opens binary, two binary, three binary, bits binary"
+    aligned_schema = "record string, record_id bigint, site string, numbers binary, keys binary, opens binary, shapes binary, two binary, three binary, bits binary"
     ordered = packed.repartition("site", "block").sortWithinPartitions("site", "block", "path", "record", "record_id")
     table = cut_lineage(ordered.mapInArrow(align, aligned_schema))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, touched, site_bits = [], [], []
-        for s, k, o, b in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5, 8))):
+        for s, k, o, m, b in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5, 6, 9))):
             bits = np.frombuffer(b, np.uint16)
             open_ = (bits & _BODY) == 0
             t = (bits & TOUCHED) > 0
-            opens = np.frombuffer(o, np.uint64)
-            use = open_ & (opens > 0)
+            opens, shapes = np.frombuffer(o, np.uint64), np.frombuffer(m, np.uint64)
+            use, masked = open_ & (opens > 0), shapes > 0
             # once a page
-            k, first = np.unique(np.concatenate((np.frombuffer(k, np.uint64)[open_], opens[use])), return_index=True)
+            k, first = np.unique(np.concatenate((np.frombuffer(k, np.uint64)[open_], opens[use], shapes[masked])), return_index=True)
             keys.append(k)
-            touched.append(np.concatenate((t[open_], t[use]))[first])
+            touched.append(np.concatenate((t[open_], t[use], (bits[masked] & SHAPED) > 0))[first])
             site_bits.append(np.full(len(k), 1 << (xxhash.xxh32_intdigest(s) % 63), np.int64))
         key = np.concatenate(keys)
         if not len(key):
@@ -445,36 +511,75 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
             return np.zeros(len(keys), bool)
         return held.value[np.minimum(np.searchsorted(held.value, keys), len(held.value) - 1)] == keys
 
+    def chrome_of(k: bytes, o: bytes, m: bytes, two: bytes, three: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lines that aren't body, keys of the lines, bits) of a page."""
+        bits, k = np.frombuffer(b, np.uint16), np.frombuffer(k, np.uint64)
+        o, m = np.frombuffer(o, np.uint64), np.frombuffer(m, np.uint64)
+        named = known(k) | (o > 0) & known(o) | (m > 0) & known(m)
+        chrome = named | ((bits & (STRONG | VOTED if structure else VOTED)) > 0)
+        for j, size_ in ((np.frombuffer(two, np.uint64), 2), (np.frombuffer(three, np.uint64), 3)):
+            for at in np.flatnonzero((j > 0) & known(j)):
+                chrome[at : at + size_] = True
+        # a template line that was put into the middle of a code block is no code
+        return chrome & ((bits & _BODY) == 0) | named & ((bits & _BODY) == CODE), k, bits
+
+    def alone(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        """How many pages have a line, once each, and how many of them would keep nothing but headings."""
+        keys, bare = [], []
+        for packed_ in zip(*(batch.column(i).to_pylist() for i in range(4, 10))):
+            chrome, k, bits = chrome_of(*packed_)
+            keys.append(np.unique(k[chrome]))
+            bare.append(np.full(len(keys[-1]), bool((chrome | ((bits & HEADING) > 0)).all())))
+        key = np.concatenate(keys)
+        if not len(key):
+            return None
+        order = np.argsort(key, kind="stable")
+        key, b = key[order], np.concatenate(bare)[order]
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.diff(np.append(at, len(key)))), pa.array(np.add.reduceat(b.astype(np.int64), at))], ["key", "n", "bare"])
+
+    whole = (F.col("n") >= 6) & (F.col("bare") >= 0.4 * F.col("n"))
+
     def decide(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, ids, numbers = [], [], []
-        for record, rid, no, k, o, two, three, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7, 8))):
-            bits, no = np.frombuffer(b, np.uint16), np.frombuffer(no, np.int32)
-            o = np.frombuffer(o, np.uint64)
-            named = known(np.frombuffer(k, np.uint64)) | (o > 0) & known(o)
-            chrome = named | ((bits & (STRONG | VOTED)) > 0)
-            for j, size_ in ((np.frombuffer(two, np.uint64), 2), (np.frombuffer(three, np.uint64), 3)):
-                for at in np.flatnonzero((j > 0) & known(j)):
-                    chrome[at : at + size_] = True
-            # a template line that was put into the middle of a code block is no code
-            chrome = chrome & ((bits & _BODY) == 0) | named & ((bits & _BODY) == CODE)
-            got = no[chrome]
+        for record, rid, no, *packed_ in zip(*(batch.column(i).to_pylist() for i in (0, 1, *range(3, 10)))):
+            chrome, k, _ = chrome_of(*packed_)
+            if body_keys is not None and len(body_keys.value):
+                held_ = body_keys.value
+                chrome &= held_[np.minimum(np.searchsorted(held_, k), len(held_) - 1)] != k
+            got = np.frombuffer(no, np.int32)[chrome]
             names += [record] * len(got)
             ids += [rid] * len(got)
             numbers.append(got)
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(np.concatenate(numbers).astype(np.int64))], ["record", "record_id", "line_no"])
 
+    body_keys = None
+    schema = f"record string, record_id {kinds}, line_no bigint"
     if held is not None:
-        return arrow_map(table, decide, f"record string, record_id {kinds}, line_no bigint")
+        messages = cut_lineage(arrow_map(table, alone, "key bigint, n bigint, bare bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare")).where(whole).select("key"))
+        size = messages.count()
+        if size <= broadcast_keys:
+            body_keys = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in messages.collect()), np.int64, size).view(np.uint64)))
+            return arrow_map(table, decide, schema)
+
+    def visible(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, ids, numbers = [], [], []
+        for record, rid, no, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 9))):
+            got = np.frombuffer(no, np.int32)[(np.frombuffer(b, np.uint16) & HEADING) == 0]
+            names += [record] * len(got)
+            ids += [rid] * len(got)
+            numbers.append(got)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(np.concatenate(numbers).astype(np.int64))], ["record", "record_id", "line_no"])
 
     # More templates than may be broadcast: the keys of each line are joined with them.
     def line_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, ids, starts, sizes_, keys = [], [], [], [], []
-        for record, rid, no, k, o, two, three, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7, 8))):
+        for record, rid, no, k, o, m, two, three, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, *range(3, 10)))):
             bits, no = np.frombuffer(b, np.uint16), np.frombuffer(no, np.int32)
             free = (bits & _BODY) == 0
-            for part, width in ((k, 1), (o, 1), (two, 2), (three, 3)):
+            for part, width in ((k, 0), (k, 1), (o, 1), (m, 1), (two, 2), (three, 3)):  # 0: the line's own key once more
                 part = np.frombuffer(part, np.uint64)
-                at = np.flatnonzero((free | ((bits & _BODY) == CODE) & (width == 1)) & (part > 0))
+                at = np.flatnonzero((free | ((bits & _BODY) == CODE) & (width < 2)) & (part > 0))
                 names += [record] * len(at)
                 ids += [rid] * len(at)
                 starts.append(no[at])
@@ -483,6 +588,13 @@ def chrome_lines(pages: DataFrame, artifacts: DataFrame | None = None, window: i
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(sizes_).astype(np.int64)), pa.array(np.concatenate(keys).view(np.int64))], ["record", "record_id", "line_no", "width", "key"])
 
     lines = arrow_map(table, line_keys, "record string, record_id bigint, line_no bigint, width bigint, key bigint")
-    hit = lines.join(templates, "key", "left_semi").select("record", "record_id", F.explode(F.sequence("line_no", F.expr("line_no + width - 1"))).alias("line_no"))
-    body = lines.where("width = 1").select("record", "record_id", "line_no").distinct()
-    return arrow_map(table, decide, f"record string, record_id {kinds}, line_no bigint").unionByName(hit.join(body, ["record", "record_id", "line_no"], "left_semi")).distinct()
+    place = ["record", "record_id", "line_no"]
+    hit = lines.where("width > 0").join(templates, "key", "left_semi").select("record", "record_id", F.explode(F.sequence("line_no", F.expr("line_no + width - 1"))).alias("line_no"))
+    free = lines.where("width = 1")
+    found = cut_lineage(arrow_map(table, decide, schema).unionByName(hit.join(free.select(*place).distinct(), place, "left_semi")).distinct())
+    # The same count of pages that would keep nothing but headings.
+    kept = arrow_map(table, visible, schema).join(found, place, "left_anti").select("record", "record_id").distinct()
+    named = lines.where("width = 0").join(found, place, "left_semi")
+    alone_ = named.join(kept.withColumn("keeps", F.lit(1)), ["record", "record_id"], "left").groupBy("key").agg(F.count_distinct("record", "record_id").alias("n"), F.count_distinct(F.when(F.col("keeps").isNull(), F.struct("record", "record_id"))).alias("bare"))
+    wrong = named.join(alone_.where(whole).select("key"), "key", "left_semi").select(*place)
+    return found.join(wrong, place, "left_anti")

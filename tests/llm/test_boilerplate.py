@@ -2,7 +2,7 @@
 
 import random
 
-from pagelake.llm.boilerplate import _increasing, blocks_of, chrome_lines, host_cuts, line_table
+from pagelake.llm.boilerplate import _increasing, blocks_of, chrome_lines, host_cuts, line_table, shape
 
 
 def page(rng, i, host, extra=()):
@@ -45,7 +45,7 @@ def test_artifacts_and_html(spark, pages):
 
 def test_increasing_and_table():
     assert _increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5] and _increasing([]) == []
-    numbers, keys, _, _, bits = line_table("a\r\n\n<b></b>\n  \n***", "html", "")
+    numbers, keys, _, _, bits, _ = line_table("a\r\n\n<b></b>\n  \n***", "html", "")
     assert numbers == [1]
 
 
@@ -74,3 +74,27 @@ def test_large_hosts_are_cut_between_neighbours(spark, pages):
             held[block].append((i, own))
     assert [[i for i, _ in b] for b in held] == [[*range(49)], [*range(17, 82)], [*range(50, 100)]]
     assert [[i for i, own in b if own] for b in held] == [[*range(33)], [*range(33, 66)], [*range(66, 100)]]
+
+
+def test_names_and_messages_without_rules(spark, pages):
+    """Breadcrumbs, previous and next, tags and link lists come out by alignment of their shapes; messages stay."""
+    rng = random.Random(13)
+    rows, want = [], set()
+    for i in range(80):
+        host = f"host{i % 5}.example"
+        text, chrome = page(rng, i, host, extra=("", f"* [Other {rng.random()}](/o{i})", f"* [More {rng.random()}](/m{i})"))
+        chrome |= {k for k, x in enumerate(text.split("\n"), 1) if x.startswith("* [")}
+        rows.append({"page_id": i, "url": f"https://{host}/p/{i}", "content_format": "markdown", "content": text})
+        want |= {("page", i, n) for n in chrome}
+    for i in range(100, 112):
+        rows.append({"page_id": i, "url": f"https://host{i % 5}.example/p/{i}", "content_format": "markdown", "content": f"Home | Docs | Blog | Sign in\n\nNobody lives in this house number {i} any more\n\nWhoever asks again gets the same answer."})
+        want.add(("page", i, 1))
+    for limit in (1_000_000, 0):
+        assert {tuple(r) for r in chrome_lines(pages(rows), broadcast_keys=limit, structure=False).collect()} == want
+
+
+def test_shapes():
+    assert shape("Docs › Guides › A title", "", False) == "_ › _ › _" and shape("← Before this", "", False) == "← _" and shape("After that →", "", False) == "_ →"
+    assert shape("* [A](/a)", "", False) == "* [_]" and shape('<li><a href="/x">A b</a></li>', "", True) == "[_]" and shape("Tags: a, b c, d", "", False) == "tags: _, _"
+    assert shape("A | B | C | D | E", "", False) == shape("A | B | C", "", False) == "_ | _ | _" and shape("Acme · A title", "acme", False) == "@ · _"
+    assert not any(shape(x, "", False) for x in ("See [x](/y) for more", "plain words", "the *|TITLE|* here", "We say: first, then.", "- a list item", "", "a → " + "word " * 20))
