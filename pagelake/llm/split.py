@@ -17,13 +17,14 @@ Texts of at most one range need no stitching and are emitted at once, without a
 from __future__ import annotations
 
 import bisect
-import os
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import arrow_map, need
 
 
@@ -145,14 +146,22 @@ def split_texts(df: DataFrame, key: str, text: str, rule: PieceRule = PieceRule(
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (no, start, end))], names)
 
     small = arrow_map(rows.where(F.length("text") <= range_chars), direct, schema, text="text")
-    # Long texts: one row a range, each with its halo. The last range takes the rest, at least one range long.
-    long = rows.where(F.length("text") > range_chars).withColumn("n", F.length("text").cast("bigint"))
-    ranges = long.select("key", "n", "text", F.posexplode(F.sequence(F.lit(0), (F.col("n") / range_chars).cast("bigint") - 1)).alias("pos", "k"))
-    last = F.col("k") == (F.col("n") / range_chars).cast("bigint") - 1
-    ranges = ranges.select(
-        "key", F.col("k").cast("bigint").alias("k"), F.when(last, F.col("n") - F.col("k") * range_chars).otherwise(F.lit(range_chars)).cast("bigint").alias("stop"), last.alias("last"),
-        F.expr(f"substring(text, cast(k * {range_chars} + 1 as int), cast(if(k = cast(n / {range_chars} as bigint) - 1, n, {range_chars + rule.limit}) as int))").alias("part"),
-    )
+    # Longer texts: one row a range, each with its halo, all cut in one pass over the text.
+    # The last range takes the rest, so it has at least one range's length.
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, no, stops, last, parts = [], [], [], [], []
+        for i, t in enumerate(batch.column(1).to_pylist()):
+            count = len(t) // range_chars
+            for k in range(count):
+                low, high = k * range_chars, len(t) if k == count - 1 else (k + 1) * range_chars
+                at.append(i)
+                no.append(k)
+                stops.append(high - low)
+                last.append(k == count - 1)
+                parts.append(t[low : high + rule.limit])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(no, pa.int64()), pa.array(stops, pa.int64()), pa.array(last, pa.bool_()), pa.array(parts, pa.string())], ["key", "k", "stop", "last", "part"])
+
+    ranges = arrow_map(rows.where(F.length("text") > range_chars), cut, f"key {kind}, k bigint, stop bigint, last boolean, part string", text="text")
 
     def tables(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -187,28 +196,41 @@ def split_texts(df: DataFrame, key: str, text: str, rule: PieceRule = PieceRule(
     return small.unionByName(big)
 
 
-def split_files(spark: SparkSession, paths: list[str], rule: PieceRule = PieceRule(), range_bytes: int = 8 << 20) -> DataFrame:
+def split_files(spark: SparkSession, paths: list[str] | DataFrame, rule: PieceRule = PieceRule(), range_bytes: int = 8 << 20) -> DataFrame:
     """``(path, piece_no, piece_start, piece_end, byte_start, byte_end)`` of UTF-8 files on a shared file system.
 
-    No task reads more than one byte range and its halo.  Positions count characters,
-    which a prefix sum over the ranges' lengths makes absolute.  Empty files have no
-    pieces; bytes that aren't UTF-8 count as one replacement character each.
+    ``paths``: addresses that ``pyarrow.fs`` opens (``hdfs://``, ``s3://``, ``file://`` or
+    plain paths), as a list or as a table with a column ``path``. No task reads more than
+    one byte range and its halo, and the ranges are planned by the tasks too. Positions
+    count characters, which a prefix sum over the ranges' lengths makes absolute. Empty
+    files have no pieces; bytes that aren't UTF-8 count as one replacement character each;
+    a path given twice is read once.
     """
     halo = 4 * rule.limit + 4
     if range_bytes < 4 * halo:
         raise ValueError(f"a range must hold at least {4 * halo} bytes")
-    plan = []
-    for path in dict.fromkeys(paths):
-        size = os.path.getsize(path)
-        count = max(1, size // range_bytes)
-        plan += [(path, k, k * range_bytes, size if k == count - 1 else (k + 1) * range_bytes, size) for k in range(count if size else 0)]
-    ranges = spark.createDataFrame(plan, "path string, k bigint, low bigint, high bigint, size bigint").repartition(max(1, min(len(plan), 10_000)), "path", "k")
+    listed = paths.select("path") if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
+
+    def opened(path: str) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+    def plan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for path in batch.column(0).to_pylist():
+            system, inner = opened(path)
+            size = system.get_file_info(inner).size or 0
+            count = max(1, size // range_bytes)
+            rows += [(path, k, k * range_bytes, size if k == count - 1 else (k + 1) * range_bytes, size) for k in range(count if size else 0)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 5))], ["path", "k", "low", "high", "size"])
+
+    # dealt out by range, so that one file is read by many tasks
+    ranges = cut_lineage(arrow_map(listed.where("path is not null").distinct(), plan, "path string, k bigint, low bigint, high bigint, size bigint").repartition("path", "k"))
 
     def read(path: str, low: int, high: int, size: int) -> tuple[str, int, bool, int]:
         """Text of the range and its halo, characters of the range, whether it is the last, first whole byte."""
-        with open(path, "rb") as f:
-            f.seek(low)
-            data = f.read(min(size, high + halo) - low)
+        system, inner = opened(path)
+        with system.open_input_file(inner) as f:
+            data = f.read_at(min(size, high + halo) - low, low)
         skip = 0
         while low and skip < 3 and skip < len(data) and data[skip] & 0xC0 == 0x80:
             skip += 1
@@ -247,10 +269,10 @@ def split_files(spark: SparkSession, paths: list[str], rule: PieceRule = PieceRu
                 rows.append((path, number + j, before + s, before + e, byte, byte + len(text[s:e].encode())))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 6))], ["path", "piece_no", "piece_start", "piece_end", "byte_start", "byte_end"])
 
-    return arrow_map(entries.repartition(max(1, min(len(plan), 10_000)), "path", "k"), emit, "path string, piece_no bigint, piece_start bigint, piece_end bigint, byte_start bigint, byte_end bigint")
+    return arrow_map(entries.repartition("path", "k"), emit, "path string, piece_no bigint, piece_start bigint, piece_end bigint, byte_start bigint, byte_end bigint")
 
 
-def section_pieces(sections: DataFrame, artifacts: DataFrame, rule: PieceRule = PieceRule(), range_chars: int = 262_144) -> DataFrame:
+def section_pieces(sections: DataFrame, artifacts: DataFrame, rule: PieceRule = PieceRule(), range_chars: int = 4800) -> DataFrame:
     """``(section_key, piece_no, piece_start, piece_end)`` of the sections longer than the limit.
 
     Positions are places in the artifact's ``content``: the section's true start there
