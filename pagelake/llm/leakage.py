@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import spread
+from ..session import cut_lineage, spread
 from .common import WORD, arrow_map, need
 
 #: Markup between words: tags, comments, character references, link targets.
@@ -122,7 +122,10 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n: int = 13, max_item_cha
     narrow = spread(need(docs, doc_id, doc_text))
     spark = docs.sparkSession
     result = None
-    for part in _passes(items, item_id, item_text, max_item_chars):
+    passes = _passes(items, item_id, item_text, max_item_chars)
+    part = next(passes, None)
+    while part is not None:
+        following = next(passes, None)
         held = spark.sparkContext.broadcast(ItemIndex(part, n))  # at most max_item_chars characters
         ids = [i for i, _ in part]
 
@@ -141,7 +144,11 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n: int = 13, max_item_cha
             return pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1]), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())], ["doc_id", "item_id", "n_words", "char_start", "char_end"]) if rows[0] else None
 
         found = arrow_map(narrow, one, schema, text=doc_text)
+        if following is not None or result is not None:  # of several passes each is done before the next, with one automaton held at a time
+            found = cut_lineage(found)
+            held.destroy()
         result = found if result is None else result.unionByName(found)
+        part = following
     return (spark.createDataFrame([], schema) if result is None else result).dropDuplicates(["doc_id", "item_id"])
 
 
