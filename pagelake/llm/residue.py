@@ -147,11 +147,15 @@ _DIGITS = re.compile(r"\d+")
 _CODE_WORD = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
 
 
-def _slots(line: str) -> str:
-    """``line`` with its slots masked: numbers, hexadecimal codes, paths, names of several parts, very long words."""
-    if not any(c in line for c in "0123456789/_-") and len(line) < 400:
-        return line
-    return " ".join("0" if "/" in w or "_" in w or w.count("-") > 1 or len(w) > 40 else _CODE_WORD.sub("0", w) for w in line.split(" "))
+def _masked(word: str) -> str:
+    if "/" in word or "_" in word or word.count("-") > 1 or len(word) > 40:
+        return "0"
+    return _CODE_WORD.sub("0", word)
+
+
+def _slots(words: list[str]) -> str:
+    """The line of ``words`` with its slots masked: numbers, hexadecimal codes, paths, names of several parts, very long words."""
+    return " ".join([w if w.isalpha() and len(w) < 40 else _masked(w) for w in words])
 
 
 _STEMS = frozenset(w[:3] for w in LOREM)
@@ -208,26 +212,33 @@ def inspect(content: str, kind: str | None) -> Found:
             frames.extend(_around(joined, m.start(), m.end()))
             if not m.group()[0].isalnum():
                 names.add(_variable(m.group()))
-    forms, messages, filler_words, running = [], False, 0, 0
-    for line in text.split("\n"):
+    forms, short, filler_words, running, body = [], [], 0, 0, 0
+    for line in text.lower().split("\n"):
         words = line.split()
-        if not words:
-            continue
         n = len(words)
-        low = " ".join(words).lower().lstrip("#*->•·| ").rstrip()
-        forms.append((_slots(low), n))
-        if n <= 20 and CODE not in low and (MESSAGES.search(low) or FILLER.match(low)):
-            messages = True
-        if kind == "json" and _JSON_MESSAGES.search(low):
-            messages = True
+        if n > LINE_WORDS:
+            forms.append(("", n))
+            low = line.lstrip()
+        elif n:
+            low = " ".join(words).lstrip("#*->•·| ")
+            forms.append((_slots(low.split(" ")), n))
+            if n <= 20:
+                short.append(low)
+        else:
+            continue
         if n > 5:
             running += n
+            body += n if n > 12 else 0
             if _is_lorem(low):
                 filler_words += n
-        if low.startswith("lorem ipsum"):
-            stems.update(w[:STEM] for w in WORD.findall(low))
-    if not sign and messages:
-        sign = "message"
+            if low.startswith("lorem ipsum"):
+                stems.update(w[:STEM] for w in WORD.findall(low))
+    # the list is looked up where there is hardly any running text; templates are found at any length
+    if not sign and body < BODY_WORDS:
+        if kind == "json":
+            sign = "message" if any(map(_JSON_MESSAGES.search, text.lower().split("\n"))) else None
+        elif any(CODE not in x and (MESSAGES.search(x) or FILLER.match(x)) for x in short):
+            sign = "message"
     if sign != "slot" and filler_words >= 12 and filler_words * 2 >= running:
         sign = "filler"
     return Found(sign, frames, names - {""}, forms, stems)
@@ -253,11 +264,15 @@ def _is_default_text(content: str, kind: str | None, stems: frozenset[str]) -> b
 _SHAPES = ((1, 0, 2), (0, 1, 2), (2, 0, 1))
 
 
+_FACTORS = tuple((np.uint64(2 * a + 1), np.uint64(2 * b + 1)) for a, b in np.random.default_rng(3).integers(0, 2**62, (3, 2)).tolist())
+
+
 def _frame_keys(h: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(frame, filler) of each three consecutive word hashes."""
+    """(frame, filler) of each three consecutive word hashes; the hashes are evenly spread, so a sum of multiples is too."""
     part = [h[k : len(h) - 2 + k] for k in range(3)]
     filler, a, b = shape
-    return mix64(mix64(part[a] + np.uint64(filler)) + part[b]), part[filler]
+    first, second = _FACTORS[filler]
+    return part[a] * first + part[b] * second, part[filler]
 
 
 def _word_hash(word: str) -> int:
@@ -323,6 +338,26 @@ def _among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
 
 
+def _least_and_most(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with the least and the greatest of its values; the two differ if and only if there are several."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return (keys[at], np.minimum.reduceat(values, at), np.maximum.reduceat(values, at)) if len(keys) else (keys, values, values)
+
+
+_last: list[np.ndarray | None] = [None, None]
+
+
+def _perhaps(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Whether the upper 22 bits of each key occur in ``held``; the table is made once for each broadcast and process."""
+    if _last[0] is not held:
+        table = np.zeros(1 << 22, bool)
+        table[(held >> np.uint64(42)).astype(np.int64)] = True
+        _last[:] = [held, table]
+    return _last[1][(keys >> np.uint64(42)).view(np.int64)]
+
+
 def page_templates(table: DataFrame, min_pages: int, min_sites: int, min_bare: float, broadcast_keys: int) -> DataFrame:
     """``page_id`` of the pages that carry a line of a whole-page template and have no body of their own.
 
@@ -469,40 +504,43 @@ def residue_pages(pages: DataFrame, min_pages: int = 6, min_sites: int = 3, min_
             return None
         if len(cache) > 500_000:
             cache.clear()
-        keys, words, whole = [], [], []
-        for page, fmt, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            got = WORD.findall(content.lower())
-            if len(got) < 3 or fmt == "json":
-                continue
-            try:
-                h = np.array([cache[w] for w in got], np.uint64)
-            except KeyError:
-                for w in got:
-                    if w not in cache:
-                        cache[w] = _word_hash(w) | (w[:STEM] in stems)
-                h = np.array([cache[w] for w in got], np.uint64)
-            bit = h & np.uint64(1)
-            share = int(bit.sum())
-            if share >= 12 and share * 4 >= len(h) and _is_default_text(content, fmt, stems):
-                whole.append(page)
-            h ^= bit
-            for shape in _SHAPES:
-                key, filler = _frame_keys(h, shape)
-                if held is not None:
-                    at = np.flatnonzero(_among(key, held.value))
-                    key, filler = key[at], filler[at]
-                keys.append(key)
-                words.append(filler)
-        if not keys:
+        whole = []
+        ids, formats, texts = (batch.column(i).to_pylist() for i in range(3))
+        # the words of all pages in one array, two stops between them, so that no frame spans two pages
+        use = [i for i, fmt in enumerate(formats) if fmt != "json"]
+        flat, starts = [], []
+        for i in use:
+            starts.append(len(flat))
+            flat += WORD.findall(texts[i].lower())
+            flat += ("\0", "\0")
+        for w in set(flat).difference(cache):
+            cache[w] = _word_hash(w) | (w[:STEM] in stems)
+        if not flat:
             return None
-        pairs = np.unique(np.stack((np.concatenate(keys), np.concatenate(words)), axis=1), axis=0)
-        ids = pa.array([None] * len(pairs) + whole, batch.schema.field(0).type)
+        h = np.array([cache[w] for w in flat], np.uint64)
+        bit = h & np.uint64(1)
+        for i, share, size in zip(use, np.add.reduceat(bit.astype(np.int64), starts).tolist(), np.diff([*starts, len(flat)]).tolist()):
+            if share >= 12 and share * 4 >= size and _is_default_text(texts[i], formats[i], stems):
+                whole.append(ids[i])
+        h ^= bit
+        inside = h != _word_hash("\0")
+        inside = inside[:-2] & inside[1:-1] & inside[2:]
+        keys, words = [], []
+        for shape in _SHAPES if held is None or len(held.value) else ():
+            key, filler = _frame_keys(h, shape)
+            at = np.flatnonzero(inside & _perhaps(key, held.value) if held is not None else inside)
+            if held is not None:
+                at = at[_among(key[at], held.value)]
+            keys.append(key[at])
+            words.append(filler[at].view(np.int64))
+        key, low, high = _least_and_most(np.concatenate(keys), np.concatenate(words)) if keys else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
         none = pa.nulls(len(whole), pa.int64())
-        return pa.RecordBatch.from_arrays([ids, *(pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)), none]) for i in (0, 1))], ["page_id", "key", "word"])
+        pages_ = pa.array([None] * len(key) + whole, batch.schema.field(0).type)
+        return pa.RecordBatch.from_arrays([pages_, *(pa.concat_arrays([pa.array(x), none]) for x in (key.view(np.int64), low, high))], ["page_id", "key", "low", "high"])
 
-    scan = cut_lineage(arrow_map(base.drop("site", "final_url"), fillers, f"page_id {kind}, key bigint, word bigint", text="content"))
+    scan = cut_lineage(arrow_map(base.drop("site", "final_url"), fillers, f"page_id {kind}, key bigint, low bigint, high bigint", text="content"))
     default = scan.where("page_id is not null").select("page_id", F.lit("default").alias("reason"))
-    slots = scan.where("page_id is null").groupBy("key").agg(F.count_distinct("word").alias("n")).where("n >= 2").select("key")
+    slots = scan.where("page_id is null").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
     open_slots = edge.join(slots, "key", "left_semi").select("page_id", F.lit("slot").alias("reason"))
     # A filler whose name variables of other pages have.
     named = seen.where("size(names) > 0").select("page_id", F.explode("names").alias("name"), F.expr("coalesce(sign = 'slot', false)").alias("certain"))
