@@ -17,6 +17,7 @@ Texts of at most one range need no stitching and are emitted at once, without a
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -109,18 +110,47 @@ class PieceRule:
         return out
 
 
-def stitch(tables: list[list[tuple[int, int, int]]]) -> list[tuple[int, int]]:
-    """Entry and number of the first piece of each range, from the tables in order; (-1, ...) after the text's end."""
-    entry, number, out = 0, 1, []
+def stitch(tables: list[list[tuple[int, int, int]]], entry: int = 0, number: int = 1) -> list[tuple[int, int]]:
+    """Entry and number of the first piece of each range, from the tables in order, and of what follows; (-1, ...) after the text's end."""
+    out = [(entry, number)]
     for table in tables:
+        if entry >= 0:
+            _, exit_, count = table[bisect.bisect_right([t[0] for t in table], entry) - 1]
+            entry, number = exit_, number + count
         out.append((entry, number))
-        if entry < 0:
-            continue
-        _, exit_, count = table[bisect.bisect_right([t[0] for t in table], entry) - 1]
-        entry, number = exit_, number + count
     return out
 
 
+def _entries(jumps: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema`` (the first two name a text and a range) with ``entry``, ``number`` and ``before``, of ranges in which pieces start.
+
+    The ranges of a text pass in order, and only its running entry, piece number and
+    number of characters are held, so that a text may have any number of ranges.
+    """
+    key = jumps.columns[:2]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, entry, number, before = None, None, 0, 1, 0
+        for batch in batches:
+            kept, rows = [], []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*key, "chars", "jumps")]
+            for i, (text, k, chars, table) in enumerate(zip(*columns)):
+                if text != now or last is None:
+                    now, last, entry, number, before = text, None, 0, 1, 0
+                if k == last:  # a repeated row
+                    continue
+                last = k
+                if entry >= 0:
+                    kept.append(i)
+                    rows.append((entry, number, before))
+                ((entry, number),) = stitch([[(j["a"], j["b"], j["c"]) for j in table]], entry, number)[1:]
+                before += chars
+            got = batch.select([n for n in batch.schema.names if n not in ("chars", "jumps")]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*got.columns, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], [*got.schema.names, "entry", "number", "before"])
+
+    return jumps.repartition(key[0]).sortWithinPartitions(*key).mapInArrow(run, f"{schema}, entry bigint, number bigint, before bigint")
+
+
 def split_texts(df: DataFrame, key: str, text: str, rule: PieceRule = PieceRule(), range_chars: int = 262_144) -> DataFrame:
     """``(key, piece_no, piece_start, piece_end)`` for each row; positions count characters of ``text``.
 
@@ -169,18 +199,11 @@ def split_texts(df: DataFrame, key: str, text: str, rule: PieceRule = PieceRule(
             table = rule.table(part, stop, len(part) if final else None, k == 0)
             out.append([{"a": a, "b": b, "c": c} for a, b, c in table])
         kinds = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kinds)], ["key", "k", "jumps"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, kinds)], ["key", "k", "chars", "jumps"])
 
-    jumps = arrow_map(ranges, tables, f"key {kind}, k bigint, jumps array<struct<a:bigint,b:bigint,c:bigint>>", text="part")
+    jumps = arrow_map(ranges, tables, f"key {kind}, k bigint, chars bigint, jumps array<struct<a:bigint,b:bigint,c:bigint>>", text="part")
 
-    def join_up(pdf):
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates("k").sort_values("k")
-        got = stitch([[(j["a"], j["b"], j["c"]) for j in js] for js in pdf["jumps"]])
-        return pd.DataFrame({"key": pdf["key"].values, "k": pdf["k"].values, "entry": [e for e, _ in got], "number": [n for _, n in got]})
-
-    entries = jumps.groupBy("key").applyInPandas(join_up, f"key {kind}, k bigint, entry bigint, number bigint").where("entry >= 0")
+    entries = _entries(jumps, f"key {kind}, k bigint")
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, no, start, end = [], [], [], []
@@ -251,13 +274,8 @@ def split_files(spark: SparkSession, paths: list[str] | DataFrame, rule: PieceRu
 
     base = "path string, k bigint, low bigint, high bigint, size bigint"
 
-    def join_up(pdf):
-        pdf = pdf.sort_values("k")
-        got = stitch([[(j["a"], j["b"], j["c"]) for j in js] for js in pdf["jumps"]])
-        pdf = pdf.assign(entry=[e for e, _ in got], number=[n for _, n in got], before=pdf["chars"].cumsum() - pdf["chars"])
-        return pdf[["path", "k", "low", "high", "size", "entry", "number", "before"]]
-
-    entries = arrow_map(ranges, tables, f"{base}, chars bigint, jumps array<struct<a:bigint,b:bigint,c:bigint>>").groupBy("path").applyInPandas(join_up, f"{base}, entry bigint, number bigint, before bigint").where("entry >= 0")
+    jumps = arrow_map(ranges, tables, f"{base}, chars bigint, jumps array<struct<a:bigint,b:bigint,c:bigint>>")
+    entries = _entries(jumps, base)
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []

@@ -52,7 +52,7 @@ def test_ranges_give_what_whole_texts_give(spark):
 
 
 def test_stitching_follows_entries():
-    assert stitch([[(0, 5, 3)], [(0, 1, 2), (4, 9, 7)], [(0, -1, 1)]]) == [(0, 1), (5, 4), (9, 11)]
+    assert stitch([[(0, 5, 3)], [(0, 1, 2), (4, 9, 7)], [(0, -1, 1)]]) == [(0, 1), (5, 4), (9, 11), (-1, 12)]
     assert stitch([[(0, -1, 2)], [(0, -1, 1)]])[1][0] == -1
 
 
