@@ -61,11 +61,11 @@ def _action_errors(a: object, names: set[str], allow_sensitive: bool, allow_subm
         try:
             compile_selector(str(a["selector"]))
         except SelectorError as error:
-            out.append(f"{kind} selector is invalid: {error}")
+            out.append(f"the selector of this {kind} can't be read: {error}")
     if kind == "wait" and not _one_of(a, ("selector", "load_state", "duration_ms")):
-        out.append("wait must specify exactly one of selector, load_state, or duration_ms")
+        out.append("a wait names one thing to wait for: selector, load_state or duration_ms")
     if kind == "select" and not _one_of(a, ("value", "label", "index")):
-        out.append("select must specify exactly one of value, label, or index")
+        out.append("a select names its option in one way: value, label or index")
     if kind == "type" and a.get("sensitive") and not allow_sensitive:
         out.append("types sensitive text, which must be allowed")
     if kind == "submit" and not (a.get("confirm") is True and allow_submit):
@@ -75,10 +75,10 @@ def _action_errors(a: object, names: set[str], allow_sensitive: bool, allow_subm
         if not re.fullmatch(rf"[A-Za-z0-9._-]{{1,{MOST_NAME}}}", name):
             out.append(f"capture name must have 1 to {MOST_NAME} letters, digits, dots, dashes and underscores")
         elif name in names:
-            out.append(f"capture name '{name}' is duplicated")
+            out.append(f"two captures are called '{name}'")
         names.add(name)
         if not (a.get("screenshot") or a.get("html")):
-            out.append("capture must request screenshot or html")
+            out.append("a capture asks for screenshot, html or both")
     return out
 
 

@@ -9,15 +9,50 @@ from .. import url as urls
 from ..html import Comment, Element, Selector, SelectorError, Text, select
 from ..html.select import compile_selector
 
-#: Elements that cover a page, and consent notices; matched without regard to case.
+#: Elements that cover a page, matched without regard to case.
 _OVERLAYS = ",".join(
-    [f'button[{a}*="{w}" i]' for a, w in (("class", "close"), ("class", "dismiss"), ("aria-label", "close"), ("title", "close"))]
-    + ['a[class*="close" i]', 'span[class*="close" i]']
-    + [f'[{a}*="{w}" i]' for w in ("cookie-banner", "cookie-consent") for a in ("class", "id")]
-    + [f'[class*="{w}" i]' for w in ("newsletter", "subscribe", "popup", "modal", "overlay", "dialog")]
-    + ['[role="dialog"]', '[role="alertdialog"]']
+    (
+        'button[class*="close" i]',
+        'button[class*="dismiss" i]',
+        'button[aria-label*="close" i]',
+        'button[title*="close" i]',
+        'a[class*="close" i]',
+        'span[class*="close" i]',
+        '[class*="cookie-banner" i]',
+        '[id*="cookie-banner" i]',
+        '[class*="cookie-consent" i]',
+        '[id*="cookie-consent" i]',
+        '[class*="newsletter" i]',
+        '[class*="subscribe" i]',
+        '[class*="popup" i]',
+        '[class*="modal" i]',
+        '[class*="overlay" i]',
+        '[class*="dialog" i]',
+        '[role="dialog"]',
+        '[role="alertdialog"]',
+    )
+)
+#: Consent notices, matched without regard to case.
+_CONSENT = ",".join(
+    (
+        '[class*="cookie-consent" i]',
+        '[id*="cookie-consent" i]',
+        '[class*="cookie-banner" i]',
+        '[id*="cookie-banner" i]',
+        '[class*="cookie-notice" i]',
+        '[id*="cookie-notice" i]',
+        '[class*="cookie-law" i]',
+        '[id*="cookie-law" i]',
+        '[class*="cookie-popup" i]',
+        '[id*="cookie-popup" i]',
+        '[class*="cookie-overlay" i]',
+        '[id*="cookie-overlay" i]',
+        '[class*="gdpr" i]',
+        '[id*="gdpr" i]',
+        'iframe[title*="cookie" i]',
+        'iframe[src*="cookie" i]',
+    )
 )
-_CONSENT = ",".join([f'[{a}*="{w}" i]' for w in ("cookie-consent", "cookie-banner", "cookie-notice", "cookie-law", "cookie-popup", "cookie-overlay", "gdpr") for a in ("class", "id")] + [f'iframe[{a}*="cookie" i]' for a in ("title", "src")])
 #: Social networks.
 SOCIAL = ("facebook.com", "twitter.com", "x.com", "linkedin.com", "instagram.com", "pinterest.com", "tiktok.com", "snapchat.com", "reddit.com")
 #: Elements that are kept though they hold no words, and inline elements that become plain text.
