@@ -29,7 +29,7 @@ def age_label(seconds: Column) -> Column:
 
 def runs(df: DataFrame, now: Column, run_id: str = "run_id", modified: str = "modified", size: str = "size_bytes", inside: Column | None = None) -> DataFrame:
     """Runs with age, label and whether their files lie inside the store."""
-    age = F.greatest(F.lit(0).cast("bigint"), now.cast("bigint") - F.col(modified).cast("bigint"))
+    age = F.when(F.col(modified).isNotNull(), F.greatest(F.lit(0).cast("bigint"), now.cast("bigint") - F.col(modified).cast("bigint")))
     return df.withColumns({"age_seconds": age, "age": age_label(age), "ownership": F.when(inside if inside is not None else F.lit(True), "internal").otherwise("external")})
 
 
@@ -70,28 +70,29 @@ def prune(df: DataFrame, older_than: int | None = None, keep_last: int | None =
     The newest ``keep_last`` are protected, and alone it deletes all others. ``older_than``
     selects what is strictly older. ``max_bytes`` then selects the oldest unprotected runs
     until what stays fits. Runs of equal age go by id. ``store`` names the column that
-    tells stores apart; a null time or size isn't supported.
+    tells stores apart. A run without a time counts as the oldest, one without a size as empty.
     """
     if older_than is None and keep_last is None and max_bytes is None:
         raise ValueError("pruning needs at least one of older_than, keep_last and max_bytes")
     part = [store] if store else []
     columns = [*dict.fromkeys([*part, run_id, modified, size, age])]
     out = df.select(*columns)
+    weight = F.coalesce(F.col(size), F.lit(0))
     kept = F.lit(False)
     if keep_last is not None:
-        out = running_before(out, part, F.lit(1), modified, 86_400, [run_id], descending=True)
+        out = running_before(out, part, F.lit(1), modified, ties=[run_id], descending=True)
         kept = F.col("__before") < keep_last
     out = out.withColumn("__kept", kept).drop("__before")
     chosen = F.lit(False)
     if older_than is not None:
-        chosen = ~F.col("__kept") & (F.col(age) > older_than)
+        chosen = ~F.col("__kept") & (F.coalesce(F.col(age), F.lit(1 << 62)) > older_than)
     elif max_bytes is None:
         chosen = ~F.col("__kept")
     out = out.withColumn("__chosen", chosen)
     if max_bytes is not None:
-        out = running_before(out, part, F.when(F.col("__kept") | F.col("__chosen"), 0).otherwise(F.col(size)), modified, 86_400, [run_id])
-        stays = F.sum(F.when(F.col("__chosen"), 0).otherwise(F.col(size))).alias("__stays")
-        total = out.groupBy(*part).agg(stays) if part else out.agg(stays)
-        out = out.join(total, part) if part else out.crossJoin(F.broadcast(total))  # one row
+        out = running_before(out, part, F.when(F.col("__kept") | F.col("__chosen"), 0).otherwise(weight), modified, ties=[run_id])
+        stays = F.sum(F.when(F.col("__chosen"), 0).otherwise(weight)).alias("__stays")
+        out = out.withColumn("__store", F.struct(*part, F.lit(0)))  # null stores are equal
+        out = out.join(out.groupBy("__store").agg(stays), "__store")
         out = out.withColumn("__chosen", F.col("__chosen") | ~F.col("__kept") & (F.col("__stays") - F.col("__before") > max_bytes))
     return out.where("__chosen").select(*columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -13,8 +13,8 @@ def url_lines(lines: DataFrame, value: str = "value", order: str | None = None)
     """``(index, url)`` of trimmed lines that are neither blank nor comments, numbered from 0 in the order of ``order``."""
     text = F.trim(F.regexp_replace(F.col(value), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""))
     kept = lines.select(text.alias("url"), (F.col(order) if order else F.monotonically_increasing_id()).alias("__order")).where("url <> '' and not startswith(url, '#')")
-    # a URL list is one ordered file; its numbering is a single ordered run
-    return kept.select((F.row_number().over(Window.orderBy("__order")) - 1).cast("bigint").alias("index"), "url")
+    # an id in the order of the file holds the number of its split above the 33rd bit
+    return running_before(kept, [], F.lit(1), "__order", None if order else 1 << 33, name="index").select(F.col("index").cast("bigint").alias("index"), "url")
 
 
 def unsupported(inputs: DataFrame, url: str = "url") -> DataFrame:
@@ -58,7 +58,8 @@ def fail_fast(items: DataFrame, failed: Column, concurrency: int = 2, index: str
     out = out.withColumn("__chunk", F.when(fetched, F.floor(F.col("__rank") / concurrency)))
     stop = F.min(F.when(F.col("__failed"), F.col("__chunk"))).alias("__stop")
     # one row for each run
-    out = out.join(out.groupBy(*part).agg(stop), part) if part else out.crossJoin(F.broadcast(out.agg(stop)))
+    out = out.withColumn("__run", F.struct(*part, F.lit(0)))  # null runs are equal
+    out = out.join(out.groupBy("__run").agg(stop), "__run")
     skip = fetched & (F.col("__chunk") > F.col("__stop"))
     status = F.when(skip, "skipped").when(F.col("__failed"), "failed").when(fetched, "ok").otherwise(F.col("status"))
     reason = F.when(skip, "fail_fast").otherwise(F.col("reason"))
@@ -77,27 +78,13 @@ def manifest_lines(items: DataFrame, by: str, index: str = "index") -> DataFrame
     return items.select(by, F.col(index).alias("index"), one.alias("item_json"), F.concat(F.lit("- "), "status", F.lit(" `"), "url", F.lit("`")).alias("item_md"))
 
 
-def manifest(items: DataFrame, by: str, index: str = "index", max_items: int = 10_000) -> DataFrame:
-    """``(by, items, manifest_json, manifest_md)``: summary and ordered items of each run as documents.
-
-    A run of more than ``max_items`` items has null documents; ``manifest_parts`` has them in
-    parts and ``manifest_lines`` its lines.
-    """
-    counts = items.groupBy(by).agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "succeeded"), ("failed", "failed"), ("skipped", "skipped"))))
-    small = items.join(counts.where(F.col("n") <= max_items).select(by), by, "left_semi")
-    listed = F.sort_array(F.collect_list(F.struct(F.col(index).alias("index"), F.col("url"), F.col("status"), F.col("reason"))))
-    grouped = counts.join(small.groupBy(by).agg(listed.alias("all")), by, "left")
-    line = F.transform("all", lambda i: F.concat(F.lit("- "), i["status"], F.lit(" `"), i["url"], F.lit("`")))
-    body = F.to_json(F.struct(F.struct(F.col("n").alias("requested"), "succeeded", "failed", "skipped").alias("summary"), F.col("all").alias("items")), {"pretty": "true"})
-    return grouped.select(by, F.col("n").alias("items"), F.when(F.col("all").isNotNull(), body).alias("manifest_json"), F.array_join(line, "\n").alias("manifest_md"))
-
-
 def manifest_parts(items: DataFrame, by: str, index: str = "index", max_items: int = 10_000) -> DataFrame:
     """``(by, part, parts, items, manifest_json, manifest_md)``: the documents of each run, whatever its size.
 
-    A part, numbered from 1, holds up to ``max_items`` items; the texts of a run's parts,
-    joined in order with nothing between them, are the documents that ``manifest`` gives
-    for a smaller run. ``items`` counts those of the whole run.
+    A document has the run's summary and its items in order. A part, numbered from 1, holds
+    up to ``max_items`` items, so a run within that has its documents in one row; the texts
+    of a larger run's parts, joined in order with nothing between them, are its documents.
+    ``items`` counts those of the whole run.
     """
     run = F.struct(F.col(by).alias("by"))  # compares null runs as equal
     item = F.struct(F.col(index).alias("index"), F.col("url"), F.col("status"), F.col("reason"))

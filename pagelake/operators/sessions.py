@@ -6,7 +6,7 @@ Storage: ``(session, origin, kind, name, value)``. Conflicts are rows, not excep
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -80,6 +80,14 @@ def compose_header(sessions: DataFrame) -> DataFrame:
     return head.crossJoin(domains)  # one row each
 
 
+def login_merge_storage(old: DataFrame, fresh: DataFrame, fresh_domains: list[str]) -> DataFrame:
+    """Storage entries after a login: those of origins on the fresh domains are replaced."""
+    test = F.lit(False)
+    for domain in fresh_domains:
+        test = test | U.domain_covers(F.lit(domain), U.origin_host(F.col("origin")))
+    return old.where(~test).unionByName(fresh)
+
+
 def login_merge(old: DataFrame, fresh: DataFrame, fresh_domains: list[str]) -> DataFrame:
     """Cookies after a login: those of the fresh domains are replaced."""
     test = F.lit(False)
@@ -98,18 +106,23 @@ def _clean_domain(domain: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(domain), r"^\.+|\.+$", ""))
 
 
-def replay_scope(requests: DataFrame, cookies: DataFrame, url: str = "url", session: str = "session") -> DataFrame:
+def replay_scope(requests: DataFrame, cookies: DataFrame, url: str = "url", session: str = "session", storage: DataFrame | None = None) -> DataFrame:
     """Requests with ``scope_error``: a target that is no URL, state outside the target's scope, or none that matches.
 
     A request without a session passes. Cookies are counted per session and domain, and
     each distinct pair of session and host looks its few covering domains up, so the
-    requests of a session never meet all of its cookies.
+    requests of a session never meet all of its cookies. Entries of ``storage`` count with
+    the host of their origin, which must be the target's own.
     """
     host = U.host(F.col(url))
-    state = cookies.groupBy(F.col(session).alias("__s"), _clean_domain(F.col("domain")).alias("__d")).agg(F.count("*").alias("__n"))
+    domains = cookies.select(session, "domain")
+    if storage is not None:
+        # a leading mark keeps an origin from covering the hosts below it
+        domains = domains.unionByName(storage.select(session, F.concat(F.lit("="), F.coalesce(U.origin_host(F.col("origin")), F.lit(""))).alias("domain")))
+    state = domains.groupBy(F.col(session).alias("__s"), _clean_domain(F.col("domain")).alias("__d")).agg(F.count("*").alias("__n"))
     totals = state.groupBy("__s").agg(F.sum("__n").alias("__total"))
     pairs = requests.select(F.col(session).alias("__s"), host.alias("__h")).where("__s is not null and __h is not null").distinct()
-    covered = pairs.withColumn("__d", F.explode(_suffixes(F.col("__h")))).join(state, ["__s", "__d"]).groupBy("__s", "__h").agg(F.sum("__n").alias("__ok"))
+    covered = pairs.withColumn("__d", F.explode(F.array_append(_suffixes(F.col("__h")), F.concat(F.lit("="), F.col("__h"))))).join(state, ["__s", "__d"]).groupBy("__s", "__h").agg(F.sum("__n").alias("__ok"))
     found = pairs.join(totals, "__s", "left").join(covered, ["__s", "__h"], "left").select(F.col("__s").alias(session), F.col("__h"), "__total", "__ok")
     out = requests.withColumn("__h", host).join(found, [session, "__h"], "left")
     total, ok = F.coalesce("__total", F.lit(0)), F.coalesce("__ok", F.lit(0))
@@ -117,20 +130,22 @@ def replay_scope(requests: DataFrame, cookies: DataFrame, url: str = "url", sess
     return out.withColumn("scope_error", error).select(*requests.columns, "scope_error")
 
 
-def cookie_header(requests: DataFrame, cookies: DataFrame, url: str = "url", session: str = "session") -> DataFrame:
-    """``cookie_header`` of each request: cookies that scheme, domain and path admit, in the order of domain, path and name.
+def cookie_header(requests: DataFrame, cookies: DataFrame, url: str = "url", session: str = "session", position: str | None = None) -> DataFrame:
+    """``cookie_header`` of each request: cookies that scheme, domain and path admit, null if there are none.
 
+    Cookies come in the order of ``position``, the column that holds their stored place;
+    without it in the order of domain, path and name.
     Requests look up the domains that cover their host; a header holds the cookies of these only.
     """
-    c = cookies.select(F.col(session).alias("__s"), _clean_domain(F.col("domain")).alias("__d"), *(F.col(x).alias(f"__{x}") for x in ("name", "value", "path", "secure")))
+    c = cookies.select(F.col(session).alias("__s"), _clean_domain(F.col("domain")).alias("__d"), *(F.col(x).alias(f"__{x}") for x in ("name", "value", "path", "secure")), (F.col(position) if position else F.lit(0)).alias("__at"))
     asked = requests.select(F.col(session).alias("__s"), F.col(url).alias("__u")).where("__s is not null and __u is not null").distinct()
     path = U.path(F.col("__u"))
     ok = ~F.coalesce(F.col("__secure"), F.lit(False)) | (U.scheme(F.col("__u")) == "https")
     ok = ok & ((path == F.col("__path")) | (path.startswith(F.col("__path")) & (F.col("__path").endswith("/") | path.startswith(F.concat(F.col("__path"), F.lit("/"))))))
     joined = asked.withColumn("__d", F.explode(_suffixes(U.host(F.col("__u"))))).join(c, ["__s", "__d"]).where(ok)
-    one = F.struct("__d", "__path", "__name", F.concat("__name", F.lit("="), "__value").alias("text"))
+    one = F.struct("__at", "__d", "__path", "__name", F.concat("__name", F.lit("="), "__value").alias("text"))
     headers = joined.groupBy("__s", "__u").agg(F.array_sort(F.collect_list(one)).alias("__all")).select(F.col("__s").alias(session), F.col("__u").alias(url), F.array_join(F.transform("__all", lambda x: x["text"]), "; ").alias("cookie_header"))
-    return requests.join(headers, [session, url], "left").select(*requests.columns, F.coalesce("cookie_header", F.lit("")).alias("cookie_header"))
+    return requests.join(headers, [session, url], "left").select(*requests.columns, "cookie_header")
 
 
 def inspect(cookies: DataFrame, show_secrets: bool = False) -> DataFrame:
@@ -138,10 +153,41 @@ def inspect(cookies: DataFrame, show_secrets: bool = False) -> DataFrame:
     return cookies if show_secrets else cookies.withColumn("value", F.lit(REDACTED))
 
 
+STORE = "name string, allowed_domains array<string>, sensitive boolean, cookies array<struct<name:string,value:string,domain:string,path:string,expires:bigint,http_only:boolean,secure:boolean,same_site:string>>, storage array<struct<origin:string,kind:string,name:string,value:string>>"
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """Stored sessions, one JSON record a line: the columns of ``STORE``; broken records and unfit names are left out."""
+    return _fit(spark.read.schema(STORE).json(path))
+
+
+def write_store(sessions_: DataFrame, path: str, mode: str = "append") -> None:
+    """Sessions as JSON lines; names that can't be a file's are refused."""
+    _fit(sessions_.select("name", "allowed_domains", "sensitive", "cookies", "storage")).write.mode(mode).json(path)
+
+
+def without_session(sessions_: DataFrame, name: str) -> DataFrame:
+    """The store without one session; a name that isn't there leaves it as it is."""
+    return sessions_.where(~F.col("name").eqNullSafe(F.lit(name)))
+
+
+def store_cookies(sessions_: DataFrame) -> DataFrame:
+    """Cookie rows of stored sessions with their stored place."""
+    return sessions_.select(F.col("name").alias("session"), F.posexplode("cookies").alias("position", "c")).select("session", "position", "c.*")
+
+
+def store_views(sessions_: DataFrame) -> DataFrame:
+    """``(name, allowed_domains, sensitive, cookies, origins, entries)``: what a list of sessions shows, counts only."""
+    return sessions_.select("name", "allowed_domains", F.coalesce("sensitive", F.lit(False)).alias("sensitive"), F.coalesce(F.size("cookies"), F.lit(0)).alias("cookies"), F.coalesce(F.size(F.array_distinct(F.transform("storage", lambda s: s["origin"]))), F.lit(0)).alias("origins"), F.coalesce(F.size("storage"), F.lit(0)).alias("entries"))
+
+
+def _fit(df: DataFrame, name: str = "name") -> DataFrame:
+    return df.where(F.col(name).isNotNull() & ~F.col(name).rlike(r"[/\\:]") & ~F.col(name).isin("", ".", ".."))
+
+
 def session_names(df: DataFrame, name: str = "name") -> DataFrame:
     """Valid names in order: no separators, not empty, no dots alone."""
-    bad = F.col(name).rlike(r"[/\\:]") | F.col(name).isin("", ".", "..")
-    return df.where(~bad).select(name).distinct().orderBy(name)
+    return _fit(df, name).select(name).distinct().orderBy(name)
 
 
 def candidate_origins(domains: Column, explicit: Column) -> Column:

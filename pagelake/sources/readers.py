@@ -36,14 +36,26 @@ def url_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return url_lines(spark.read.text(paths))
 
 
-def run_sources(runs: DataFrame, contents: DataFrame, root: str, allow_private: bool = False, only_get: bool = False) -> DataFrame:
+def plain_path(path: Column) -> Column:
+    """``path`` without ``.``, ``..`` and doubled slashes, as far as names alone can tell; null if it leads above its root."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    # each ".." takes the last name before it away; one too many leaves a mark
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p != "..", F.array_append(done, p)).when(F.size(done) == 0, F.array(F.lit("/"))).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))))
+    rooted = F.when(path.startswith("/"), "/").otherwise("")
+    return F.when(~F.array_contains(walked, "/"), F.concat(rooted, F.array_join(walked, "/")))
+
+
+def run_sources(runs: DataFrame, contents: DataFrame, root: str, allow_private: bool = False, only_get: bool = False, contained: bool = True) -> DataFrame:
     """Stored runs as sources: successful, content inside the store, sensitive ones only if allowed.
 
     ``runs`` has ``(run_id, ok, command, sensitive, content_path, url, final_url,
-    content_format)``, ``contents`` ``(content_path, content)``. Paths with ``..`` are outside.
+    content_format)``, ``contents`` ``(content_path, content)``. Paths are brought to plain
+    form first; a search may also read content that lies elsewhere (``contained=False``).
     """
-    inside = F.col("content_path").startswith(root.rstrip("/") + "/") & ~F.col("content_path").rlike(r"(^|/)\.\.(/|$)")
-    kept = runs.where(F.col("ok") & inside)
+    home = root.rstrip("/") + "/"
+    kept = runs.where(F.col("ok"))
+    if contained:
+        kept = kept.where(F.coalesce(plain_path(F.col("content_path")).startswith(home), F.lit(False)))
     if not allow_private:
         kept = kept.where(~F.coalesce(F.col("sensitive"), F.lit(False)))
     if only_get:
@@ -57,6 +69,27 @@ def manifest_items(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(schema).json(paths, multiLine=True).select(F.explode("items").alias("i")).where("i.status = 'ok' and i.content_path is not null").select("i.index", "i.url", "i.content_path")
 
 
+def manifest_sources(items: DataFrame, metadata: DataFrame, contents: DataFrame) -> DataFrame:
+    """``(index, url, final_url, content_format, sensitive, content)`` of manifest items with the records of their runs.
+
+    ``items`` as ``manifest_items`` gives them, ``metadata`` has ``(content_path, final_url,
+    content_format, sensitive)``, one row an item. An item whose record names another
+    content path, or none, is not the manifest's own and is left out; ``manifest_errors``
+    has these.
+    """
+    record = metadata.select(plain_path(F.col("content_path")).alias("__path"), "final_url", "content_format", F.coalesce("sensitive", F.lit(False)).alias("sensitive"))
+    text = contents.select(plain_path(F.col("content_path")).alias("__path"), "content")
+    return items.withColumn("__path", plain_path(F.col("content_path"))).join(record, "__path").join(text, "__path").select("index", "url", "final_url", "content_format", "sensitive", "content")
+
+
+def manifest_errors(items: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``(index, url, error)`` of what a manifest promises and doesn't hold; an empty manifest is an error with neither."""
+    known = metadata.select(plain_path(F.col("content_path")).alias("__path")).distinct()
+    missing = items.withColumn("__path", plain_path(F.col("content_path"))).join(known, "__path", "left_anti").select("index", "url", F.lit("the record of this item names no such content").alias("error"))
+    empty = items.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("bigint").alias("index"), F.lit(None).cast("string").alias("url"), F.lit("the manifest has no successful items").alias("error"))
+    return missing.unionByName(empty)
+
+
 class _Redirects(urllib.request.HTTPRedirectHandler):
     max_redirections = 5
 

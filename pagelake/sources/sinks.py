@@ -30,6 +30,24 @@ def links_markdown(links: DataFrame, by: str) -> DataFrame:
     return links.groupBy(by).agg(F.sort_array(F.collect_list(line)).alias("all")).select(by, F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("report"))
 
 
+def links_json(links: DataFrame, by: str) -> DataFrame:
+    """``(by, report)``: a JSON array of a page's links, at most 5,000, sorted by URL."""
+    one = F.struct("url", "text", "source_url", "same_origin", "same_path", "content_type")
+    return links.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("report"))
+
+
+def search_json(matches: DataFrame, by: str) -> DataFrame:
+    """``(by, report)``: a JSON array of the matches, at most 50 a row, best first."""
+    one = F.struct("rank", "section_id", "heading", "score", "snippet", "char_start", "char_end")
+    return matches.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("report"))
+
+
+def records_json(final_url: str = "final_url", values: str = "values_json", error: str = "error") -> Column:
+    """One JSON record: where it comes from, the extracted values as they are, and the error if there is one."""
+    head = F.to_json(F.struct(F.col(final_url).alias("final_url"), F.col(error).alias("error")))
+    return F.concat(F.substring(head, 1, F.length(head) - 1), F.when(F.length(head) > 2, ",").otherwise(""), F.lit('"values":'), F.coalesce(F.col(values), F.lit("null")), F.lit("}"))
+
+
 def search_markdown(matches: DataFrame, by: str) -> DataFrame:
     """``(by, report)``: a heading and a snippet for each match, best first. Matches are at most 50 a row."""
     one = F.struct("rank", F.concat(F.lit("## "), "heading", F.lit(" ("), "section_id", F.lit(")\n\n"), "snippet").alias("text"))
@@ -51,6 +69,11 @@ def write_content(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def content_lines(content: Column) -> Column:
+    """Content as it is written to a text file: with one line feed at its end."""
+    return F.when(content.endswith("\n"), content).otherwise(F.concat(content, F.lit("\n")))
+
+
 def write_lines(df: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
     """One column as lines of text files; used for JSON records and reports."""
     df.select(F.col(column).alias("value")).where("value is not null").write.mode(mode).text(path)

@@ -6,6 +6,7 @@ other schemes are kept opaque.  ``None`` stands for a URL that doesn't parse.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -62,7 +63,7 @@ class Url:
 
 def _host(text: str) -> str | None:
     if text.startswith("["):
-        return text.lower() if re.fullmatch(r"\[[0-9A-Fa-f:.]+\]", text) else None
+        return _ipv6(text)
     from urllib.parse import unquote
 
     text = unquote(text, errors="replace") if "%" in text else text
@@ -80,6 +81,26 @@ def _host(text: str) -> str | None:
     return text
 
 
+def _ipv6(text: str) -> str | None:
+    """An address in brackets in its shortest form; None if it is none."""
+    try:
+        address = ipaddress.IPv6Address(text.removeprefix("[").removesuffix("]"))
+    except ValueError:
+        return None
+    if "%" in text or not text.endswith("]"):
+        return None
+    parts = [f"{int(address) >> 16 * (7 - i) & 0xFFFF:x}" for i in range(8)]
+    # the first of the longest runs of zeros, if it has two or more
+    best, at = 0, 0
+    for i in range(8):
+        n = next((k for k, x in enumerate(parts[i:]) if x != "0"), 8 - i)
+        if n > best:
+            best, at = n, i
+    if best < 2:
+        return f"[{':'.join(parts)}]"
+    return f"[{':'.join(parts[:at])}::{':'.join(parts[at + best:])}]"
+
+
 def _ipv4(text: str) -> str | None:
     parts = text.removesuffix(".").split(".")
     if len(parts) > 4:

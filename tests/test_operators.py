@@ -1,11 +1,14 @@
 """Operators on small tables, with expected rows worked out by hand."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagelake.functions.urls import fnv1a64, fnv1a64_many
 from pagelake.operators import actions, artifacts, batch, cache, crawl, doctor, fields, links, pages, privacy, search, sessions
+from pagelake.operators.running import running_before
 from pagelake.page import Options, Page
 from pagelake.plans import queries
 from pagelake.sources import readers, sinks
@@ -107,10 +110,9 @@ def test_batch(spark, tmp_path):
     done = batch.fail_fast(items, F.col("url") == "https://b.example", 2)
     assert [(r["index"], r.status, r.reason) for r in done.orderBy("index").collect()] == [(0, "ok", None), (1, "failed", None), (2, "skipped", "duplicate"), (3, "skipped", "fail_fast"), (4, "skipped", "fail_fast"), (5, "skipped", "fail_fast")]
     assert rows(batch.summary(done)) == [(6, 1, 1, 4, False)]
-    report = batch.manifest(done.withColumn("run", F.lit(1)), "run").first()
+    report = batch.manifest_parts(done.withColumn("run", F.lit(1)), "run").first()
     assert json.loads(report.manifest_json)["summary"]["requested"] == 6 and report.manifest_md.startswith("- ok `https://a.example`\n- failed `https://b.example`")
-    large = batch.manifest(done.withColumn("run", F.lit(1)), "run", max_items=5).first()
-    assert large["items"] == 6 and large.manifest_json is None and large.manifest_md is None
+    assert (report.part, report.parts, report["items"]) == (1, 1, 6)
     lines = batch.manifest_lines(done.withColumn("run", F.lit(1)), "run").orderBy("index").collect()
     assert "\n".join(r.item_md for r in lines) == report.manifest_md
     with pytest.raises(ValueError):
@@ -119,7 +121,7 @@ def test_batch(spark, tmp_path):
 
 def test_manifest_of_long_runs(spark, tmp_path):
     mixed = spark.createDataFrame([(r, i, f"https://a.example/\"é\"/{i}", "skipped" if i % 3 else "ok", "duplicate" if i % 3 else None) for r, n in ((1, 7), (2, 3), (3, 1), (None, 6)) for i in range(0, 9 * n, 9)], "run bigint, index bigint, url string, status string, reason string")
-    whole = {r.run: r for r in batch.manifest(mixed.fillna({"run": 9}), "run").collect()}
+    whole = {r.run: r for r in batch.manifest_parts(mixed.fillna({"run": 9}), "run", max_items=100).collect()}
     parts = batch.manifest_parts(mixed, "run", max_items=3).orderBy("run", "part").collect()
     assert [(r.run, r.part, r.parts, r["items"]) for r in parts] == [(None, 1, 2, 6), (None, 2, 2, 6), (1, 1, 3, 7), (1, 2, 3, 7), (1, 3, 3, 7), (2, 1, 1, 3), (3, 1, 1, 1)]
     for run in (None, 1, 2, 3):
@@ -200,7 +202,7 @@ def test_sessions(spark):
     req = spark.createDataFrame([("https://sub.example.com/x", "b"), ("https://example.com/", "b"), ("raw:x", "b"), ("https://q.test/", "none"), ("https://q.test/", None)], "url string, session string")
     assert {(r.url, r.session): r.scope_error for r in sessions.replay_scope(req, state).collect()} == {("https://sub.example.com/x", "b"): None, ("https://example.com/", "b"): "session_scope_mismatch", ("raw:x", "b"): "usage_error", ("https://q.test/", "none"): "session_scope_mismatch", ("https://q.test/", None): None}
     ask = spark.createDataFrame([("http://sub.example.com/", "b"), ("https://other.test/p/q", "a"), ("https://other.test/pq", "a")], "url string, session string")
-    assert {r.url: r.cookie_header for r in sessions.cookie_header(ask, state.fillna({"path": "/"})).collect()} == {"http://sub.example.com/": "t=x", "https://other.test/p/q": "o=z", "https://other.test/pq": ""}
+    assert {r.url: r.cookie_header for r in sessions.cookie_header(ask, state.fillna({"path": "/"})).collect()} == {"http://sub.example.com/": "t=x", "https://other.test/p/q": "o=z", "https://other.test/pq": None}
     raw = spark.createDataFrame([('{"name": "n", "value": "v", "domain": "d", "expires": 9.7}',), ('{"name": "n", "value": "v", "domain": "d", "expires": -1}',), ('{"name": "n"}',), ("x",)], "cookie string")
     assert rows(sessions.cookies_from_events(raw), "name", "path", "expires") == [("n", "/", 9), ("n", "/", None)]
     assert json.loads(sessions.cookie_json(state).where("cookie like '%Lax%'").first().cookie)["sameSite"] == "Lax"
@@ -317,3 +319,105 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("select url_join('https://a.example/x', 'y') as j, glob_match('*x*', 'axb') as g, redact_url('https://a.example/?q') as r, fnv1a64('a') as f, normal_url('HTTP://A.example:80') as n, html_text('<p>a<p>b') as t, page_metadata('<title>T')['title'] as m, page_links('https://a.example', '<a href=/q>Q</a>')[0].url as l").first()
     assert tuple(row) == ("https://a.example/y", True, "https://a.example/?%3Credacted%3E", "af63dc4c8601ec8c", "http://a.example/", "a\nb", "T", "https://a.example/q")
+
+
+def test_runs_without_an_id_keep_their_rows(spark):
+    table = spark.createDataFrame([(None, 0, "https://a.example/", "failed"), (None, 1, "https://b.example/", "ok"), (None, 2, "https://c.example/", "ok"), (1, None, "https://d.example/", "ok"), (1, 0, None, "ok")], "run bigint, index bigint, url string, was string")
+    out = batch.fail_fast(batch.dedupe(table, run="run"), F.col("was") == "failed", 1, run="run")
+    assert sorted((r.run or 0, -1 if r["index"] is None else r["index"], r.status) for r in out.collect()) == [(0, 0, "failed"), (0, 1, "skipped"), (0, 2, "skipped"), (1, -1, "ok"), (1, 0, "ok")]
+
+
+@pytest.mark.parametrize(("width", "descending"), [(None, False), (None, True), (7, False), (7, True)])
+def test_running_sums(spark, width, descending):
+    rng = random.Random(5)
+    data = [(rng.choice([None, "a", "b"]), rng.choice([None, *range(30)]), i, rng.randrange(9)) for i in range(300)] + [("c", 5, 1000 + i, 1) for i in range(200)]
+    df = spark.createDataFrame(data, "part string, at int, id int, n int").repartition(5)
+    got = {r.id: r.before for r in running_before(df, ["part"], F.col("n"), "at", width, ["id"], descending, "before").collect()}
+    key = lambda r: ((r[1] is None) == descending, 0 if r[1] is None else -r[1] if descending else r[1], r[2])
+    want, sums = {}, {}
+    for r in sorted(data, key=key):
+        want[r[2]] = sums.get(r[0], 0)
+        sums[r[0]] = want[r[2]] + r[3]
+    assert got == want
+
+
+def test_pruning_of_runs_without_time_or_size(spark):
+    table = spark.createDataFrame([("run-a", None, 5), ("run-b", 100, None), ("run-c", 200, 7), ("run-d", 300, 4)], "run_id string, modified bigint, size_bytes bigint")
+    known = artifacts.runs(table, F.lit(400))
+    assert {r.run_id for r in artifacts.prune(known, keep_last=3).collect()} == {"run-a"}
+    assert {r.run_id for r in artifacts.prune(known, older_than=1000).collect()} == {"run-a"}
+    assert {r.run_id for r in artifacts.prune(known, max_bytes=11).collect()} == {"run-a"}
+
+
+def test_map_follows_the_base(spark):
+    html = '<head><base href="https://b.example/k/"></head><a href="y">1</a><a href="/other">2</a><a href="https://a.example/docs/z">3</a><a href="y#again">4</a>'
+    df = spark.createDataFrame([(1, "https://a.example/docs/x", html), (2, "https://a.example/docs/x", html.replace("https://b.example/k/", "/k/")), (3, "https://a.example/", None)], "page_id bigint, url string, html string")
+    assert rows(links.map_links(df), "page_id", "url", "text") == [(1, "https://b.example/k/y", "1"), (2, "https://a.example/docs/y", "1"), (2, "https://a.example/docs/z", "3")]
+    assert rows(links.map_summary(df), "page_id", "discovered", "emitted", "truncated") == [(1, 4, 1, False), (2, 4, 2, False), (3, 0, 0, False)]
+    assert rows(links.map_summary(df, any_origin=True, any_path=True, max_links=2), "page_id", "discovered", "emitted", "truncated") == [(1, 2, 2, True), (2, 2, 2, True), (3, 0, 0, False)]
+
+
+def test_crawl_over_pages_and_a_hub(spark):
+    home = "https://a.example/"
+    many = "".join(f'<a href="/p{i}">x</a><a href="https://far.example/{i}">y</a>' for i in range(3000))
+    table = [(home, None, f"<script>'<a href=/menu>'</script><main><p>{many}</p></main>"), (home + "p0", home + "moved/", '<main><a href="q">q</a><a href="/p1">1</a></main>'), (home + "p1", None, None), (home + "moved/q", None, "<main><p>end</p></main>")]
+    df = spark.createDataFrame(table, "url string, final_url string, html string")
+    got = crawl.crawl_pages(df, home, 6, 3, 2, final_col="final_url")
+    assert rows(got, "index", "url", "final_url", "depth", "status") == [(0, home, home, 0, "ok"), (1, home + "p0", home + "moved/", 1, "ok"), (2, home + "p1", home + "p1", 1, "failed"), (3, home + "p2", None, 1, "failed"), (4, home + "p3", None, 1, "failed"), (5, home + "p4", None, 1, "failed")]
+    manifest = crawl.crawl_manifest(got, home, 6).first()
+    assert json.loads(manifest.manifest_json)["summary"] == {"fetched": 6, "succeeded": 2, "failed": 4, "limit": 6}
+    assert json.loads(manifest.metadata_json)["ok"] is False and manifest.manifest_md.splitlines()[7] == f"- ok depth=0 `{home}`"
+    # a hub in a link table gives up no more links than the queue can take
+    hub = spark.range(100_000).select(F.lit(home).alias("source_url"), F.col("id").alias("pos"), F.concat(F.lit(home + "p"), "id").alias("url"))
+    known = spark.createDataFrame([(home, None)], "url string, final_url string")
+    assert crawl.crawl(known, hub, home, 100).count() == 100
+    assert len(crawl._links(hub, [home], crawl.Scope(home), 150)[home]) == 150
+
+
+def test_consent(spark):
+    shot = '{"actions": [{"type": "capture", "screenshot": true}]}'
+    df = spark.createDataFrame([(1, "{}", [], True, None), (2, "{}", [], True, 9222), (3, "{}", [], False, 9222), (4, "{}", ["s"], False, None), (5, shot, [], False, None), (6, "broken", None, None, None)], "id int, plan string, sessions array<string>, current_tab boolean, port int")
+    assert {r.id for r in privacy.consent_errors(df).where("consent_error is not null").collect()} == {1, 2, 3, 4, 5}
+    assert {r.id for r in privacy.consent_errors(df, allow_private=True, allow_screenshot=True).where("consent_error is not null").collect()} == {1, 3}
+
+
+def test_session_store(spark, tmp_path):
+    cookie = ("k", "v", "a.example", "/", None, False, True, None)
+    table = spark.createDataFrame([("one", ["a.example"], True, [cookie, (*cookie[:1], "w", *cookie[2:])], [("https://a.example", "local", "x", "1")]), ("../bad", [], False, [], [])], sessions.STORE)
+    sessions.write_store(table, str(tmp_path / "store"))
+    (tmp_path / "store" / "broken.json").write_text("{oops\n")
+    back = sessions.read_store(spark, str(tmp_path / "store"))
+    assert rows(sessions.store_views(back), "name", "cookies", "origins", "entries", "sensitive") == [("one", 2, 1, 1, True)]
+    assert sessions.without_session(back, "one").count() == 0 and sessions.without_session(back, "two").count() == 1
+    asked = spark.createDataFrame([("https://a.example/p", "one"), ("https://b.example/", "one")], "url string, session string")
+    held = sessions.store_cookies(back).withColumn("name", F.concat("name", F.lit(9) - F.col("position")))
+    assert rows(sessions.cookie_header(asked, held, position="position"), "url", "cookie_header") == [("https://a.example/p", "k9=v; k8=w"), ("https://b.example/", None)]
+    storage = spark.createDataFrame([("one", "https://a.example", "local", "x", "1")], "session string, origin string, kind string, name string, value string")
+    scope = {r.url: r.scope_error for r in sessions.replay_scope(asked.unionByName(spark.createDataFrame([("https://sub.a.example/", "one")], asked.schema)), held, storage=storage).collect()}
+    assert scope == {"https://a.example/p": None, "https://b.example/": "session_scope_mismatch", "https://sub.a.example/": "session_scope_mismatch"}
+    assert sessions.login_merge_storage(storage, storage.withColumn("value", F.lit("2")), ["a.example"]).first().value == "2"
+
+
+def test_manifest_sources(spark):
+    items = spark.createDataFrame([(0, "https://a.example/", "/s/run-1/./content.md"), (1, "https://b.example/", "/s/run-2/content.md")], "index bigint, url string, content_path string")
+    metadata = spark.createDataFrame([("/s/x/../run-1/content.md", "https://a.example/final", "markdown", None)], "content_path string, final_url string, content_format string, sensitive boolean")
+    contents = spark.createDataFrame([("/s/run-1/content.md", "# A")], "content_path string, content string")
+    assert rows(readers.manifest_sources(items, metadata, contents)) == [(0, "https://a.example/", "https://a.example/final", "markdown", False, "# A")]
+    assert rows(readers.manifest_errors(items, metadata), "index") == [(1,)] and readers.manifest_errors(items.limit(0), metadata).count() == 1
+    runs = spark.createDataFrame([("/s/run-1/content.md", True), ("/s/run-1/../../etc/x", True), ("/t/content.md", True)], "content_path string, ok boolean").selectExpr("*", "'get' command", "false sensitive")
+    texts = spark.createDataFrame([(p, "t") for p in ("/s/run-1/content.md", "/s/run-1/../../etc/x", "/t/content.md")], "content_path string, content string")
+    assert readers.run_sources(runs, texts, "/s").count() == 1 and readers.run_sources(runs, texts, "/s", contained=False).count() == 3
+
+
+def test_report_forms(spark):
+    found = spark.createDataFrame([(1, "https://b.example/", "B", "https://a.example/", False, False, None), (1, "https://a.example/x", "", "https://a.example/", True, True, "text/html")], "page_id bigint, url string, text string, source_url string, same_origin boolean, same_path boolean, content_type string")
+    assert [x["url"] for x in json.loads(sinks.links_json(found, "page_id").first().report)] == ["https://a.example/x", "https://b.example/"]
+    record = spark.createDataFrame([("https://a.example/", '{"h": [1]}', None), (None, None, "no content")], "final_url string, values_json string, error string").withColumn("r", sinks.records_json())
+    assert [json.loads(r.r) for r in record.collect()] == [{"final_url": "https://a.example/", "values": {"h": [1]}}, {"error": "no content", "values": None}]
+    assert [r[0] for r in spark.createDataFrame([("a",), ("b\n",)], "c string").select(sinks.content_lines(F.col("c"))).collect()] == ["a\n", "b\n"]
+
+
+def test_many_hashes_at_once():
+    texts = ["", "a", "foobar", "é" * 50, "x" * 1000, "a"]
+    assert fnv1a64_many(texts).tolist() == [int(fnv1a64(t), 16) for t in texts] and fnv1a64("foobar") == "85944171f73967e8"
+    assert len(fnv1a64_many([])) == 0
