@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import url as urls
 from ..functions.html import absolute_base
+from ..session import spread
 from ..html import Element, SelectorError, inner_html, parse_document, select
 from ..html.select import compile_selector
 
@@ -278,7 +279,7 @@ def extract_fields(df: DataFrame, fields: list[Field], key: str = "page_id", url
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.string()), pa.array(errors, pa.string())], [key, "url", "final_url", "sensitive", "values_json", "error"])
 
-    out = inner.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, url string, final_url string, sensitive boolean, values_json string, error string")
+    out = spread(inner).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, url string, final_url string, sensitive boolean, values_json string, error string")
     provenance = F.array(*(F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), F.col("final_url").alias("source_url"), F.lit(f.selector).cast("string").alias("selector"), F.lit(f.path).cast("string").alias("path")) for f in fields))
     return out.select(key, "url", "final_url", "sensitive", F.col("error").isNull().alias("ok"), F.try_parse_json("values_json").alias("values"), "values_json", "error", provenance.alias("provenance"))
 

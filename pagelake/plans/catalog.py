@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import more, rendered
 from . import queries as _queries
 from .oracles import ORACLES
 
@@ -18,8 +19,8 @@ NAMES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(_queries, name) for name in NAMES}
+    return {name: getattr(_queries, name) for name in NAMES} | rendered.QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | rendered.ORACLES

@@ -120,16 +120,40 @@ def _extract(field_list, kinds, rows=True):
     return query
 
 
+#: Every format but JSON, whose records have no text structure.
+_TEXTS = ("markdown", "text", "html")
+
+
+def _listed(name: str, kind: str, out: DataFrame) -> DataFrame:
+    """A row for each entry of a field that holds a list of records."""
+    listed = F.from_json(F.get_json_object("values_json", f"$.{name}"), f"array<struct<{kind}>>")
+    return out.select("page_id", F.posexplode(listed).alias("pos", "x")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "x.*")
+
+
 def extract_headings(spark, folder):
-    out = _extract(fields.shortcut("headings"), ("markdown",), rows=False)(spark, folder)
-    listed = F.from_json(F.get_json_object("values_json", "$.headings"), "array<struct<level:bigint,text:string>>")
-    return out.select("page_id", F.posexplode(listed).alias("pos", "h")).select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("h.level").alias("level"), F.col("h.text").alias("text"))
+    return _listed("headings", "level:bigint,text:string", _extract(fields.shortcut("headings"), _TEXTS, rows=False)(spark, folder))
+
+
+def extract_links(spark, folder):
+    return _listed("links", "text:string,url:string", _extract(fields.shortcut("links"), _TEXTS, rows=False)(spark, folder))
+
+
+def extract_tables(spark, folder):
+    """A row for each cell."""
+    found = _listed("tables", "headers:array<string>,rows:array<map<string,string>>", _extract(fields.shortcut("tables"), _TEXTS, rows=False)(spark, folder))
+    rows = found.select("page_id", "pos", F.posexplode("rows").alias("row", "cells"))
+    return rows.select("page_id", "pos", F.col("row").cast("bigint").alias("row"), F.explode("cells").alias("name", "value"))
+
+
+def extract_definitions(spark, folder):
+    return _listed("definitions", "term:string,definition:string", _extract(fields.shortcut("definitions"), _TEXTS, rows=False)(spark, folder))
 
 
-extract_links = _extract(fields.shortcut("links"), ("markdown", "html"))
-extract_tables = _extract(fields.shortcut("tables"), ("markdown", "html"))
-extract_definitions = _extract(fields.shortcut("definitions"), ("markdown",))
-extract_selector = _extract([fields.Field("title", "selector", "h1"), fields.Field("targets", "selector", "a", "attr:href", True)], ("html",))
+def extract_selector(spark, folder):
+    wanted = [fields.Field("title", "selector", "h1"), fields.Field("targets", "selector", "a", "attr:href", True)]
+    out = _extract(wanted, ("html",), rows=False)(spark, folder)
+    targets = F.from_json(F.get_json_object("values_json", "$.targets"), "array<string>")
+    return out.select("page_id", F.get_json_object("values_json", "$.title").alias("title"), F.array_join(targets, " ").alias("targets"))
 
 
 def extract_metadata(spark, folder):
@@ -181,7 +205,7 @@ def crawl_replay(spark, folder):
     found = _read(spark, folder, "source_pages").select(U.without_fragment(F.col("url")).alias("url"), "final_url")
     first = start[0] if start else "https://nowhere.invalid/"
     scope = crawl.Scope(first, same_origin=False)
-    return crawl.crawl(found, table.select(U.without_fragment(F.col("source_url")).alias("source_url"), "pos", "url"), first, 20, 3, 2, scope)
+    return crawl.crawl(found, table.select(U.without_fragment(F.col("source_url")).alias("source_url"), "pos", "url"), first, 100, 5, 2, scope)
 
 
 def _requests(spark, folder):

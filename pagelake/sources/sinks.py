@@ -11,7 +11,7 @@ def run_id(*parts: Column, suffix: str = "") -> Column:
     return F.concat(F.lit("run-"), F.substring(F.sha2(F.concat_ws("\1", *parts), 256), 1, 16), F.lit(suffix))
 
 
-def metadata_json(df: DataFrame, columns: list[str]) -> Column:
+def metadata_json(columns: list[str]) -> Column:
     """One JSON record of the columns with sorted keys; nulls are written."""
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
@@ -54,12 +54,12 @@ def search_markdown(matches: DataFrame, by: str) -> DataFrame:
     return matches.groupBy(by).agg(F.sort_array(F.collect_list(one)).alias("all")).select(by, F.array_join(F.transform("all", lambda x: x["text"]), "\n\n").alias("report"))
 
 
-def records_markdown(records: DataFrame, title: str = "final_url", values: str = "values_json") -> Column:
+def records_markdown(title: str = "final_url", values: str = "values_json") -> Column:
     """A heading and a fenced JSON block for each record."""
     return F.concat(F.lit("## "), F.col(title), F.lit("\n\n```json\n"), F.col(values), F.lit("\n```"))
 
 
-def debug_trace(df: DataFrame, columns: list[str]) -> Column:
+def debug_trace(columns: list[str]) -> Column:
     """Control-plane facts of a run as JSON, with the version of the record."""
     return F.to_json(F.struct(F.lit("pagelake.debug_trace.v1").alias("schema_version"), *sorted(columns)))
 

@@ -304,13 +304,13 @@ def test_sources_and_sinks(spark, tmp_path):
     assert got["/ok"].html == "pagelake/0.1" and got["/moved"].final_url == base + "/ok" and got["/missing"].status == 404 and got["/missing"].html
     assert got["/loop"].error and got["http://127.0.0.1:1/"].error and len(got) == 5
     df = spark.createDataFrame([(1, "b", None)], "z int, a string, m string")
-    assert df.select(sinks.metadata_json(df, ["z", "a", "m"])).first()[0] == '{"a":"b","m":null,"z":1}'
+    assert df.select(sinks.metadata_json(["z", "a", "m"])).first()[0] == '{"a":"b","m":null,"z":1}'
     assert df.select(sinks.run_id(F.col("a"), suffix="-map")).first()[0].startswith("run-") and json.loads(df.select(sinks.error_record(F.lit("c"), F.lit("m"))).first()[0])["ok"] is False
     sinks.write_lines(df, "a", str(tmp_path / "lines"))
     assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["b"]
     sinks.write_content(df, str(tmp_path / "content"))
     assert spark.read.parquet(str(tmp_path / "content")).count() == 1
-    assert json.loads(df.select(sinks.debug_trace(df, ["a"])).first()[0])["a"] == "b" and "```json" in df.select(sinks.records_markdown(df, "a", "a")).first()[0]
+    assert json.loads(df.select(sinks.debug_trace(["a"])).first()[0])["a"] == "b" and "```json" in df.select(sinks.records_markdown("a", "a")).first()[0]
 
 
 def test_sql_functions(spark):
