@@ -140,17 +140,21 @@ def _text_bits(lines: list[str], kind: str | None) -> list[int]:
 
 _LINKED = re.compile(r"!?\[[^\[\]]+\]\([^()\s]*\)|<a\b[^<>]*>[^<>]*</a\s*>", re.I)
 _MARKS = re.compile(r"(?:^|(?<=\s))[|·•›»«‹→←](?=\s|$)")
+_MARK = re.compile("[|·•›»«‹→←]")
+_HINT = re.compile(r"[|·•›»«‹→←：]|\]\(|<a|:\s.*,")
 _LISTED = re.compile(r"^(\S+(?:\s\S+){0,2})[:：]\s(\S.*)$")
 
 
 def shape(line: str, label: str, is_html: bool) -> str:
     """``line`` with the names in it masked; '' if it isn't made of links or of short parts between marks."""
+    if not _HINT.search(line):
+        return ""
     linked = "](" in line or is_html and "<a" in line
     if not linked and (m := _LISTED.match(line if not is_html else " ".join(_TAG.sub(" ", line).split()))):
         parts = re.split("[,、，]", m.group(2))
         if len(parts) > 1 and line.rstrip()[-1:] not in ".!?" and all(len(p.split()) <= 4 for p in parts):
             return f"{m.group(1).lower()}: _, _"
-    if not linked and not any(c in line for c in "|·•›»«‹→←"):
+    if not linked and not _MARK.search(line):
         return ""
     v = _LINKED.sub("\1", line)
     if is_html and "<" in v:
@@ -186,6 +190,8 @@ def line_table(content: str, kind: str | None, label: str, lists: bool = True) -
     is_html = kind == "html"
     bits = _html_bits(lines) if is_html else _text_bits(lines, kind)
     wrap = kind in ("text", None)
+    # the list of messages is for pages without running text
+    lists = lists and sum(n for n in (line.count(" ") + 1 for line in lines) if n > 12) < 150
     numbers, keys, opens, joined, out, forms, shapes = [], [], [], [], [], [], []
     hashed = xxhash.xxh64_intdigest
     for i, line in enumerate(lines):
@@ -275,8 +281,9 @@ class _Page:
     def __init__(self, row: tuple, keys: np.ndarray, bits: np.ndarray, shapes: np.ndarray, own: bool = True):
         self.row, self.own = row, own
         self.shapes, self.shaped = {}, set()
-        for i in np.flatnonzero(shapes).tolist():
-            self.shapes.setdefault(int(shapes[i]), i)
+        for i, k in enumerate(shapes.tolist()):
+            if k:
+                self.shapes.setdefault(k, i)
         self.place = {}
         for i, k in enumerate(keys.tolist()):
             if not bits[i] & _BODY:
