@@ -1,8 +1,9 @@
 """Languages of documents and paragraphs (problem 8): a linear-chain conditional random field.
 
 Words are labelled by a CRF whose emissions sum hashed features (the word itself, its
-affixes, its character trigrams, its script and length) and whose transitions between
-languages are learned with them.  Forward-backward gives each word a distribution over
+affixes, its character trigrams, its script and length, and the language in whose lexicon
+it stands) and whose transitions between languages are learned with them.  The lexicons
+are the words that paragraphs of one language nearly alone use, taken from the cleaned sample.  Forward-backward gives each word a distribution over
 the languages; a paragraph takes the language with the largest share of its letters,
 a document that of most letters outside code.
 
@@ -74,11 +75,13 @@ def _script(c: str) -> str:
     return "l" if o < 0x250 else "c" if 0x400 <= o < 0x530 else "k" if 0x3040 <= o < 0x3100 else "h" if 0x3400 <= o < 0xA000 else "x"
 
 
-def features(word: str) -> list[int]:
+def features(word: str, lexicon: dict[str, int]) -> list[int]:
     w = word.lower()
     p = f"^{w}$"
     names = ["w" + w, "s" + _script(w[0]), f"n{min(len(w), 12)}", "A" + str(word[0] != w[0])]
     names += ["p" + w[:k] for k in (1, 2, 3) if len(w) >= k] + ["q" + w[-k:] for k in (1, 2, 3, 4) if len(w) >= k]
+    if w in lexicon:
+        names.append(f"L{lexicon[w]}")
     names += ["t" + p[i : i + 3] for i in range(min(len(p) - 2, 24))]
     return [xxhash.xxh32_intdigest(n) % BUCKETS for n in names]
 
@@ -86,7 +89,8 @@ def features(word: str) -> list[int]:
 class Vocabulary:
     """Rows of word features, for summing weights per word."""
 
-    def __init__(self):
+    def __init__(self, lexicon: dict[str, int]):
+        self.lexicon = lexicon
         self.rows: dict[str, int] = {}
         self.flat: list[int] = []
         self.starts: list[int] = []
@@ -100,7 +104,7 @@ class Vocabulary:
                 if w not in rows:
                     rows[w] = len(rows)
                     self.starts.append(len(self.flat))
-                    self.flat += features(w)
+                    self.flat += features(w, self.lexicon)
             return [rows[w] for w in words]
 
     def emissions(self, weights: np.ndarray) -> np.ndarray:
@@ -173,12 +177,12 @@ def _padded(chains: list[np.ndarray], most: int = 60_000) -> list[tuple[list[int
 class Tagger:
     """Weights of the field; ``label`` gives letters per language for a list of paragraphs."""
 
-    def __init__(self, weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
-        self.weights, self.trans, self.start = weights, trans, start
+    def __init__(self, weights: np.ndarray, trans: np.ndarray, start: np.ndarray, lexicon: dict[str, int] | None = None):
+        self.weights, self.trans, self.start, self.lexicon = weights, trans, start, lexicon or {}
         self._vocabulary, self._table = None, None
 
     def __getstate__(self):
-        return (self.weights, self.trans, self.start)
+        return (self.weights, self.trans, self.start, self.lexicon)
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -186,7 +190,7 @@ class Tagger:
     def label(self, texts: list[str], most_words: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
         """(letters per language (n, L), letters (n,)) of the texts; long texts are cut into overlapping chains."""
         if self._vocabulary is None or len(self._vocabulary.rows) > most_words:
-            self._vocabulary, self._table = Vocabulary(), np.zeros((0, len(LANGUAGES)), np.float32)
+            self._vocabulary, self._table = Vocabulary(self.lexicon), np.zeros((0, len(LANGUAGES)), np.float32)
         vocabulary = self._vocabulary
         chains, owner, skip, weight = [], [], [], []
         for i, text in enumerate(texts):
@@ -240,6 +244,20 @@ def _clean(texts: list[list[str]], labels: list[int], rounds: int = 4) -> tuple[
     return parts, lab
 
 
+def lexicon_of(parts: list[list[str]], lab: np.ndarray, least: int = 3, share: float = 0.8) -> dict[str, int]:
+    """The words of at least ``least`` paragraphs, ``share`` of them in one language, with that language's number."""
+    seen: dict[str, Counter] = {}
+    for words, y in zip(parts, lab.tolist()):
+        for w in {w.lower() for w in words}:
+            seen.setdefault(w, Counter())[y] += 1
+    out = {}
+    for w, counts in seen.items():
+        (y, n), total = counts.most_common(1)[0], counts.total()
+        if total >= least and n >= share * total:
+            out[w] = y
+    return out
+
+
 def train(texts: list[str], labels: list[str], rounds: int = 15, rate: float = 0.4, decay: float = 1e-5, seed: int = 5) -> Tagger:
     """Fits the field by gradient ascent on the likelihood of cleaned chains."""
     k = len(LANGUAGES)
@@ -248,9 +266,10 @@ def train(texts: list[str], labels: list[str], rounds: int = 15, rate: float = 0
     if not texts:
         return Tagger(weights, trans.astype(np.float32), start.astype(np.float32))
     parts, lab = _clean([[p for _, p in paragraphs(t)] for t in texts], [LANGUAGES.index(x) for x in labels])
+    lexicon = lexicon_of(parts, lab)
     lab = np.repeat(lab, [-(-len(p) // _CHAIN) for p in parts])
     parts = [p[i : i + _CHAIN] for p in parts for i in range(0, len(p), _CHAIN)]
-    vocabulary = Vocabulary()
+    vocabulary = Vocabulary(lexicon)
     chains = [np.array(vocabulary.ids(p), np.int64) for p in parts]
     gold = [np.full(len(c), y) for c, y in zip(chains, lab)]
     for i, j in rng.integers(0, len(parts), (len(parts) // 5, 2)):
@@ -290,7 +309,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 15, rate: float = 0
             step = step - pull * value
             kept += step * step
             value += (rate * step / np.sqrt(kept + 1e-8)).astype(value.dtype)
-    return Tagger(weights, trans.astype(np.float32), start.astype(np.float32))
+    return Tagger(weights, trans.astype(np.float32), start.astype(np.float32), lexicon)
 
 
 def training_sample(docs: DataFrame, per_label: int = 150, most_chars: int = 6000) -> tuple[list[str], list[str]]:

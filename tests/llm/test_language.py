@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from pagelake.llm.language import LANGUAGES, Tagger, forward_backward, label_of, language_segments, mislabelled, paragraphs, tokens, train, training_sample
+from pagelake.llm.language import LANGUAGES, Tagger, features, forward_backward, label_of, language_segments, lexicon_of, mislabelled, paragraphs, tokens, train, training_sample
 
 WORDS = {
     "en": "the harbour opens early and this ferry leaves with many people who never wait for their tickets".split(),
@@ -110,3 +110,10 @@ def test_training_takes_copies_once_and_long_paragraphs_whole(spark):
     score, letters = tagger.label([" ".join(late[lang]) for lang in late])
     share = [score[i][LANGUAGES.index(lang)] / letters[i] for i, lang in enumerate(late)]
     assert min(share) > 0.9
+
+
+def test_lexicons():
+    parts = [["Der", "Hafen"], ["der", "hafen"], ["der", "radio"], ["the", "radio"], ["the", "Hafen"], ["the", "radio"]]
+    assert lexicon_of(parts, np.array([1, 1, 1, 0, 0, 0])) == {"der": 1, "the": 0}
+    assert lexicon_of([], np.array([], int)) == {}
+    assert set(features("der", {"der": 1})) > set(features("der", {})) and features("x", {"der": 1}) == features("x", {})
