@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,27 +47,32 @@ def sections(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ()
     return df.select(*keep, F.inline(section_array(F.col(content))))
 
 
-def _structured(term: str) -> Column:
-    def test(line: Column) -> Column:
-        bare = F.regexp_replace(line, r"^\p{IsWhite_Space}+", "")
-        return (bare.startswith("- ") | bare.startswith("* ") | bare.contains("|") | bare.contains("[")) & F.lower(bare).contains(term)
+def _prepared(df: DataFrame) -> DataFrame:
+    """Sections with their lower-case forms, and the structured lines (items, table rows, links) without their indent."""
+    low = F.lower("text")
+    lines = F.split(F.regexp_replace(low, r"(^|\n)[\p{IsWhite_Space}&&[^\n]]+", "$1"), "\n")
+    structured = F.filter(lines, lambda x: x.startswith("- ") | x.startswith("* ") | x.contains("|") | x.contains("["))
+    return df.withColumns({"__low": low, "__heading": F.lower("heading"), "__lines": structured})
 
-    return F.size(F.filter(F.split(F.col("text"), "\n"), test))
+
+def _containing(term: str) -> Callable[[Column], Column]:
+    return lambda line: line.contains(term)
 
 
 def score(query: str) -> Column:
-    """Relevance of the section in columns ``heading`` and ``text``."""
-    low, heading, text = query.lower(), F.lower("heading"), F.lower("text")
+    """Relevance of a section as ``_prepared`` gives it."""
+    low, heading, text = query.lower(), F.col("__heading"), F.col("__low")
     total = F.when(heading.contains(low), 120).otherwise(0) + F.when(text.contains(low), 60).otherwise(0)
     for term in query_terms(query):
         hits = ((F.char_length(text) - F.char_length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("bigint")
-        total = total + F.when(heading.contains(term), 30).otherwise(0) + F.least(hits, F.lit(8)) * 6 + F.least(_structured(term), F.lit(4)) * 4
+        lines = F.size(F.filter("__lines", _containing(term)))
+        total = total + F.when(heading.contains(term), 30).otherwise(0) + F.least(hits, F.lit(8)) * 6 + F.least(lines, F.lit(4)) * 4
     return total.cast("bigint")
 
 
 def snippet(query: str, context_chars: int) -> Column:
     """The text around the first match, with dots where it goes on."""
-    text = F.lower("text")
+    text = F.col("__low")
     places = [F.nullif(F.instr(text, t), F.lit(0)) for t in [query.lower(), *query_terms(query)]]
     at = F.coalesce(F.array_min(F.array(*places)) - 1, F.lit(0))
     half = context_chars // 2
@@ -84,7 +90,7 @@ def search(df: DataFrame, query: str, max_results: int = 8, context_chars: int =
     check_query(query, max_results, context_chars)
     if sensitive and not allow_private:
         df = df.where(~F.coalesce(F.col(sensitive), F.lit(False)))
-    scored = sections(df, content, (key,)).withColumn("score", score(query)).where("score > 0")
+    scored = _prepared(sections(df, content, (key,))).withColumn("score", score(query)).where("score > 0").drop("__lines", "__heading")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "char_start"))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= max_results)
     return best.select(key, F.col("rank").cast("bigint").alias("rank"), "section_id", "heading", "score", snippet(query, context_chars).alias("snippet"), "char_start", "char_end")
