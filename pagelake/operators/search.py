@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 _BEFORE_HEADING = r"(?<=\n)(?=[\p{IsWhite_Space}&&[^\n]]*#{1,6} )"
 _HEADING = r"^[\p{IsWhite_Space}&&[^\n]]*#{1,6} "
 
@@ -44,7 +46,7 @@ def section_array(content: Column) -> Column:
 
 def sections(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a section, beside the kept columns; null and empty contents have none."""
-    return df.select(*keep, F.inline(section_array(F.col(content))))
+    return spread(df.select(*keep, content)).select(*keep, F.inline(section_array(F.col(content))))
 
 
 def _prepared(df: DataFrame) -> DataFrame:

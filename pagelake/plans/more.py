@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import urls as U
 from ..operators import actions, artifacts, batch, browser, cache, crawl, fields, links, privacy, sessions
+from ..page import Options
+from ..session import ensure_checkpoint_dir
 from ..sources import readers, sinks
+from ..streaming import pages as stream
 from .queries import _batch, _cookies, _extract, _link_table, _read, _requests, _runs
 
 
@@ -252,8 +258,39 @@ def manifest_items(spark, folder):
     return good.unionByName(readers.manifest_errors(items, metadata).select("index", F.lit(None).cast("string").alias("content"), F.lit("missing").alias("error")))
 
 
+def _streamed(df: DataFrame, mode: str = "append") -> DataFrame:
+    """The rows that a stream gives for all files at hand, written to the shared folder batch by batch and read again."""
+    spark = df.sparkSession
+    place = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4()}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{place}/rows/b{number:09d}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(df.schema.add("batch", LongType())).parquet(f"{place}/rows/*")
+
+
+def stream_extract(spark, folder):
+    """Extraction of the html pages as a stream."""
+    pages_ = stream.read_pages(spark, f"{folder}/source_page[s].parquet").where("content_format = 'html'")
+    return _streamed(stream.extract_stream(pages_, Options(format="text"), keep=("page_id",))).select("page_id", "ok", "source_bytes")
+
+
+def stream_dedupe(spark, folder):
+    pages_ = stream.read_pages(spark, f"{folder}/source_page[s].parquet").where("arrived_at is not null").select("url", F.col("arrived_at").cast("timestamp").alias("arrived_at"))
+    return _streamed(stream.latest_urls(pages_)).select("url")
+
+
+def stream_windows(spark, folder):
+    """Pages by the day of their arrival; of a window's updates the last counts."""
+    pages_ = stream.read_pages(spark, f"{folder}/source_page[s].parquet").select(F.col("arrived_at").cast("timestamp").alias("arrived_at"))
+    rows = _streamed(stream.counts(pages_, window="1 day", delay="60 days"), "update")
+    return rows.groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max_by("pages", "batch").alias("pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     storage_compose, storage_conflicts, storage_filter, login_merge, login_merge_storage, cookie_events, cookie_records, cookie_dedupe, candidate_origins, login_domains, import_domains, import_cookies,
     browser_events, browser_hazards, browser_targets, screenshot_warnings, action_rows, plan_dry_run, plan_redaction, consent_checks, safe_errors, secrets, artifacts_delete, cache_store, extract_provenance,
-    metadata_records, error_records, debug_traces, run_ids, content_files, links_report, links_report_json, records_report, batch_unsupported, batch_manifest_lines, url_list, glob_matches, crawl_scope, crawl_manifest, stored_runs, manifest_items,
+    metadata_records, error_records, debug_traces, run_ids, content_files, links_report, links_report_json, records_report, batch_unsupported, batch_manifest_lines, url_list, glob_matches, crawl_scope, crawl_manifest, stored_runs, manifest_items, stream_extract, stream_dedupe, stream_windows,
 )}

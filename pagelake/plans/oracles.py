@@ -300,4 +300,7 @@ WITH i AS (SELECT item_index, min(url) AS url, min(depth) AS depth, min(status)
 SELECT '# Crawl' || chr(10) || chr(10) || 'Start: https://docs.bobabe.invalid/' || chr(10) || 'Fetched: ' || count(*) || chr(10) || 'Succeeded: ' || count(*) FILTER (WHERE status = 'ok') || chr(10) || 'Failed: ' || count(*) FILTER (WHERE status = 'failed') || chr(10) || chr(10) || coalesce(string_agg('- ' || status || ' depth=' || depth || ' `' || url || '`' || chr(10), '' ORDER BY item_index), '') AS manifest_md FROM i""",
     "stored_runs": "SELECT artifact_id, CAST(length(content) AS BIGINT) AS chars FROM source_artifacts WHERE content IS NOT NULL AND artifact_id % 5 <> 0 AND artifact_id % 4 <> 0 AND NOT coalesce(sensitive, false)",
     "manifest_items": f"SELECT batch_id * 1000000 + item_index AS index, CASE WHEN (batch_id * 1000000 + item_index) % 3 <> 0 THEN CAST(length(url) AS VARCHAR) END AS content, CASE WHEN (batch_id * 1000000 + item_index) % 3 = 0 THEN 'missing' END AS error FROM ({_BATCH}) WHERE url IS NOT NULL AND item_index IS NOT NULL",
+    "stream_extract": "SELECT page_id, content IS NOT NULL AS ok, CAST(strlen(content) AS BIGINT) AS source_bytes FROM source_pages WHERE content_format = 'html'",
+    "stream_dedupe": "SELECT DISTINCT url FROM source_pages WHERE arrived_at IS NOT NULL",
+    "stream_windows": "SELECT date_trunc('day', arrived_at) AS start, count(*) AS pages FROM source_pages WHERE arrived_at IS NOT NULL GROUP BY 1",
 }

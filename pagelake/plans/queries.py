@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.html import needs_render as needs_render_of
 from ..functions.html import page_metadata as page_metadata_of
 from ..operators import actions, artifacts, batch, cache, crawl, fields, links, pages, privacy, search, sessions
+from ..operators.running import running_before
 from ..page import Options
 from ..sources import sinks
 
@@ -79,8 +80,9 @@ def link_origins(spark, folder):
 def _link_table(spark, folder):
     """Rows of ``links`` numbered per page; equal rows stay equal, so ties don't matter."""
     df = _read(spark, folder, "links").where("url is not null and source_url is not null")
-    order = F.row_number().over(Window.partitionBy("source_url").orderBy("url", F.col("text").asc_nulls_first()))
-    return df.select(F.col("source_url").alias("page_id"), "source_url", U.without_fragment(F.col("url")).alias("url"), F.coalesce("text", F.lit("")).alias("text"), (order - 1).cast("bigint").alias("pos"))
+    rows = df.select(F.col("source_url").alias("page_id"), "source_url", "text", F.col("url").alias("__url"), U.without_fragment(F.col("url")).alias("url"))
+    placed = running_before(rows, ["source_url"], F.lit(1), "__url", ties=["text"], name="pos")
+    return placed.select("page_id", "source_url", "url", F.coalesce("text", F.lit("")).alias("text"), F.col("pos").cast("bigint").alias("pos"))
 
 
 def map_links(spark, folder):

@@ -14,7 +14,7 @@ from ..page import Options
 
 
 def read_pages(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Parquet files of a folder as they arrive; the schema comes from the files that are there."""
+    """Parquet files of a folder (or of a pattern for single files) as they arrive; the schema comes from the files that are there."""
     reader = spark.readStream.schema(spark.read.parquet(folder).schema)
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(folder)
 
