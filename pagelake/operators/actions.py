@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..html import SelectorError
 from ..html.select import compile_selector
+from ..page import Options
+from . import pages
 
 VERSION = "pagelake.actions.v1"
 MOST_ACTIONS, MOST_NAME = 50, 80
@@ -118,3 +121,16 @@ def until_failure(rows: DataFrame, by: str = "run", order: str = "index", status
     """Result rows up to the first failed action of each run."""
     failed = rows.where(F.col(status) == "failed").groupBy(by).agg(F.min(order).alias("__first"))
     return rows.join(failed, by, "left").where(F.col("__first").isNull() | (F.col(order) <= F.col("__first"))).drop("__first")
+
+
+def extract_results(df: DataFrame, options: Options = Options(), by: str = "run", url: str = "url", html: str = "html", selector: str = "selector") -> DataFrame:
+    """Extract actions on the pages that they saw: ``(by, ok, content, error)``.
+
+    A browser resolves an action's selector and hands over that element's markup (``html``
+    is then the element), which is extracted without a selector, so the choice of the main
+    content applies to it. A row with a selector and no markup had no such element.
+    """
+    rows = df.withColumn("__missed", F.col(html).isNull() & F.col(selector).isNotNull()).select(by, "__missed", F.col(url).alias("url"), F.col(html).alias("html"))
+    got = pages.get(rows, replace(options, selector=None), keep=(by, "__missed"))
+    missed = F.struct(F.lit("selector_not_found").alias("code"), F.lit("no element matched the selector").alias("message"))
+    return got.select(by, "ok", "content", F.when(F.col("__missed"), missed).otherwise(F.col("error")).alias("error"))

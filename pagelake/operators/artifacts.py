@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.paths import plain_path
 from .running import running_before
 
 
@@ -96,3 +97,38 @@ def prune(df: DataFrame, older_than: int | None = None, keep_last: int | None =
         out = out.join(out.groupBy("__store").agg(stays), "__store")
         out = out.withColumn("__chosen", F.col("__chosen") | ~F.col("__kept") & (F.col("__stays") - F.col("__before") > max_bytes))
     return out.where("__chosen").select(*columns)
+
+
+def prune_result(df: DataFrame, apply: bool = False, dry_run: bool = False, size: str = "size_bytes", run_id: str = "run_id", **criteria) -> tuple[DataFrame, DataFrame]:
+    """(the catalog afterwards, one row a selected run: ``(run_id, size_bytes, action)``).
+
+    Without ``apply`` nothing goes and the action is ``would_delete``; asking for both
+    ``apply`` and ``dry_run`` is an error. ``criteria`` are those of ``prune``.
+    """
+    if apply and dry_run:
+        raise ValueError("a dry run can't be applied")
+    chosen = prune(df, size=size, run_id=run_id, **criteria)
+    rows = chosen.select(run_id, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size_bytes"), F.lit("deleted" if apply else "would_delete").alias("action"))
+    return (df.join(chosen.select(run_id), run_id, "left_anti") if apply else df), rows
+
+
+def file_entries(df: DataFrame, files: DataFrame, root: str, run_id: str = "run_id", metadata: str = "metadata") -> DataFrame:
+    """``(run_id, path, kind, ownership, exists, size_bytes)``: the files that each run names in its record, and whether they are there.
+
+    ``metadata`` is the run's record as JSON: its own file, the content, debug traces and
+    captures of actions. ``files`` has ``(path, size_bytes)`` of what is stored. A file
+    outside the run's folder under ``root`` is external. Runs without a readable record
+    have the first two entries, with the places that runs have by default.
+    """
+    m = F.col(metadata)
+    home = F.concat(F.lit(root.rstrip("/") + "/"), F.col(run_id))
+    listed = lambda path: F.coalesce(F.from_json(F.get_json_object(m, path), "array<string>"), F.array().cast("array<string>"))
+    entry = lambda path, kind: F.struct(path.alias("path"), F.lit(kind).alias("kind"))
+    named = F.concat(
+        F.array(entry(F.concat(home, F.lit("/metadata.json")), "metadata"), entry(F.coalesce(F.get_json_object(m, "$.artifacts.content"), F.concat(home, F.lit("/content.md"))), "content")),
+        F.transform(listed("$.artifacts.debug"), lambda p: entry(p, "debug")), F.transform(listed("$.artifacts.captures"), lambda p: entry(p, "capture")),
+    )
+    rows = df.select(run_id, home.alias("__home"), F.explode(named).alias("f")).select(run_id, "__home", "f.*")
+    there = files.groupBy(F.col("path").alias("__path")).agg(F.max("size_bytes").alias("size_bytes"))
+    owned = F.when(F.coalesce(plain_path(F.col("path")).startswith(F.concat(F.col("__home"), F.lit("/"))), F.lit(False)), "internal").otherwise("external")
+    return rows.join(there, F.col("path") == F.col("__path"), "left").select(run_id, "path", "kind", owned.alias("ownership"), F.col("__path").isNotNull().alias("exists"), F.coalesce("size_bytes", F.lit(0)).cast("bigint").alias("size_bytes"))

@@ -82,3 +82,18 @@ def envelope(df: DataFrame, command: str, data: Iterable[str], inline: str = "au
     ok = F.col("ok") if "ok" in df.columns else F.lit(True)
     warnings = F.col("warnings") if "warnings" in df.columns else F.array().cast("array<string>")
     return df.withColumn("envelope", F.to_json(F.struct(ok.alias("ok"), F.lit("pagelake.envelope.v1").alias("schema_version"), F.lit(command).alias("command"), F.struct(*fields).alias("data"), warnings.alias("warnings"), F.struct((timing_ms if timing_ms is not None else F.lit(0)).cast("bigint").alias("total")).alias("timing_ms"))))
+
+
+def finalize(extracted: DataFrame, command: str = "get", max_chars: int | None = None, debug: bool = False, inline: str = "auto", keep: Iterable[str] = (), sensitive: str = "sensitive") -> DataFrame:
+    """What ``get`` gives, brought to its last form in order: limits, usage, the debug trace if asked for, and the record.
+
+    Adds ``limits`` (unless they are there), ``usage``, ``debug_trace`` and ``envelope``; the
+    kept columns become part of the record.
+    """
+    out = extracted if "limits" in extracted.columns else with_limits(extracted, max_chars)
+    out = with_usage(out)
+    if sensitive not in out.columns:
+        out = out.withColumn(sensitive, F.lit(False))
+    if debug:
+        out = out.withColumn("debug_trace", F.to_json(F.struct(F.lit("pagelake.debug_trace.v1").alias("schema_version"), "final_url", "needs_render", "source_bytes", "ok")))
+    return envelope(out, command, [*keep, "final_url", "content", "page_metadata", "limits", "usage", "error"], inline, sensitive)

@@ -80,6 +80,14 @@ def compose_header(sessions: DataFrame) -> DataFrame:
     return head.crossJoin(domains)  # one row each
 
 
+def login_export(cookies: DataFrame, storage: DataFrame, allowed: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cookies, storage, error) of a finished login: what the allowed domains cover; one error row if nothing is left."""
+    c, s = filter_cookies(cookies, allowed), filter_storage(storage, allowed)
+    found = c.agg(F.count("*").alias("n")).unionByName(s.agg(F.count("*").alias("n")))
+    error = found.agg(F.sum("n").alias("n")).where("n = 0").select(F.lit("login_empty").alias("code"), F.lit("the login left no state on the allowed domains").alias("message"))
+    return c, s, error
+
+
 def login_merge_storage(old: DataFrame, fresh: DataFrame, fresh_domains: list[str]) -> DataFrame:
     """Storage entries after a login: those of origins on the fresh domains are replaced."""
     test = F.lit(False)

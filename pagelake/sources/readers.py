@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.paths import plain_path
 
 
 def table_pages(spark: SparkSession, path: str, url: str = "url", html: str = "content", where: str | None = None) -> DataFrame:
@@ -36,15 +37,6 @@ def url_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return url_lines(spark.read.text(paths))
 
 
-def plain_path(path: Column) -> Column:
-    """``path`` without ``.``, ``..`` and doubled slashes, as far as names alone can tell; null if it leads above its root."""
-    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
-    # each ".." takes the last name before it away; one too many leaves a mark
-    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p != "..", F.array_append(done, p)).when(F.size(done) == 0, F.array(F.lit("/"))).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))))
-    rooted = F.when(path.startswith("/"), "/").otherwise("")
-    return F.when(~F.array_contains(walked, "/"), F.concat(rooted, F.array_join(walked, "/")))
-
-
 def run_sources(runs: DataFrame, contents: DataFrame, root: str, allow_private: bool = False, only_get: bool = False, contained: bool = True) -> DataFrame:
     """Stored runs as sources: successful, content inside the store, sensitive ones only if allowed.
 
@@ -94,11 +86,14 @@ class _Redirects(urllib.request.HTTPRedirectHandler):
     max_redirections = 5
 
 
-def fetch(df: DataFrame, url: str = "url", user_agent: str = "pagelake/0.1", timeout: float = 60.0) -> DataFrame:
+def fetch(df: DataFrame, url: str = "url", user_agent: str = "pagelake/0.1", timeout: float = 60.0, concurrency: int | None = None) -> DataFrame:
     """``(url, final_url, html, status, error)`` by HTTP GET; any status has a body, at most five redirects.
 
-    Rows are spread by URL; each task fetches its rows one by one. Only http(s) is fetched.
+    Rows are spread by URL; each task fetches its rows one by one, so ``concurrency`` tasks
+    are at most so many requests at a time. Only http(s) is fetched.
     """
+    if concurrency is not None and concurrency < 1:
+        raise ValueError("concurrency must be at least 1")
 
     def one(opener: urllib.request.OpenerDirector, target: str) -> tuple:
         try:
@@ -118,4 +113,4 @@ def fetch(df: DataFrame, url: str = "url", user_agent: str = "pagelake/0.1", tim
             rows = [one(opener, t) for t in targets]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32(), pa.string())))], ["url", "final_url", "html", "status", "error"])
 
-    return df.where(U.input_kind(F.col(url)) == "http").select(F.col(url).alias("url")).repartition("url").mapInArrow(run, "url string, final_url string, html string, status int, error string")
+    return df.where(U.input_kind(F.col(url)) == "http").select(F.col(url).alias("url")).repartition(*([concurrency] if concurrency else []), "url").mapInArrow(run, "url string, final_url string, html string, status int, error string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import unicodedata
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -68,9 +69,8 @@ def _host(text: str) -> str | None:
 
     text = unquote(text, errors="replace") if "%" in text else text
     if not text.isascii():
-        try:
-            text = text.encode("idna").decode("ascii")
-        except UnicodeError:
+        text = _international(text)
+        if text is None:
             return None
     text = text.lower()
     if not text or _BAD_HOST.search(text):
@@ -81,6 +81,24 @@ def _host(text: str) -> str | None:
     return text
 
 
+def _international(text: str) -> str | None:
+    """A host name beyond ASCII with its labels in punycode, by the current rules: the sharp s and the final sigma stay letters of their own."""
+    text = "".join(c if c in "ßς" else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c).casefold()) for c in text if c not in "\u00ad\u200b\u2060\ufeff")
+    labels = []
+    for label in re.split("[.。]", unicodedata.normalize("NFC", text)):
+        if not label.isascii():
+            if unicodedata.category(label[0]).startswith("M") or label.startswith("-") or label.endswith("-"):
+                return None
+            try:
+                label = "xn--" + label.encode("punycode").decode("ascii")
+            except UnicodeError:
+                return None
+            if len(label) > 63:
+                return None
+        labels.append(label)
+    return ".".join(labels)
+
+
 def _ipv6(text: str) -> str | None:
     """An address in brackets in its shortest form; None if it is none."""
     try:

@@ -421,3 +421,32 @@ def test_many_hashes_at_once():
     texts = ["", "a", "foobar", "é" * 50, "x" * 1000, "a"]
     assert fnv1a64_many(texts).tolist() == [int(fnv1a64(t), 16) for t in texts] and fnv1a64("foobar") == "85944171f73967e8"
     assert len(fnv1a64_many([])) == 0
+
+
+def test_prune_results_and_file_entries(spark):
+    table = spark.createDataFrame([(f"run-{i}", i * 100, i, '{"artifacts": {"content": "/elsewhere/c.md", "debug": ["/s/run-1/debug.json"], "captures": ["/s/run-1/../x.png"]}}' if i == 1 else None) for i in range(3)], "run_id string, modified bigint, size_bytes bigint, metadata string")
+    known = artifacts.runs(table, F.lit(400))
+    after, chosen = artifacts.prune_result(known, keep_last=1)
+    assert after.count() == 3 and rows(chosen) == [("run-0", 0, "would_delete"), ("run-1", 1, "would_delete")]
+    after, chosen = artifacts.prune_result(known, apply=True, keep_last=1)
+    assert rows(after, "run_id") == [("run-2",)] and rows(chosen, "action") == [("deleted",)] * 2
+    with pytest.raises(ValueError):
+        artifacts.prune_result(known, apply=True, dry_run=True, keep_last=1)
+    files = spark.createDataFrame([("/s/run-1/debug.json", 7), ("/elsewhere/c.md", 9), ("/s/run-0/content.md", 3)], "path string, size_bytes bigint")
+    got = rows(artifacts.file_entries(known.where("run_id <> 'run-2'"), files, "/s"), "run_id", "kind", "ownership", "exists", "size_bytes")
+    assert got == [("run-0", "content", "internal", True, 3), ("run-0", "metadata", "internal", False, 0), ("run-1", "capture", "external", False, 0), ("run-1", "content", "external", True, 9), ("run-1", "debug", "internal", True, 7), ("run-1", "metadata", "internal", False, 0)]
+
+
+def test_finalize_exports_and_extract_actions(spark):
+    df = spark.createDataFrame([(1, "https://a.example/", "<main><p>Some words here</p></main>", True), (2, "https://a.example/", None, False)], "page_id bigint, url string, html string, sensitive boolean")
+    done = pages.finalize(pages.get(df, keep=("page_id", "sensitive")), max_chars=4, debug=True, keep=("page_id",)).orderBy("page_id").collect()
+    record = json.loads(done[0].envelope)
+    assert record["data"]["limits"]["chars_before"] == 15 and "content" not in record["data"] and record["data"]["usage"]["content_bytes"] == 4 and json.loads(done[0].debug_trace)["ok"]
+    assert json.loads(done[1].envelope)["ok"] is False
+    cookies = spark.createDataFrame([("k", "v", "a.example"), ("k", "v", "b.example")], "name string, value string, domain string")
+    storage = spark.createDataFrame([("https://c.example", "x")], "origin string, name string")
+    kept, stored, error = sessions.login_export(cookies, storage, ["a.example"])
+    assert kept.count() == 1 and stored.count() == 0 and error.count() == 0 and sessions.login_export(cookies, storage, ["d.example"])[2].first().code == "login_empty"
+    seen = spark.createDataFrame([(1, "https://a.example/", "<div><nav>menu</nav><article><p>Body of it</p></article></div>", ".x"), (2, "https://a.example/", None, ".gone"), (3, "https://a.example/", None, None)], "run int, url string, html string, selector string")
+    got = {r.run: r for r in actions.extract_results(seen, Options(format="text")).collect()}
+    assert got[1].content == "Body of it" and got[2].error.code == "selector_not_found" and got[3].error.code == "extraction_failed"

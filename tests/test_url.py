@@ -47,3 +47,14 @@ def test_domains():
     assert U.is_external("mailto:a@b", "https://a.example") and U.is_external("https://b.test", "https://a.example") and not U.is_external("/x", "https://a.example") and not U.is_external("https://nota.example/", "https://a.example")
     assert U.origin_host("https://u@[::1]:8/") == "::1" and U.origin_host("x") is None
     assert U.cookie_path_covers("/a", "/a/b") and U.cookie_path_covers("/a/", "/a/b") and not U.cookie_path_covers("/a", "/ab")
+
+
+def test_international_and_ipv6_hosts():
+    from pagelake.url import parse
+
+    for text, want in {
+        "http://Straße.example/": "http://xn--strae-oqa.example/", "http://BÜCHER.example/x": "http://xn--bcher-kva.example/x", "http://☃.net/": "http://xn--n3h.net/", "http://例え。jp/": "http://xn--r8jz45g.jp/", "http://ﬁ.example/": "http://fi.example/",
+        "http://[2001:DB8:0:0:1:0:0:1]/x": "http://[2001:db8::1:0:0:1]/x", "http://[::ffff:1.2.3.4]/": "http://[::ffff:102:304]/", "http://[::]:8080/": "http://[::]:8080/", "http://[1:0:0:2:0:0:0:3]/": "http://[1:0:0:2::3]/",
+    }.items():
+        assert str(parse(text)) == want
+    assert parse("http://[zz]/") is None and parse("http://́a.example/") is None
