@@ -96,20 +96,21 @@ class MergeTable:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers at most ``cache_words`` pre-tokens of at most 64 characters."""
+    """Encodes batches of texts; what it remembers of pre-tokens is let go beyond ``cache_words`` of them or ``cache_chars`` characters."""
 
-    def __init__(self, table: MergeTable, cache_words: int = 300_000):
-        self.table, self.cache_words = table, cache_words
+    def __init__(self, table: MergeTable, cache_words: int = 300_000, cache_chars: int = 16_000_000):
+        self.table, self.cache_words, self.cache_chars = table, cache_words, cache_chars
         self.find = regex.compile(PATTERN).findall
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of ``texts``; null and empty texts have no ids."""
-        if len(self.known) > self.cache_words:
+        if len(self.known) > self.cache_words or self.chars > self.cache_chars:
             self._reset()
         known, fresh, counts, seq = self.known, [], np.zeros(len(texts), np.int64), []
         for i, text in enumerate(texts):
@@ -126,6 +127,7 @@ class Encoder:
                         fresh.append(w)
                 seq.append([known[w] for w in words])
         if fresh:
+            self.chars += sum(map(len, fresh))
             ids, offsets = self.table.encode_words([w.encode("utf-8", "surrogatepass") for w in fresh])
             self.ids = np.concatenate((self.ids, ids))
             self.offsets = np.concatenate((self.offsets, self.offsets[-1] + offsets[1:]))

@@ -42,3 +42,13 @@ def test_corpus(spark):
     assert len(rows) == len(TEXTS) + 1
     assert all(r.ids == want[r.doc_id] for r in rows)
     assert encode_corpus(df.limit(0)).count() == 0
+
+
+def test_what_is_remembered_is_bounded():
+    from pagelake.llm.encode import DEFAULT_VOCABULARY, Encoder, MergeTable
+
+    small, large = (Encoder(MergeTable.load(DEFAULT_VOCABULARY), cache_chars=n) for n in (10, 1 << 30))
+    texts = ["one two three", "z" * 500, "four five", "one two"]
+    for text in texts:
+        assert [x.tolist() for x in small.batch([text])] == [x.tolist() for x in large.batch([text])]
+    assert len(small.known) < len(large.known)

@@ -61,3 +61,11 @@ def test_forms_and_empty_tables(pages):
     assert repeated_lines(pages([{"page_id": 1, "content": None}]), exact=True).count() == 0
     one = [{"page_id": 1, "url": "https://c.example/", "content": "the same long line here"}] * 9
     assert repeated_lines(pages(one), exact=True).count() == 0  # one page, however often its row is repeated
+
+
+def test_near_forms_of_repeated_rows(pages):
+    """A page whose row comes several times, in whatever tasks, counts once."""
+    rows = [{"page_id": i, "url": "https://a.example/", "content": "Read more about our letters"} for i in range(5)]
+    assert repeated_lines(pages(rows * 4).repartition(4)).count() == 0
+    rows.append({"page_id": 6, "url": "https://a.example/", "content": "Read more about our letters"})
+    assert repeated_lines(pages(rows * 4).repartition(4)).count() == 6
