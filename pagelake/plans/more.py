@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..functions import urls as U
-from ..operators import actions, artifacts, batch, browser, cache, crawl, fields, links, privacy, sessions
+from ..operators import actions, artifacts, batch, browser, cache, crawl, fields, links, pages, privacy, sessions
 from ..page import Options
 from ..session import ensure_checkpoint_dir
 from ..sources import readers, sinks
@@ -258,6 +258,38 @@ def manifest_items(spark, folder):
     return good.unionByName(readers.manifest_errors(items, metadata).select("index", F.lit(None).cast("string").alias("content"), F.lit("missing").alias("error")))
 
 
+def prune_result(spark, folder):
+    """What a dry run of pruning by number and size would delete."""
+    return artifacts.prune_result(_runs(spark, folder), keep_last=25)[1]
+
+
+def file_entries(spark, folder):
+    """The files of each artifact's run; the content of every third lies elsewhere, every fourth is gone."""
+    df = _read(spark, folder, "source_artifacts")
+    name = F.concat(F.lit("run-"), F.col("artifact_id").cast("string"))
+    content = F.when(F.col("artifact_id") % 3 == 0, F.concat(F.lit("/other/./"), name)).otherwise(F.concat(F.lit("/store/"), name, F.lit("/content.md")))
+    runs = df.select(name.alias("run_id"), F.to_json(F.struct(F.struct(content.alias("content"), F.array(F.concat(F.lit("/store/"), name, F.lit("/../trace.json"))).alias("debug")).alias("artifacts"))).alias("metadata"))
+    files = df.where("artifact_id % 4 <> 0").select(content.alias("path"), F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("size_bytes"))
+    return artifacts.file_entries(runs, files, "/store")
+
+
+def finalize(spark, folder):
+    """Records of artifacts that are there as text, in their last form; the parts that SQL can give."""
+    df = _read(spark, folder, "source_artifacts").where("content is not null")
+    extracted = df.select("artifact_id", F.coalesce("sensitive", F.lit(False)).alias("sensitive"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), "url", F.coalesce("final_url", "url").alias("final_url"), "content", F.lit(None).cast("map<string,string>").alias("page_metadata"), F.octet_length("content").cast("bigint").alias("source_bytes"), F.lit(False).alias("needs_render"))
+    done = pages.finalize(extracted, max_chars=500, debug=True, keep=("artifact_id",))
+    read = lambda path, kind: F.get_json_object("envelope", path).cast(kind)
+    return done.select("artifact_id", F.substring("content", 1, 40).alias("start"), read("$.data.limits.chars_before", "bigint").alias("chars_before"), read("$.data.usage.estimated_tokens", "bigint").alias("tokens"), F.get_json_object("envelope", "$.data.content").isNotNull().alias("inline"), F.get_json_object("debug_trace", "$.source_bytes").cast("bigint").alias("traced"))
+
+
+def extract_actions(spark, folder):
+    """Extract actions on html pages: every third found no element, every fifth page was gone."""
+    df = _read(spark, folder, "source_pages").where("content_format = 'html' and content is not null")
+    html = F.when((F.col("page_id") % 3 != 0) & (F.col("page_id") % 5 != 0), F.lit("<article><p>Seen</p></article>"))
+    seen = df.select("page_id", "url", html.alias("html"), F.when(F.col("page_id") % 3 == 0, "h1").alias("selector"))
+    return actions.extract_results(seen, Options(format="text"), by="page_id").select("page_id", "ok", "content", F.col("error.code").alias("code"))
+
+
 def _streamed(df: DataFrame, mode: str = "append") -> DataFrame:
     """The rows that a stream gives for all files at hand, written to the shared folder batch by batch and read again."""
     spark = df.sparkSession
@@ -292,5 +324,5 @@ def stream_windows(spark, folder):
 QUERIES = {f.__name__: f for f in (
     storage_compose, storage_conflicts, storage_filter, login_merge, login_merge_storage, cookie_events, cookie_records, cookie_dedupe, candidate_origins, login_domains, import_domains, import_cookies,
     browser_events, browser_hazards, browser_targets, screenshot_warnings, action_rows, plan_dry_run, plan_redaction, consent_checks, safe_errors, secrets, artifacts_delete, cache_store, extract_provenance,
-    metadata_records, error_records, debug_traces, run_ids, content_files, links_report, links_report_json, records_report, batch_unsupported, batch_manifest_lines, url_list, glob_matches, crawl_scope, crawl_manifest, stored_runs, manifest_items, stream_extract, stream_dedupe, stream_windows,
+    metadata_records, error_records, debug_traces, run_ids, content_files, links_report, links_report_json, records_report, batch_unsupported, batch_manifest_lines, url_list, glob_matches, crawl_scope, crawl_manifest, stored_runs, manifest_items, prune_result, file_entries, finalize, extract_actions, stream_extract, stream_dedupe, stream_windows,
 )}

@@ -303,4 +303,25 @@ SELECT '# Crawl' || chr(10) || chr(10) || 'Start: https://docs.bobabe.invalid/'
     "stream_extract": "SELECT page_id, content IS NOT NULL AS ok, CAST(strlen(content) AS BIGINT) AS source_bytes FROM source_pages WHERE content_format = 'html'",
     "stream_dedupe": "SELECT DISTINCT url FROM source_pages WHERE arrived_at IS NOT NULL",
     "stream_windows": "SELECT date_trunc('day', arrived_at) AS start, count(*) AS pages FROM source_pages WHERE arrived_at IS NOT NULL GROUP BY 1",
+    "prune_result": f"SELECT run_id, size_bytes, 'would_delete' AS action FROM ({_RANKED}) WHERE newest > 25",
+    "file_entries": """
+WITH r AS (SELECT 'run-' || artifact_id AS run_id, artifact_id % 3 = 0 AS away, artifact_id % 4 <> 0 AS there, CAST(coalesce(strlen(content), 0) AS BIGINT) AS size FROM source_artifacts)
+SELECT run_id, '/store/' || run_id || '/metadata.json' AS path, 'metadata' AS kind, 'internal' AS ownership, false AS exists, CAST(0 AS BIGINT) AS size_bytes FROM r
+UNION ALL SELECT run_id, CASE WHEN away THEN '/other/./' || run_id ELSE '/store/' || run_id || '/content.md' END, 'content', CASE WHEN away THEN 'external' ELSE 'internal' END, there, CASE WHEN there THEN size ELSE 0 END FROM r
+UNION ALL SELECT run_id, '/store/' || run_id || '/../trace.json', 'debug', 'external', false, 0 FROM r""",
+    "finalize": "SELECT artifact_id, left(content, 40) AS start, CAST(length(content) AS BIGINT) AS chars_before, CAST(ceil(least(length(content), 500) / 4.0) AS BIGINT) AS tokens, NOT coalesce(sensitive, false) AS inline, CAST(strlen(content) AS BIGINT) AS traced FROM source_artifacts WHERE content IS NOT NULL",
+    "extract_actions": "SELECT page_id, page_id % 3 <> 0 AND page_id % 5 <> 0 AS ok, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 'Seen' END AS content, CASE WHEN page_id % 3 = 0 THEN 'selector_not_found' WHEN page_id % 5 = 0 THEN 'extraction_failed' END AS code FROM source_pages WHERE content_format = 'html' AND content IS NOT NULL",
+    # the same rows as long as the crawl runs out of links before it reaches its limit of 100 pages
+    "crawl_replay": f"""
+WITH RECURSIVE t AS ({_LINKS}),
+start AS (SELECT regexp_replace(source_url, '#.*$', '') AS url FROM t GROUP BY source_url ORDER BY count(*) DESC, source_url LIMIT 1),
+found AS (SELECT regexp_replace(url, '#.*$', '') AS url, min(coalesce(final_url, regexp_replace(url, '#.*$', ''))) AS final_url FROM source_pages WHERE url IS NOT NULL GROUP BY 1),
+edges AS (SELECT source_url, url, row_number() OVER (PARTITION BY source_url ORDER BY pos, url) AS place FROM (SELECT regexp_replace(source_url, '#.*$', '') AS source_url, url, min(pos) AS pos FROM t WHERE {_host('url')} IS NOT NULL GROUP BY 1, 2)),
+walk AS (
+  SELECT url, CAST(0 AS BIGINT) AS depth, CAST(NULL AS VARCHAR) AS source_url, [CAST(0 AS BIGINT)] AS path FROM start
+  UNION ALL
+  SELECT e.url, w.depth + 1, w.url, list_append(w.path, e.place) FROM walk w JOIN found USING (url) JOIN edges e ON e.source_url = w.url WHERE w.depth < 5),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY depth, path) AS n FROM walk) WHERE n = 1)
+SELECT row_number() OVER (ORDER BY depth, path) - 1 AS index, f.url, found.final_url, depth, source_url, CASE WHEN found.url IS NULL THEN 'failed' ELSE 'ok' END AS status, CASE WHEN found.url IS NULL THEN 'page not found' END AS error
+FROM firsts f LEFT JOIN found USING (url)""",
 }

@@ -207,7 +207,7 @@ def crawl_replay(spark, folder):
     found = _read(spark, folder, "source_pages").select(U.without_fragment(F.col("url")).alias("url"), "final_url")
     first = start[0] if start else "https://nowhere.invalid/"
     scope = crawl.Scope(first, same_origin=False)
-    return crawl.crawl(found, table.select(U.without_fragment(F.col("source_url")).alias("source_url"), "pos", "url"), first, 100, 5, 2, scope)
+    return crawl.crawl(found, table.select(U.without_fragment(F.col("source_url")).alias("source_url"), "pos", "url"), first, 100, 5, 8, scope)
 
 
 def _requests(spark, folder):
