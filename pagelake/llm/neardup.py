@@ -1,29 +1,26 @@
 """Near-duplicate records with small edits (problem 5): a distributed prefix-tree join.
 
-Records are sets of word n-grams, as sorted 32-bit hashes (one global order).  Records
+Records are sets of word n-grams, as sorted 40-bit hashes (one global order).  Records
 with the same set form a class and are joined once.
 
-1. Co-location.  Two sets of similarity 0.5 or more must meet in one task.  Prefix
-   filtering alone would place each record under half of its n-grams, and in text made
-   of common phrases these posting lists grow with the square of the corpus.  Instead
-   each class gets ``bands`` keys of ``rows`` minima of hash functions; the keys are
-   packed by bucket, so a bucket travels in a few binary rows.
-2. Screening.  Classes under one key are compared by 256-bit sketches; a pair goes on
-   unless its sketch similarity is four standard deviations under the threshold.
+1. Placement.  Each class stands under the n-grams of its prefix in the order of rising
+   document frequency; two sets that reach the threshold share one of these.  Placements
+   are packed by bucket, so a bucket travels in a few binary rows.
+2. Listing.  The classes under one n-gram are ordered by size; for each, those that its
+   place leaves room for are a range of them.  A pair goes on if the other's place leaves
+   room too and bitmaps of both sets, which bound the overlap from above, allow it.
 3. Join.  For each class, the sets of its partners are visited in prefix order, i.e. as
    a depth-first walk of their trie: the overlap with the probing set is kept for each
    depth, so that shared prefixes are followed once, and a subtree is left as soon as the
    elements that remain cannot bring the overlap to what the threshold asks for.
 
-Step 3 is exact; step 1 finds a pair of similarity J with probability
-1 - (1 - J**rows)**bands (0.990 at 0.5, 0.9994 at 0.55, above 0.99999 from 0.6 on with
-the defaults; see the README for the measured share).
+No pair is lost in any step.  The number of listed pairs grows faster than a collection
+whose common phrases stay the same (see the README).
 
-``exact=True`` loses nothing: each class is placed under the n-grams of its prefix in the
-order of rising document frequency, pairs under one n-gram are listed if their places in
-both prefixes leave room for the overlap and a bitmap of both sets doesn't rule it out,
-and the trie decides. Its cost grows faster than the collection (see the README), so it
-is the choice for collections of moderate size and for checks of the default.
+``exact=False`` replaces steps 1 and 2 by ``bands`` keys of ``rows`` minima of hash
+functions for each class and a comparison of 256-bit sketches.  It loses pairs: one of
+similarity J is found with probability 1 - (1 - J**rows)**bands (0.990 at 0.5), and a few
+in 100,000 of those by the sketches.
 """
 
 from __future__ import annotations
@@ -42,28 +39,50 @@ SKETCH_BITS = 256
 
 
 def shingle_sets(texts: list[str], n: int, least_words: int, vocabulary: dict[str, int]) -> list[np.ndarray | None]:
-    """Sorted distinct 32-bit hashes of the word n-grams of each text; None under ``least_words`` words."""
+    """Sorted distinct 64-bit hashes of the word n-grams of each text; None under ``least_words`` words.
+
+    Letters are lowered one by one, as in SQL: a capital sigma always gives the same small one, a dotted capital I an i.
+    """
     import xxhash
 
-    out: list[np.ndarray | None] = []
+    kept, parts = [], []
     for text in texts:
-        words = WORD.findall(text.lower())
-        if len(words) < max(n, least_words):
-            out.append(None)
+        words = WORD.findall(text.replace("\u03a3", "\u03c3").replace("\u0130", "i").lower())
+        kept.append(len(words) if len(words) >= max(n, least_words) else 0)
+        if not kept[-1]:
             continue
         try:
-            ids = [vocabulary[w] for w in words]
+            ids = list(map(vocabulary.__getitem__, words))
         except KeyError:
             for w in words:
                 if w not in vocabulary:
                     vocabulary[w] = xxhash.xxh64_intdigest(w)
-            ids = [vocabulary[w] for w in words]
-        h = np.array(ids, np.uint64)
-        g = h[: len(h) - n + 1].copy()
-        for k in range(1, n):
-            g = mix64(g) + h[k : len(h) - n + 1 + k]
-        out.append(np.unique((mix64(g) >> np.uint64(32)).astype(np.uint32)))
-    return out
+            ids = list(map(vocabulary.__getitem__, words))
+        parts.append(np.array(ids, np.uint64))
+    if not parts:
+        return [None] * len(texts)
+    h = np.concatenate(parts)
+    g = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        g = mix64(g) + h[k : len(h) - n + 1 + k]
+    g = mix64(g)  # runs over the borders of texts, where it isn't used
+    starts = np.concatenate(([0], np.cumsum(kept)[:-1])).tolist()
+    return [np.unique(g[at : at + count - n + 1]) if count else None for at, count in zip(starts, kept)]
+
+
+def pack(grams: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted 64-bit hashes: first the upper 32 of each, then the rest."""
+    return (grams >> np.uint64(32)).astype(np.uint32).tobytes() + (grams >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def heads(grams: pa.Buffer | bytes) -> np.ndarray:
+    """The upper 32 bits of packed n-grams, one for each n-gram, so that equal ones may follow each other."""
+    return np.frombuffer(grams, np.uint32, len(grams) // 5)
+
+
+def unpack(grams: bytes) -> np.ndarray:
+    count = len(grams) // 5
+    return (heads(grams).astype(np.uint64) << np.uint64(8)) | np.frombuffer(grams, np.uint8, count, 4 * count)
 
 
 class _MinHash:
@@ -104,7 +123,7 @@ def trie_join(probe: np.ndarray, partners: list[np.ndarray], threshold: float) -
     """
     members = set(probe.tolist())
     a = len(probe)
-    order = sorted(range(len(partners)), key=lambda i: partners[i].astype(">u4").tobytes())
+    order = sorted(range(len(partners)), key=lambda i: partners[i].astype(partners[i].dtype.newbyteorder(">")).tobytes())
     found: list[int] = []
     path: list[int] = []
     depth = [0]
@@ -159,8 +178,8 @@ def frequency_levels(table: DataFrame) -> np.ndarray:
         for batch in batches:
             grams = batch.column(0)
             for at in range(0, len(grams), 1000):
-                part = b"".join(g.as_buffer().to_pybytes() for g in grams[at : at + 1000])
-                total += np.bincount(np.frombuffer(part, np.uint32) >> np.uint32(32 - SLOTS), minlength=1 << SLOTS).astype(np.uint32)
+                part = np.concatenate([heads(g.as_buffer()) for g in grams[at : at + 1000]])
+                total += np.bincount(part >> np.uint32(32 - SLOTS), minlength=1 << SLOTS).astype(np.uint32)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(_COUNT_PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, _COUNT_PARTS)], pa.binary())], ["part", "counts"])
 
@@ -178,115 +197,156 @@ def frequency_levels(table: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def bitmaps(grams: np.ndarray, owner: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """A row for each of ``count`` sets: the parities of ``bits`` groups of its n-grams. Two sets differ in at least as many n-grams as their rows in bits."""
+    cell = owner * bits + (mix64(grams) & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(cell, minlength=count * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(count, -1)
+
+
 def bitmap(grams: np.ndarray, bits: int = 2048) -> np.ndarray:
-    """The parities of ``bits`` groups of n-grams; two sets differ in at least as many n-grams as their bitmaps in bits."""
-    odd = np.bincount(mix64(grams.astype(np.uint64)) % np.uint64(bits), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return bitmaps(grams, np.zeros(len(grams), np.int64), 1, bits)[0]
+
+
+def prefixes(grams: np.ndarray, sizes: np.ndarray, levels: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(gram, owner, place)``: the n-grams of which two sets that reach ``threshold`` share one, the rarest of each set first.
+
+    ``grams`` holds set after set, of the given ``sizes``. N-grams of a set with equal hashes count each in its size and
+    in places, and stand once, at the first of their places.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    level = levels[grams >> np.uint32(32 - SLOTS)]
+    order = np.sort(owner.astype(np.uint64) << np.uint64(44) | level.astype(np.uint64) << np.uint64(32) | grams)
+    place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    use = place < np.repeat(sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, sizes)
+    use[1:] &= order[1:] != order[:-1]
+    return order[use].astype(np.uint32), owner[use], place[use]
 
 
 def prefix_of(grams: np.ndarray, levels: np.ndarray, threshold: float) -> np.ndarray:
-    """The n-grams of which two sets that reach ``threshold`` share one, the rarest first."""
-    order = np.lexsort((grams, levels[grams >> np.uint32(32 - SLOTS)]))
-    return grams[order[: len(grams) - int(np.ceil(threshold * len(grams) - 1e-9)) + 1]]
-
-
-def _listed_pairs(gram: np.ndarray, owner: np.ndarray, room: np.ndarray, size: np.ndarray, maps: np.ndarray, threshold: float, block: int) -> Iterator[np.ndarray]:
-    """Pairs (i, j) of owners under one n-gram that places and bitmaps leave possible; entries are ordered by n-gram."""
-    starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, int)
-    sizes = np.diff(np.append(starts, len(gram)))
-    for s, m in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-        for low in range(s, s + m, block):
-            for high in range(low, s + m, block):
-                left, right = slice(low, min(low + block, s + m)), slice(high, min(high + block, s + m))
-                a, b = owner[left], owner[right]
-                want = np.ceil(threshold / (1 + threshold) * (size[a][:, None] + size[b][None, :]) - 1e-9)
-                fits = np.minimum(room[left][:, None], room[right][None, :]) >= want
-                if low == high:
-                    fits = np.triu(fits, 1)
-                i, j = np.nonzero(fits)
-                if len(i):
-                    differ = np.bitwise_count(maps[a[i]] ^ maps[b[j]]).sum(axis=1)
-                    keep = differ <= size[a[i]] + size[b[j]] - 2 * want[i, j]
-                    if keep.any():
-                        yield np.stack((a[i[keep]], b[j[keep]]), axis=1)
-
-
-def prefix_pairs(table: DataFrame, threshold: float, block: int, buckets: int) -> DataFrame:
+    return prefixes(grams, np.array([len(grams)]), levels, threshold)[0]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte: the upper bytes of small ones are zeros, which compress."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _listed_pairs(gram: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: float, at_once: int = 1_000_000) -> Iterator[np.ndarray]:
+    """Pairs (i, j) of owners under one n-gram that places and bitmaps leave possible, ``at_once`` looked at together."""
+    size = sizes[owner]
+    key = gram.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64)
+    order = np.argsort(key)
+    key, owner, size = key[order], owner[order], size[order]
+    # the overlap that a pair needs is t / (1 + t) of both sizes, and at most what follows the place in either set
+    most = np.floor((size - place[order] + 1e-6) * (1 + threshold) / threshold).astype(np.int64) - size
+    ends = np.searchsorted(key, (key >> np.uint64(32) << np.uint64(32)) | np.clip(most, 0, 2**32 - 1).astype(np.uint64), "right")
+    counts = np.maximum(ends - np.arange(1, len(key) + 1), 0)
+    total = np.cumsum(counts)
+    low, done = 0, 0
+    while done < (total[-1] if len(total) else 0):
+        high = max(low + 1, int(np.searchsorted(total, done + at_once, "right")))
+        many = counts[low:high]
+        i = np.repeat(np.arange(low, high), many)
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[low:high] - many - done, many)
+        low, done = high, int(total[high - 1])
+        fits = np.flatnonzero(size[i] <= most[j])
+        for at in range(0, len(fits), 100_000):
+            x, y = i[fits[at : at + 100_000]], j[fits[at : at + 100_000]]
+            both = size[x] + size[y]
+            want = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
+            keep = np.bitwise_count(maps[owner[x]] ^ maps[owner[y]]).sum(axis=1) <= both - 2 * want
+            if keep.any():
+                yield np.stack((owner[x[keep]], owner[y[keep]]), axis=1)
+
+
+PLACED = 2_000_000  #: placements in a bucket, about
+
+
+def prefix_pairs(table: DataFrame, threshold: float) -> DataFrame:
     """``(a, b)``, a < b: every pair of classes that may reach ``threshold``, by their prefixes. ``table`` has (class, grams)."""
     held = table.sparkSession.sparkContext.broadcast(frequency_levels(table))  # 2 MB
-    names = ["bucket", "classes", "sizes", "maps", "counts", "grams", "rooms"]
+    count, total = table.agg(F.count("*"), F.coalesce(F.sum(F.length("grams")) / 5, F.lit(0))).first()
+    bits = 1 << min(max(int(np.ceil(np.log2(3 * total / count))) if total else 9, 9), 13)
+    buckets = max(8, int(total * (1 - threshold)) // PLACED)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            for at in range(0, len(ids), 2000):
-                parts: dict[int, list[list]] = {}
-                for c, i in zip(ids[at : at + 2000].tolist(), first[at : at + 2000].tolist()):
-                    grams = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint32)
-                    if not len(grams):
-                        continue
-                    prefix = prefix_of(grams, held.value, threshold)
-                    bucket = (mix64(prefix.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                    room = (len(grams) - np.arange(len(prefix))).astype(np.uint32)  # of an overlap that begins here
-                    map_ = bitmap(grams).tobytes()
-                    for b in np.unique(bucket).tolist():
-                        use = bucket == b
-                        got = parts.setdefault(b, [[] for _ in range(6)])
-                        for column, value in zip(got, (c, len(grams), map_, int(use.sum()), prefix[use].tobytes(), room[use].tobytes())):
-                            column.append(value)
-                kinds = (np.int64, np.uint32, None, np.uint32, None, None)
-                rows_ = [(b, *(b"".join(v) if k is None else np.array(v, k).tobytes() for v, k in zip(columns, kinds))) for b, columns in parts.items()]
-                if rows_:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int64()), *(pa.array([r[i] for r in rows_], pa.binary()) for i in range(1, 7))], names)
+            sets = [heads(batch.column(1)[i].as_buffer()) for i in first.tolist()]
+            length = np.array([len(x) for x in sets])
+            part = np.maximum.accumulate(np.maximum(np.cumsum(length) // 1_000_000, np.arange(len(sets)) // 2000)) if len(sets) else length
+            for own in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(part)) + 1):
+                if not len(own):
+                    continue
+                sizes, flat = length[own], np.concatenate([sets[i] for i in own])
+                maps = bitmaps(flat, np.repeat(np.arange(len(own)), sizes), len(own), bits)
+                gram, owner, at = prefixes(flat, sizes, held.value, threshold)
+                bucket = (mix64(gram) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                rows: list[tuple] = []
+                for some in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1):
+                    use = order[some]
+                    who, counts = np.unique(owner[use], return_counts=True)
+                    rows.append((int(bucket[some[0]]), ids[own[who]].tobytes(), _planes(sizes[who]), maps[who].tobytes(), _planes(counts), gram[use].tobytes(), _planes(at[use])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))], ["bucket", "classes", "sizes", "maps", "counts", "grams", "places"])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(part: list[tuple]) -> Iterator[pa.RecordBatch]:
-            join_ = lambda i, kind: np.frombuffer(b"".join(r[i] for r in part), kind)
-            classes, sizes, counts = join_(0, np.int64), join_(1, np.uint32).astype(np.int64), join_(3, np.uint32)
-            maps = join_(2, np.uint64).reshape(len(classes), -1)
-            gram, room = join_(4, np.uint32), join_(5, np.uint32).astype(np.int64)
+            raw = lambda k, kind: np.frombuffer(b"".join(r[k] for r in part), kind)
+            numbers = lambda k: np.concatenate([_numbers(r[k]) for r in part])
+            classes, sizes, counts, gram, at = raw(0, np.int64), numbers(1), numbers(3), raw(4, np.uint32), numbers(5)
+            maps = raw(2, np.uint64).reshape(len(classes), -1)
+            part.clear()
             # a class that stands in two splits counts once
-            _, one = np.unique(classes, return_index=True)
-            number = np.full(len(classes), -1)
-            number[one] = one
-            owner = np.repeat(number, counts)
-            order = np.lexsort((owner, gram))
-            order = order[owner[order] >= 0]
-            found: list[np.ndarray] = []
-            for got in _listed_pairs(gram[order], owner[order], room[order], sizes, maps, threshold, block):
+            once = np.zeros(len(classes), bool)
+            once[np.unique(classes, return_index=True)[1]] = True
+            use = np.repeat(once, counts)
+            owner = np.repeat(np.arange(len(classes)), counts)[use]
+            found, held_ = [], 0
+            for got in _listed_pairs(gram[use], owner, at[use], sizes, maps, threshold):
                 found.append(got)
-                if sum(map(len, found)) > 4_000_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
+                held_ += len(got)
+                if held_ > 2_000_000:  # a pair that comes again after this is dropped by distinct
+                    yield from rows_of(classes, found)
+                    found, held_ = [], 0
+            yield from rows_of(classes, found)
+
+        def rows_of(classes: np.ndarray, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                a, b = classes[pairs[:, 0]], classes[pairs[:, 1]]
-                for at in range(0, len(a), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[at : at + 100_000]), pa.array(np.maximum(a, b)[at : at + 100_000])], ["a", "b"])
+                pairs = np.unique(np.sort(classes[np.concatenate(found)], axis=1), axis=0)
+                for at in range(0, len(pairs), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, 0]), pa.array(pairs[at : at + 100_000, 1])], ["a", "b"])
 
         now, part = None, []
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if bucket != now and part:
                     yield from flush(part)
-                    part = []
                 now = bucket
                 part.append(tuple(row))
         if part:
             yield from flush(part)
 
-    placed = table.select("class", "grams").mapInArrow(place, "bucket bigint, classes binary, sizes binary, maps binary, counts binary, grams binary, rooms binary")
-    return placed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "a bigint, b bigint").distinct()
+    placed = table.select("class", "grams").mapInArrow(place, "bucket int, classes binary, sizes binary, maps binary, counts binary, grams binary, places binary")
+    return placed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "a bigint, b bigint").distinct()
 
 
-def similar_classes(pages: DataFrame, threshold: float = 0.8, n: int = 5, least_words: int = 0, rows: int | None = None, bands: int = 144, block: int = 512, bucket_mb: int = 8, broadcast_classes: int = 1_000_000, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def similar_classes(pages: DataFrame, threshold: float = 0.8, n: int = 5, least_words: int = 0, rows: int | None = None, bands: int = 144, block: int = 512, bucket_mb: int = 8, broadcast_classes: int = 1_000_000, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: members (page_id, class), and links (a, b), a < b, between classes that reach ``threshold``.
 
     ``class`` is a 64-bit fingerprint of the set of word ``n``-grams.  Null and short
-    texts belong to no class.  ``page_id`` is the key: a repeated row adds nothing.  A
-    group of more than ``block`` classes under one key is compared block by block in
-    separate rows, so no task holds more than two blocks' sketches at once. ``rows`` is 5,
-    or fewer where the threshold is so low that pairs at it would be missed otherwise.
-    ``exact`` places classes by their prefixes and finds every pair.
+    texts belong to no class.  ``page_id`` is the key: a repeated row adds nothing.  Every
+    pair is found.  With ``exact=False`` classes meet under minhash keys and some pairs are
+    lost; only then ``rows``, ``bands``, ``block`` and ``bucket_mb`` play a part.  A group of
+    more than ``block`` classes under one key is compared block by block in separate rows, so
+    no task holds more than two blocks' sketches at once. ``rows`` is 5, or fewer where the
+    threshold is so low that most pairs at it would be missed otherwise.
     """
     rows = rows or max(1, min(5, int(np.log(1 - 0.015 ** (1 / bands)) / np.log(threshold)) if threshold < 1 else 5))
     base = spread(need(pages, "page_id", "content").where("content is not null"))
@@ -295,8 +355,8 @@ def similar_classes(pages: DataFrame, threshold: float = 0.8, n: int = 5, least_
 
     sketcher = _MinHash(SKETCH_BITS, seed=11)
 
-    def sketch(grams: np.ndarray) -> bytes:
-        return np.packbits((sketcher(grams) >> np.uint32(7)) & np.uint32(1)).tobytes()
+    def sketch(grams: np.ndarray) -> bytes | None:
+        return None if exact else np.packbits((sketcher((grams >> np.uint64(32)).astype(np.uint32)) >> np.uint32(7)) & np.uint32(1)).tobytes()
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         import xxhash
@@ -306,7 +366,7 @@ def similar_classes(pages: DataFrame, threshold: float = 0.8, n: int = 5, least_
         got = shingle_sets(batch.column(1).to_pylist(), n, least_words, words)
         at = [i for i, s in enumerate(got) if s is not None]
         classes = [xxhash.xxh64_intdigest(got[i].tobytes()) for i in at]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array([sketch(got[i]) for i in at], pa.binary()), pa.array([got[i].tobytes() for i in at], pa.binary())], ["page_id", "class", "sketch", "grams"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array([sketch(got[i]) for i in at], pa.binary()), pa.array([pack(got[i]) for i in at], pa.binary())], ["page_id", "class", "sketch", "grams"])
 
     table = cut_lineage(arrow_map(base, sets, f"page_id {kind}, class bigint, sketch binary, grams binary", text="content"))
     members = table.select("page_id", "class").distinct()
@@ -321,7 +381,7 @@ def similar_classes(pages: DataFrame, threshold: float = 0.8, n: int = 5, least_
             grams = batch.column(1)
             for low in range(0, len(ids), 4000):
                 own, at = ids[low : low + 4000], first[low : low + 4000]
-                key = np.concatenate([_band_keys(minhash(np.frombuffer(grams[int(i)].as_buffer(), np.uint32)), rows, bands) for i in at])
+                key = np.concatenate([_band_keys(minhash(heads(grams[int(i)].as_buffer())), rows, bands) for i in at])
                 owner = np.repeat(own, bands)
                 # the bucket comes from the upper half of a key, so the lower half tells the keys of a bucket apart
                 bucket = ((key >> shift) * np.uint64(buckets)) >> np.uint64(32)
@@ -407,7 +467,7 @@ def similar_classes(pages: DataFrame, threshold: float = 0.8, n: int = 5, least_
             yield flush(ids, data)
 
     if exact:
-        screened = prefix_pairs(table, threshold, block, max(8, count // 10_000))
+        screened = prefix_pairs(table, threshold)
     else:
         screened = grouped.join(sketches, "class").select("gid", "class", "sketch").repartition("gid").sortWithinPartitions("gid").mapInArrow(screen, "a bigint, b bigint")
     pairs = cut_lineage(screened.distinct())
@@ -428,7 +488,7 @@ def similar_classes(pages: DataFrame, threshold: float = 0.8, n: int = 5, least_
         now, probe, ids, data = None, None, [], []
         for batch in batches:
             for a, b, grams in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                s = np.frombuffer(grams, np.uint32)
+                s = unpack(grams)
                 if b is None:
                     if ids:
                         yield flush(now, probe, ids, data)

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from pagelake.llm.neardup import bitmap, link_counts, needed_overlap, prefix_of, similar_pairs, trie_join
+from pagelake.llm.neardup import _listed_pairs, bitmap, bitmaps, heads, link_counts, needed_overlap, pack, prefix_of, prefixes, similar_pairs, trie_join, unpack
 
 
 def sets_of(rows, n, least):
@@ -93,3 +93,42 @@ def test_prefixes_and_bitmaps():
                 assert len(np.intersect1d(prefix_of(a, levels, threshold), prefix_of(b, levels, threshold)))
     rare = prefix_of(np.array([5, 6, 1 << 31, (1 << 31) + 1], np.uint32), levels, 0.5)
     assert rare.tolist() == [1 << 31, (1 << 31) + 1, 5]
+
+
+def test_no_pair_at_the_threshold_is_lost(spark, pages):
+    rows = []
+    for k in range(300):  # 150 n-grams each, of which 100 are shared: a similarity of exactly 0.5; then 99, just under it
+        for at, shared in ((0, 102), (1000, 101)):
+            text = [f"p{k}at{at}w{i}" for i in range(152)]
+            rows += [(4 * k + at * 10, " ".join(text)), (4 * k + at * 10 + 1, " ".join(text[:shared] + [w + "b" for w in text[shared:]]))]
+    df = pages([{"page_id": i, "content": t} for i, t in rows])
+    want = {(4 * k, 4 * k + 1) for k in range(300)}
+    assert {tuple(r) for r in similar_pairs(df, 0.5, 3, 100).collect()} == want
+    assert link_counts(df, 0.5, 3, 100).where("links = 1").count() == 600
+    some = {tuple(r) for r in similar_pairs(df, 0.5, 3, 100, exact=False, block=7).collect()}
+    assert some <= want and len(some) >= 0.97 * len(want)
+
+
+def test_letters_are_lowered_one_by_one(spark, pages):
+    upper = [f"ΟΔΟΣ{i}Σ İX{i}" for i in range(60)]
+    df = pages([{"page_id": 1, "content": " ".join(upper)}, {"page_id": 2, "content": " ".join(upper).replace("Σ", "σ").replace("İ", "i").lower()}])
+    assert [tuple(r) for r in similar_pairs(df, 0.5, 3, 100).collect()] == [(1, 2)]
+
+
+def test_listing_against_all_pairs():
+    rng = np.random.default_rng(8)
+    levels = rng.integers(0, 5, 1 << 20).astype(np.uint16)
+    for threshold in (0.2, 0.5, 0.8, 1.0):
+        base = [np.unique(rng.integers(0, 2**64, rng.integers(1, 60), dtype=np.uint64) >> np.uint64(24) << np.uint64(24)) for _ in range(6)]
+        sets = [np.unique(np.concatenate((b[rng.random(len(b)) < 0.85], rng.choice(base[0], 3), rng.choice(base[1], 2) | np.uint64(1 << 24)))) for b in base for _ in range(6)]
+        assert all((unpack(pack(s)) == s >> np.uint64(24)).all() for s in sets)
+        lists = [heads(pack(s)) for s in sets]
+        assert any(len(np.unique(x)) < len(x) for x in lists)  # different n-grams with equal upper halves
+        sizes = np.array([len(x) for x in lists])
+        flat = np.concatenate(lists)
+        maps = bitmaps(flat, np.repeat(np.arange(len(sets)), sizes), len(sets), 512)
+        for at_once in (1, 50, 10_000):
+            listed = {tuple(sorted(p)) for part in _listed_pairs(*prefixes(flat, sizes, levels, threshold), sizes, maps, threshold, at_once) for p in part.tolist()}
+            for i, j in itertools.combinations(range(len(sets)), 2):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                assert shared < threshold * (sizes[i] + sizes[j] - shared) or (i, j) in listed
