@@ -236,7 +236,52 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def _listed_pairs(gram: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: float, at_once: int = 1_000_000) -> Iterator[np.ndarray]:
+def _widths(sizes: np.ndarray) -> np.ndarray:
+    """The bits of a set's bitmap, 512 to 8192: a power of two, 2.5 times the size or more as far as that goes."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(2.5 * sizes, 1))), 9, 13).astype(np.int64)
+
+
+class Maps:
+    """Bitmaps of sets of given sizes, each of its own width; a wider one is folded where it meets a narrower one."""
+
+    def __init__(self, sizes: np.ndarray, raw: dict[int, np.ndarray]):
+        """``raw`` has, for each width, the rows of the sets of that width in the order of the sets."""
+        self.width = _widths(sizes)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        rows = np.zeros((0, 0), np.uint64)
+        who = np.zeros(0, np.int64)
+        for width in sorted(set(self.width.tolist()), reverse=True):
+            while len(who) and rows.shape[1] * 64 > width:
+                rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+            own = np.flatnonzero(self.width == width)
+            rows = np.concatenate((rows, raw[width])) if len(who) else raw[width]
+            who = np.concatenate((who, own))
+            place = np.full(len(sizes), -1, np.int32)
+            place[who] = np.arange(len(who))
+            self.at[width] = rows, place
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        width = np.minimum(self.width[x], self.width[y])
+        out = np.zeros(len(x), np.int64)
+        for w, (rows, place) in self.at.items():
+            use = np.flatnonzero(width == w)
+            if len(use):
+                out[use] = np.bitwise_count(rows[place[x[use]]] ^ rows[place[y[use]]]).sum(axis=1)
+        return out
+
+
+def maps_of(grams: np.ndarray, sizes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width the numbers of the sets of that width and their bitmaps; ``grams`` holds set after set."""
+    owner, width = np.repeat(np.arange(len(sizes)), sizes), _widths(sizes)
+    out = {}
+    for w in set(width.tolist()):
+        own = np.flatnonzero(width == w)
+        use = width[owner] == w
+        out[w] = own, bitmaps(grams[use], np.searchsorted(own, owner[use]), len(own), w)
+    return out
+
+
+def _listed_pairs(gram: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray, maps: Maps, threshold: float, at_once: int = 1_000_000) -> Iterator[np.ndarray]:
     """Pairs (i, j) of owners under one n-gram that places and bitmaps leave possible, ``at_once`` looked at together."""
     size = sizes[owner]
     key = gram.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64)
@@ -259,19 +304,19 @@ def _listed_pairs(gram: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes:
             x, y = i[fits[at : at + 100_000]], j[fits[at : at + 100_000]]
             both = size[x] + size[y]
             want = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
-            keep = np.bitwise_count(maps[owner[x]] ^ maps[owner[y]]).sum(axis=1) <= both - 2 * want
+            keep = maps.differ(owner[x], owner[y]) <= both - 2 * want
             if keep.any():
                 yield np.stack((owner[x[keep]], owner[y[keep]]), axis=1)
 
 
-PLACED = 2_000_000  #: placements in a bucket, about
+PLACED = 8_000_000  #: placements in a bucket, about; more buckets ask for more copies of the bitmaps
+_SORTED = 500_000  #: placements of a bucket that are joined together
 
 
 def prefix_pairs(table: DataFrame, threshold: float) -> DataFrame:
     """``(a, b)``, a < b: every pair of classes that may reach ``threshold``, by their prefixes. ``table`` has (class, grams)."""
     held = table.sparkSession.sparkContext.broadcast(frequency_levels(table))  # 2 MB
-    count, total = table.agg(F.count("*"), F.coalesce(F.sum(F.length("grams")) / 5, F.lit(0))).first()
-    bits = 1 << min(max(int(np.ceil(np.log2(3 * total / count))) if total else 9, 9), 13)
+    total = table.agg(F.coalesce(F.sum(F.length("grams")) / 5, F.lit(0))).first()[0]
     buckets = max(8, int(total * (1 - threshold)) // PLACED)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +329,7 @@ def prefix_pairs(table: DataFrame, threshold: float) -> DataFrame:
                 if not len(own):
                     continue
                 sizes, flat = length[own], np.concatenate([sets[i] for i in own])
-                maps = bitmaps(flat, np.repeat(np.arange(len(own)), sizes), len(own), bits)
+                maps = maps_of(flat, sizes)
                 gram, owner, at = prefixes(flat, sizes, held.value, threshold)
                 bucket = (mix64(gram) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -293,43 +338,55 @@ def prefix_pairs(table: DataFrame, threshold: float) -> DataFrame:
                 for some in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1):
                     use = order[some]
                     who, counts = np.unique(owner[use], return_counts=True)
-                    rows.append((int(bucket[some[0]]), ids[own[who]].tobytes(), _planes(sizes[who]), maps[who].tobytes(), _planes(counts), gram[use].tobytes(), _planes(at[use])))
+                    # the widths follow from the sizes; the narrower bitmaps come first
+                    packed = b"".join(maps[w][1][np.isin(maps[w][0], who)].tobytes() for w in sorted(maps))
+                    rows.append((int(bucket[some[0]]), ids[own[who]].tobytes(), _planes(sizes[who]), packed, _planes(counts), gram[use].tobytes(), _planes(at[use])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))], ["bucket", "classes", "sizes", "maps", "counts", "grams", "places"])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(part: list[tuple]) -> Iterator[pa.RecordBatch]:
-            raw = lambda k, kind: np.frombuffer(b"".join(r[k] for r in part), kind)
-            numbers = lambda k: np.concatenate([_numbers(r[k]) for r in part])
-            classes, sizes, counts, gram, at = raw(0, np.int64), numbers(1), numbers(3), raw(4, np.uint32), numbers(5)
-            maps = raw(2, np.uint64).reshape(len(classes), -1)
+        def flush(part: list[list[pa.Buffer]]) -> Iterator[pa.RecordBatch]:
+            raw = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in part])
+            numbers = lambda k: [_numbers(r[k]) for r in part]
+            bits: dict[int, list[np.ndarray]] = {}
+            for row, own in zip(part, numbers(1)):
+                width, at = _widths(own), 0
+                for w in sorted(set(width.tolist())):
+                    count = int((width == w).sum())
+                    bits.setdefault(w, []).append(np.frombuffer(row[2], np.uint64, count * w // 64, at).reshape(count, -1))
+                    at += count * w // 8
+            sizes, classes, gram = np.concatenate(numbers(1)), raw(0, np.int64), raw(4, np.uint32)
+            maps = Maps(sizes, {w: np.concatenate(x) for w, x in bits.items()})
+            owner = np.repeat(np.arange(len(classes), dtype=np.int32), np.concatenate(numbers(3)))
+            at = np.concatenate([_numbers(r[5]).astype(np.int32) for r in part])
+            bits.clear()
             part.clear()
             # a class that stands in two splits counts once
             once = np.zeros(len(classes), bool)
             once[np.unique(classes, return_index=True)[1]] = True
-            use = np.repeat(once, counts)
-            owner = np.repeat(np.arange(len(classes)), counts)[use]
-            found, held_ = [], 0
-            for got in _listed_pairs(gram[use], owner, at[use], sizes, maps, threshold):
-                found.append(got)
-                held_ += len(got)
-                if held_ > 2_000_000:  # a pair that comes again after this is dropped by distinct
-                    yield from rows_of(classes, found)
-                    found, held_ = [], 0
-            yield from rows_of(classes, found)
-
-        def rows_of(classes: np.ndarray, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if found:
-                pairs = np.unique(np.sort(classes[np.concatenate(found)], axis=1), axis=0)
-                for at in range(0, len(pairs), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, 0]), pa.array(pairs[at : at + 100_000, 1])], ["a", "b"])
+            shares = len(gram) // _SORTED + 1
+            for share in range(shares):
+                use = np.flatnonzero((gram % np.uint32(shares) == share) & once[owner])
+                codes = np.zeros(0, np.int64)
+                for got in _listed_pairs(gram[use], owner[use].astype(np.int64), at[use].astype(np.int64), sizes, maps, threshold):
+                    codes = np.concatenate((codes, got.min(axis=1) * len(classes) + got.max(axis=1)))
+                    if len(codes) > 2_000_000:  # a pair that comes again after this is dropped by distinct
+                        yield from rows_of(classes, codes)
+                        codes = codes[:0]
+                yield from rows_of(classes, codes)
+
+        def rows_of(classes: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            codes = np.unique(codes)
+            for at in range(0, len(codes), 100_000):
+                a, b = classes[codes[at : at + 100_000] // len(classes)], classes[codes[at : at + 100_000] % len(classes)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         now, part = None, []
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            for r, bucket in enumerate(batch.column(0).to_pylist()):
                 if bucket != now and part:
                     yield from flush(part)
                 now = bucket
-                part.append(tuple(row))
+                part.append([batch.column(k)[r].as_buffer() for k in range(1, 7)])
         if part:
             yield from flush(part)
 

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from pagelake.llm.neardup import _listed_pairs, bitmap, bitmaps, heads, link_counts, needed_overlap, pack, prefix_of, prefixes, similar_pairs, trie_join, unpack
+from pagelake.llm.neardup import Maps, _listed_pairs, bitmap, heads, link_counts, maps_of, needed_overlap, pack, prefix_of, prefixes, similar_pairs, trie_join, unpack
 
 
 def sets_of(rows, n, least):
@@ -126,9 +126,21 @@ def test_listing_against_all_pairs():
         assert any(len(np.unique(x)) < len(x) for x in lists)  # different n-grams with equal upper halves
         sizes = np.array([len(x) for x in lists])
         flat = np.concatenate(lists)
-        maps = bitmaps(flat, np.repeat(np.arange(len(sets)), sizes), len(sets), 512)
+        maps = Maps(sizes, {w: x for w, (_, x) in maps_of(flat, sizes).items()})
         for at_once in (1, 50, 10_000):
             listed = {tuple(sorted(p)) for part in _listed_pairs(*prefixes(flat, sizes, levels, threshold), sizes, maps, threshold, at_once) for p in part.tolist()}
             for i, j in itertools.combinations(range(len(sets)), 2):
                 shared = len(np.intersect1d(sets[i], sets[j]))
                 assert shared < threshold * (sizes[i] + sizes[j] - shared) or (i, j) in listed
+
+
+def test_bitmaps_of_different_widths():
+    rng = np.random.default_rng(9)
+    sets = [np.sort(rng.integers(0, 2**32, n, dtype=np.uint64)).astype(np.uint32) for n in (5, 150, 300, 700, 1500, 9000)]
+    sets += [np.sort(np.concatenate((s[: len(s) // 2], rng.integers(0, 2**32, len(s) // 3 + 1, dtype=np.uint64).astype(np.uint32)))) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    maps = Maps(sizes, {w: x for w, (_, x) in maps_of(np.concatenate(sets), sizes).items()})
+    assert len(maps.at) == 5
+    x, y = np.array(list(itertools.product(range(len(sets)), repeat=2))).T
+    for i, j, bits, width in zip(x, y, maps.differ(x, y).tolist(), np.minimum(maps.width[x], maps.width[y]).tolist()):
+        assert bits == np.bitwise_count(bitmap(sets[i], width) ^ bitmap(sets[j], width)).sum() <= len(np.setxor1d(sets[i], sets[j]))
